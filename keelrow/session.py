@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,11 +36,21 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared)
 
 
+def pin_partitions(df: DataFrame) -> DataFrame:
+    """Checkpoint the rows: later jobs see the same rows in the same partitions, also after
+    executors are lost."""
+    _ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the reliable checkpoint folder and read them back.
+    """Write the rows as parquet under the shared checkpoint folder and read them back.
 
-    The result survives lost executors and has a fixed partitioning: later jobs over it
-    see the same rows in the same partitions.
+    Unlike a checkpoint the result has its true size, so Spark can decide on broadcasts, and
+    it can be read by column.  The folder is the caller's to clean, like any checkpoint folder.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    _ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/keelrow/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
