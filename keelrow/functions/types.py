@@ -101,7 +101,8 @@ def parse_value(value: Column, pg_type: str) -> Column:
         return F.from_json(value, target)
     if base in fv.INTEGER_TYPES + fv.SERIAL_TYPES:
         # a whole number may be written with a zero fraction, a broken one may not
-        return F.when(value.rlike(r"^\s*[+-]?\d+(\.0*)?\s*$"), value.try_cast(target))
+        whole = F.substring_index(value, ".", 1)
+        return F.when(value.rlike(r"^\s*[+-]?\d+(\.0*)?\s*$"), whole.try_cast(target))
     return value.try_cast(target)
 
 
