@@ -43,6 +43,12 @@ def pin_partitions(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared checkpoint folder."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/keelrow/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows as parquet under the shared checkpoint folder and read them back.
 
@@ -50,7 +56,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     it can be read by column.  The folder is the caller's to clean, like any checkpoint folder.
     """
     spark = df.sparkSession
-    _ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/keelrow/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "rows")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
