@@ -181,11 +181,9 @@ def _changed_columns(changes: DataFrame, contract: TableContract, key: Sequence[
 def _typed(changes: DataFrame, contract: TableContract, name: str):
     held = changes.schema[name].dataType
     wanted = spark_type(contract.column(name).type)
-    if held == wanted:
-        return F.col(name)
     if held.typeName() == "string":
         return parse_value(F.col(name), contract.column(name).type)
-    return F.col(name).try_cast(wanted)
+    return F.col(name) if held == wanted else F.col(name).try_cast(wanted)
 
 
 def _is_set(name: str, set_columns: str | None):
