@@ -89,6 +89,14 @@ _SHAPE_OF = {
 }
 
 
+# The shape of numbers and truth values.  Text of another shape is not tried,
+# because a parse that fails is slow.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+FLOAT = NUMBER[:-1] + r"$|(?i)^\s*([+-]?inf(inity)?|nan)\s*$"
+
+TRUTH = ("t", "true", "y", "yes", "1", "f", "false", "n", "no", "0")
+
+
 def parse_value(value: Column, pg_type: str) -> Column:
     """Text -> typed value, NULL when it does not conform."""
     target = spark_type(pg_type)
@@ -103,6 +111,12 @@ def parse_value(value: Column, pg_type: str) -> Column:
         # a whole number may be written with a zero fraction, a broken one may not
         whole = F.substring_index(value, ".", 1)
         return F.when(value.rlike(r"^\s*[+-]?\d+(\.0*)?\s*$"), whole.try_cast(target))
+    if base in fv.BOOLEAN_TYPES:
+        return F.when(F.lower(F.trim(value)).isin(*TRUTH), value.try_cast(target))
+    if base in fv.DECIMAL_TYPES:
+        return F.when(value.rlike(NUMBER), value.try_cast(target))
+    if base in fv.FLOAT_TYPES:
+        return F.when(value.rlike(FLOAT), value.try_cast(target))
     return value.try_cast(target)
 
 

@@ -205,7 +205,7 @@ def replace_reference(child: DataFrame, contract: TableContract, column: str, go
         value = F.lit(None).cast(spark_type(spec.type))
     else:
         value = default_value(spec.default, spec.type)
-    marked = gone.select(F.col(parent_column).alias(column)).distinct().withColumn("__gone", F.lit(True))
+    marked = cut_lineage(gone.select(F.col(parent_column).alias(column)).distinct()).withColumn("__gone", F.lit(True))
     return child.join(marked, column, "left").withColumn(
         column, F.when(F.col("__gone"), value).otherwise(F.col(column))
     ).select(*child.columns)

@@ -13,6 +13,7 @@ from keelrow.functions.references import foreign_key_error
 from keelrow.functions.types import supported_type
 from keelrow.operators.catalog import Catalog, first_columns, first_indexes, first_tables
 from keelrow.operators.changes import union_all
+from keelrow.session import cut_lineage
 
 FINDING_COLUMNS = ("type", "table", "column", "index", "message", "severity", "n_rows")
 
@@ -34,19 +35,23 @@ def _emit(rows: DataFrame, found: Sequence[Column]) -> DataFrame:
     return rows.select(F.explode(F.array_compact(F.array(*found))).alias("f")).select("f.*")
 
 
-def audit(wanted: Catalog, existing_tables: DataFrame | None = None, exact_types: bool = False) -> DataFrame:
+def audit(wanted: Catalog, existing_tables: DataFrame | None = None, exact_types: bool = False,
+          materialize: bool = True) -> DataFrame:
     """Findings on a catalog.
 
     A repeated column or index gives that finding only (``n_rows`` says how many are too
     many); its first definition is checked.  Without ``existing_tables`` nothing is said about
-    tables that exist already.  ``exact_types`` refuses sizes in parentheses.
+    tables that exist already.  ``exact_types`` refuses sizes in parentheses.  The first
+    definitions of columns and indexes serve many rules, so they are written once (``materialize``).
     """
     tables, columns, indexes = first_tables(wanted.tables), first_columns(wanted.columns), first_indexes(wanted.indexes)
+    if materialize:
+        columns, indexes = cut_lineage(columns), cut_lineage(indexes)
     column, index = F.col("column_name"), F.col("index_name")
     parts = [
         _emit(tables, [finding("table_name", "error", identifier_error(F.col("table_name"), "table"))]),
         _emit(
-            tables.join(wanted.columns.select("table_name"), "table_name", "left_anti"),
+            tables.join(columns.select("table_name"), "table_name", "left_anti"),
             [finding("no_columns", "error", message("no_columns", F.col("table_name")))],
         ),
         _emit(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from keelrow import fixed_values as fv
 from keelrow.contract import TableContract
+from keelrow.session import cut_lineage
 
 TABLES = "table_name string, table_pos long"
 COLUMNS = (
@@ -130,7 +131,7 @@ def catalog_indexes(index_list: DataFrame, members: DataFrame, details: DataFram
     An index has at most 32 columns.  One with more members is no index: it is listed with its
     member count and without a column list, so a hot name never gathers in one cell.
     """
-    counted = members.groupBy("index_name").agg(F.count(F.lit(1)).alias("n_columns"))
+    counted = cut_lineage(members.groupBy("index_name").agg(F.count(F.lit(1)).alias("n_columns")))
     legal = counted.filter(F.col("n_columns") <= fv.MAX_INDEX_COLUMNS).select("index_name")
     ordered = F.array_sort(F.collect_list(F.struct("member_pos", "column_name")))
     lists = members.join(legal, "index_name", "left_semi").groupBy("index_name").agg(

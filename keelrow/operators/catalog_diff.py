@@ -13,6 +13,7 @@ from keelrow.functions.references import normalize_fk_action
 from keelrow.functions.types import is_compatible_type, is_significant_type_change
 from keelrow.operators.catalog import Catalog, first_columns, first_indexes, first_tables
 from keelrow.operators.changes import union_all
+from keelrow.session import cut_lineage
 
 # The order of operations on one table.
 CREATE, ADD, DROP, MODIFY, INDEX, COLUMN_INDEX, FK, FK_OF_DROPPED, DROP_TABLE = range(9)
@@ -62,19 +63,22 @@ def reference_changed() -> Column:
     return reduce(lambda a, b: a | b, [~x.eqNullSafe(y) for x, y in pairs])
 
 
-def diff_catalog(wanted: Catalog, existing: Catalog, parity: bool = False) -> DataFrame:
+def diff_catalog(wanted: Catalog, existing: Catalog, parity: bool = False, materialize: bool = True) -> DataFrame:
     """Operations in order.
 
     Every comparison is between relations with one row per name, so a table with many columns
     or a name that occurs often does not multiply rows.  With ``parity`` new tables and new
-    columns get no reference operations, and type changes count only if significant.
+    columns get no reference operations, and type changes count only if significant.  The
+    tables of both sides and the changed columns serve many kinds of operations, so they are
+    written once (``materialize``).
     """
     own = F.col("table_name").isin(*fv.OWN_TABLES)
-    new_tables = first_tables(wanted.tables)
-    old_tables = first_tables(existing.tables.filter(~own))
-    both = new_tables.join(old_tables.select("table_name"), "table_name", "left_semi")
-    created = new_tables.join(old_tables.select("table_name"), "table_name", "left_anti")
-    dropped = old_tables.join(new_tables.select("table_name"), "table_name", "left_anti")
+    keep = cut_lineage if materialize else (lambda df: df)
+    old_tables = first_tables(existing.tables.filter(~own)).withColumnRenamed("table_pos", "place")
+    sides = keep(first_tables(wanted.tables).join(old_tables, "table_name", "full_outer"))
+    both = sides.filter("table_pos IS NOT NULL AND place IS NOT NULL").drop("place")
+    created = sides.filter("place IS NULL").drop("place")
+    dropped = sides.filter("table_pos IS NULL").withColumn("table_pos", F.lit(_LAST))
 
     new_columns = first_columns(wanted.columns).select(
         "table_name", "column_name", F.col("column_pos").alias("new_pos"), F.col("data_type").alias("new_type"),
@@ -94,7 +98,7 @@ def diff_catalog(wanted: Catalog, existing: Catalog, parity: bool = False) -> Da
         .when(F.col("is_new").isNull(), F.lit("DROP_COLUMN"))
         .when(column_changed(parity), F.lit("MODIFY_COLUMN"))
     )
-    changed = compared.withColumn("state", state).filter("state IS NOT NULL")
+    changed = keep(compared.withColumn("state", state).filter("state IS NOT NULL"))
     column_step = F.when(F.col("state") == "ADD_COLUMN", ADD).when(F.col("state") == "DROP_COLUMN", DROP).otherwise(MODIFY)
     column_operations = _column_operations(changed, column_step)
 
@@ -105,7 +109,7 @@ def diff_catalog(wanted: Catalog, existing: Catalog, parity: bool = False) -> Da
 
     new_fks = _one_per_column(wanted.foreign_keys)
     old_fks = _one_per_column(existing.foreign_keys.filter(~own))
-    touched = changed.select("table_name").distinct()
+    touched = keep(changed.select("table_name").distinct())
     old_side = old_fks.select(
         "table_name", "column_name", F.col("constraint_name").alias("old_constraint"),
         *[F.col(c).alias(f"old_{c}") for c in ("ref_table", "ref_column", "on_delete", "on_update")],
@@ -130,8 +134,7 @@ def diff_catalog(wanted: Catalog, existing: Catalog, parity: bool = False) -> Da
                     constraint_name=F.col("constraint_name"), **fk_values),
         _operations(gone, "DROP_FOREIGN_KEY", FK_OF_DROPPED, F.col("column_pos"), column_name=F.col("column_name"),
                     constraint_name=F.col("constraint_name"), **fk_values),
-        _operations(dropped.withColumn("place", F.col("table_pos")).withColumn("table_pos", F.lit(_LAST)),
-                    "DROP_TABLE", DROP_TABLE, F.col("place")),
+        _operations(dropped, "DROP_TABLE", DROP_TABLE, F.col("place")),
     ]
     if not parity:
         added_columns = changed.filter("state = 'ADD_COLUMN'").select("table_name", "column_name")

@@ -81,11 +81,13 @@ def _flag_keys(rows: DataFrame, columns: Sequence[str], bad: DataFrame, rule: st
 
 
 def tag_batch(batch: DataFrame, contract: TableContract, target: DataFrame | None = None,
-              parents: Mapping[str, DataFrame] | None = None) -> DataFrame:
+              parents: Mapping[str, DataFrame] | None = None, materialize: bool = True) -> DataFrame:
     """Typed batch with the rules each row breaks and the row as it came.
 
     Row rules are expressions.  Keys are counted per value, so what is joined back is one row
-    per offending key.  All rows of a key that the batch repeats are marked.
+    per offending key; those few keys are written out first (``materialize``), so that Spark
+    can broadcast them or split a hot key of the batch.  All rows of a key that the batch
+    repeats are marked.
     """
     held = {f.name: f.dataType for f in batch.schema.fields}
     typed = []
@@ -98,8 +100,7 @@ def tag_batch(batch: DataFrame, contract: TableContract, target: DataFrame | Non
         else:
             typed.append(F.col(c.name).try_cast(target_type).alias(c.name))
     rules = [
-        F.when(violated, F.lit(f"{kind}:{column}"))
-        for kind, column, _, _, violated in checks.row_rules(batch, contract)
+        F.when(r.violated, F.lit(f"{r.type}:{r.column}")) for r in checks.row_rules(batch, contract)
     ]
     broken = F.array_compact(F.array(*rules)) if rules else F.array().cast("array<string>")
     rows = batch.select(F.struct(*batch.columns).alias(RAW), *typed, broken.alias(VIOLATIONS))
@@ -120,7 +121,7 @@ def tag_batch(batch: DataFrame, contract: TableContract, target: DataFrame | Non
             flags.append(([column], checks.orphan_keys(rows, [column], parent, [fk.column]), f"foreign_key:{column}"))
     tagged = rows
     for columns, bad, rule in flags:
-        tagged = _flag_keys(tagged, columns, bad, rule)
+        tagged = _flag_keys(tagged, columns, cut_lineage(bad.select(*columns)) if materialize else bad, rule)
     return tagged.select(RAW, *contract.names, VIOLATIONS)
 
 
@@ -138,7 +139,7 @@ def insert(target: DataFrame, batch: DataFrame, contract: TableContract,
     complete = apply_defaults(batch, contract, next_ids)
     if materialize:
         complete = cut_lineage(complete)
-    tagged = tag_batch(complete, contract, target, parents)
+    tagged = tag_batch(complete, contract, target, parents, materialize)
     if materialize:
         tagged = cut_lineage(tagged)
     accepted = tagged.filter(F.size(VIOLATIONS) == 0).select(*contract.names)
@@ -200,10 +201,10 @@ def check_update(target: DataFrame, changes: DataFrame, contract: TableContract,
         column = contract.column(n)
         chosen = _is_set(n, set_columns)
         if column.required:
-            rules.append(("not_null", n, "", f"{n} cannot be null", chosen & F.col(n).isNull()))
-        rules.append(("type", n, "", f"{n} must be {column.type}",
-                      chosen & F.col(n).isNotNull() & _typed(changes, contract, n).isNull()))
-    unmatched = changes.select(*key).join(target.select(*key), key, "left_anti")
+            rules.append(checks.RowRule("not_null", n, f"{n} cannot be null", chosen & F.col(n).isNull()))
+        rules.append(checks.RowRule("type", n, f"{n} must be {column.type}",
+                                    chosen & F.col(n).isNotNull() & _typed(changes, contract, n).isNull()))
+    unmatched = changes.select(*key).join(target.select(*key).distinct(), key, "left_anti")
     missing = unmatched.agg(F.count(F.lit(1)).alias("n_rows")).select(
         F.lit("not_found").alias("type"), F.lit(contract.name).alias("table"),
         F.lit(",".join(key)).alias("column"), F.lit("").alias("index"),

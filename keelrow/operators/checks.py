@@ -8,7 +8,9 @@ joined, so a value held by a third of all rows costs one row in the shuffle.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,29 +18,61 @@ from pyspark.sql import functions as F
 
 from keelrow.contract import TableContract
 from keelrow.functions.types import violates_type
+from keelrow.session import cut_lineage
 
 REPORT_COLUMNS = ("type", "table", "column", "index", "message", "severity", "n_rows")
+_RULE_SHAPE = (
+    "array<struct<`type`: string, `table`: string, `column`: string, `index`: string, message: string>>"
+)
 
 
-def rule_rows(df: DataFrame, table: str, rules: Sequence[tuple[str, str, str, str, Column]]) -> DataFrame:
-    """One report row per ``(type, column, index, message, violated)`` from one pass over ``df``."""
-    counts = df.agg(*[F.count_if(v).alias(f"v{i}") for i, (*_, v) in enumerate(rules)])
-    rows = F.array(*[
-        F.struct(
-            F.lit(kind).alias("type"), F.lit(table).alias("table"), F.lit(column).alias("column"),
-            F.lit(index).alias("index"), F.lit(text).alias("message"), F.col(f"v{i}").alias("n_rows"),
-        )
-        for i, (kind, column, index, text, _) in enumerate(rules)
-    ])
-    return _with_severity(counts.select(F.inline(rows)))
+@dataclass(frozen=True)
+class Rule:
+    """What a check is about; its place in a list is its number."""
+
+    type: str
+    table: str
+    column: str
+    index: str
+    message: str
+
+
+@dataclass(frozen=True)
+class RowRule:
+    """A rule about single rows; ``violated`` is a predicate over the table."""
+
+    type: str
+    column: str
+    message: str
+    violated: Column
 
 
-def _with_severity(rows: DataFrame) -> DataFrame:
-    severity = F.when(F.col("n_rows") > 0, F.lit("error")).otherwise(F.lit("info"))
-    return rows.withColumn("severity", severity).select(*REPORT_COLUMNS)
+def _described(counts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Report rows from ``(rule number, n_rows)``.  The texts are one constant, looked up by number."""
+    texts = F.from_json(F.lit(json.dumps([asdict(r) for r in rules])), _RULE_SHAPE)
+    return counts.select(F.get(texts, F.col("rule")).alias("r"), "n_rows").select(
+        "r.type", "r.table", "r.column", "r.index", "r.message",
+        F.expr("CASE WHEN n_rows > 0 THEN 'error' ELSE 'info' END AS severity"), "n_rows",
+    )
+
+
+def _count_row_rules(df: DataFrame, rules: Sequence[RowRule], first: int) -> DataFrame:
+    """``(rule, n_rows)`` of all row rules of a table from one aggregate."""
+    names = [f"v{i}" for i in range(len(rules))]
+    counts = df.agg(*[F.count_if(r.violated).alias(n) for n, r in zip(names, rules)])
+    return counts.select(F.posexplode(F.array(*names)).alias("rule", "n_rows")).select(
+        F.expr(f"rule + {first} AS rule"), "n_rows"
+    )
 
 
-def row_rules(df: DataFrame, contract: TableContract) -> list[tuple[str, str, str, str, Column]]:
+def rule_rows(df: DataFrame, table: str, rules: Sequence[RowRule]) -> DataFrame:
+    """One report row per rule from one pass over ``df``."""
+    return _described(
+        _count_row_rules(df, rules, 0), [Rule(r.type, table, r.column, "", r.message) for r in rules]
+    )
+
+
+def row_rules(df: DataFrame, contract: TableContract) -> list[RowRule]:
     """Required values and type rules of a contract, as predicates over ``df``."""
     rules = []
     held = {f.name: f.dataType for f in df.schema.fields}
@@ -46,28 +80,37 @@ def row_rules(df: DataFrame, contract: TableContract) -> list[tuple[str, str, st
         if c.name not in held:
             continue
         if c.required:
-            rules.append(("not_null", c.name, "", f"{c.name} must not be null", F.col(c.name).isNull()))
+            rules.append(not_null_rule(c.name))
         broken = violates_type(F.col(c.name), held[c.name], c.type)
         if broken is not None:
-            rules.append(("type", c.name, "", f"{c.name} must be {c.type}", broken))
+            rules.append(RowRule("type", c.name, f"{c.name} must be {c.type}", broken))
     return rules
 
 
+def not_null_rule(column: str) -> RowRule:
+    return RowRule("not_null", column, f"{column} must not be null", F.col(column).isNull())
+
+
 def check_rows(df: DataFrame, contract: TableContract) -> DataFrame:
     """NOT NULL and type rules of one table in one aggregate."""
     return rule_rows(df, contract.name, row_rules(df, contract))
 
 
 def check_not_null(df: DataFrame, columns: Sequence[str], table: str = "") -> DataFrame:
-    return rule_rows(
-        df, table, [("not_null", c, "", f"{c} must not be null", F.col(c).isNull()) for c in columns]
-    )
+    return rule_rows(df, table, [not_null_rule(c) for c in columns])
+
+
+def _all_filled(columns: Sequence[str]) -> str:
+    return " AND ".join(f"{_name(c)} IS NOT NULL" for c in columns)
+
+
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
 
 
 def key_counts(df: DataFrame, columns: Sequence[str], alias: str = "n_rows") -> DataFrame:
     """Rows per complete key; keys with a NULL part never count as equal."""
-    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-    return df.filter(complete).groupBy(*columns).agg(F.count(F.lit(1)).alias(alias))
+    return df.filter(_all_filled(columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias(alias))
 
 
 def duplicate_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -77,20 +120,25 @@ def duplicate_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def duplicate_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The rows that share their key with another row."""
-    return df.join(duplicate_keys(df, columns).select(*columns), list(columns), "left_semi")
+    repeated = cut_lineage(duplicate_keys(df, columns).select(*columns))
+    return df.join(repeated, list(columns), "left_semi")
+
+
+def _count_excess(df: DataFrame, columns: Sequence[str], rule: int) -> DataFrame:
+    return duplicate_keys(df, columns).agg(
+        F.expr(f"{rule} AS rule"), F.expr("coalesce(sum(n_rows - 1), 0L) AS n_rows")
+    )
+
+
+def _unique_rule(columns: Sequence[str], table: str, kind: str, index: str) -> Rule:
+    name = ",".join(columns)
+    return Rule(kind, table, name, index, f"{name} must be unique")
 
 
 def check_unique(df: DataFrame, columns: Sequence[str], table: str = "", kind: str = "unique",
                  index: str = "") -> DataFrame:
     """Rows in excess of one per key."""
-    name = ",".join(columns)
-    counted = duplicate_keys(df, columns).agg(
-        F.coalesce(F.sum(F.col("n_rows") - 1), F.lit(0)).cast("long").alias("n_rows")
-    )
-    return _with_severity(counted.select(
-        F.lit(kind).alias("type"), F.lit(table).alias("table"), F.lit(name).alias("column"),
-        F.lit(index).alias("index"), F.lit(f"{name} must be unique").alias("message"), "n_rows",
-    ))
+    return _described(_count_excess(df, columns, 0), [_unique_rule(columns, table, kind, index)])
 
 
 def check_primary_key(df: DataFrame, columns: Sequence[str], table: str = "") -> DataFrame:
@@ -105,50 +153,60 @@ def orphan_keys(child: DataFrame, columns: Sequence[str], parent: DataFrame,
     """Child key values without a parent row, with the number of child rows that hold them.
 
     The child is reduced to one row per value first.  That aggregate is hash-partitioned by the
-    key, so only the parent's key column has to be moved for the join.
+    key, so only the parent's key column has to be moved for the join; it is reduced as well.
     """
     held = key_counts(child, columns)
-    known = parent.select(*[F.col(p).alias(c) for c, p in zip(columns, parent_columns)])
+    known = parent.select(*[F.col(p).alias(c) for c, p in zip(columns, parent_columns)]).distinct()
     return held.join(known, list(columns), "left_anti")
 
 
 def orphan_rows(child: DataFrame, columns: Sequence[str], parent: DataFrame,
                 parent_columns: Sequence[str]) -> DataFrame:
     """The child rows whose key has no parent row."""
-    lost = orphan_keys(child, columns, parent, parent_columns).select(*columns)
+    lost = cut_lineage(orphan_keys(child, columns, parent, parent_columns).select(*columns))
     return child.join(lost, list(columns), "left_semi")
 
 
+def _count_orphans(child: DataFrame, columns: Sequence[str], parent: DataFrame,
+                   parent_columns: Sequence[str], rule: int) -> DataFrame:
+    return orphan_keys(child, columns, parent, parent_columns).agg(
+        F.expr(f"{rule} AS rule"), F.expr("coalesce(sum(n_rows), 0L) AS n_rows")
+    )
+
+
+def _reference_rule(columns: Sequence[str], parent_columns: Sequence[str], table: str, parent_table: str) -> Rule:
+    name = ",".join(columns)
+    return Rule("foreign_key", table, name, "", f"{name} must exist in {parent_table}.{','.join(parent_columns)}")
+
+
 def check_foreign_key(child: DataFrame, columns: Sequence[str], parent: DataFrame,
                       parent_columns: Sequence[str], table: str = "", parent_table: str = "") -> DataFrame:
-    name = ",".join(columns)
-    target = f"{parent_table}.{','.join(parent_columns)}"
-    counted = orphan_keys(child, columns, parent, parent_columns).agg(
-        F.coalesce(F.sum("n_rows"), F.lit(0)).cast("long").alias("n_rows")
+    return _described(
+        _count_orphans(child, columns, parent, parent_columns, 0),
+        [_reference_rule(columns, parent_columns, table, parent_table)],
     )
-    return _with_severity(counted.select(
-        F.lit("foreign_key").alias("type"), F.lit(table).alias("table"), F.lit(name).alias("column"),
-        F.lit("").alias("index"), F.lit(f"{name} must exist in {target}").alias("message"), "n_rows",
-    ))
 
 
 def contract_report(tables: Mapping[str, DataFrame], contracts: Sequence[TableContract]) -> DataFrame:
     """Every rule of every contract, one row per rule."""
+    rules: list[Rule] = []
     parts: list[DataFrame] = []
     for contract in contracts:
         df = tables[contract.name]
         missing = [n for n in contract.names if n not in df.columns]
         if missing:
             raise ValueError(f"table {contract.name!r} lacks columns {missing}")
-        if row_rules(df, contract):
-            parts.append(check_rows(df, contract))
+        about_rows = row_rules(df, contract)
+        if about_rows:
+            parts.append(_count_row_rules(df, about_rows, len(rules)))
+            rules += [Rule(r.type, contract.name, r.column, "", r.message) for r in about_rows]
         for key in contract.unique_keys():
-            parts.append(check_unique(df, key.columns, contract.name, key.kind, key.name))
+            parts.append(_count_excess(df, key.columns, len(rules)))
+            rules.append(_unique_rule(key.columns, contract.name, key.kind, key.name))
         for column, fk in contract.references():
-            parts.append(check_foreign_key(
-                df, [column], tables[fk.table], [fk.column], contract.name, fk.table
-            ))
-    return reduce(DataFrame.unionByName, parts)
+            parts.append(_count_orphans(df, [column], tables[fk.table], [fk.column], len(rules)))
+            rules.append(_reference_rule([column], [fk.column], contract.name, fk.table))
+    return _described(reduce(DataFrame.union, parts), rules)
 
 
 def findings(report: DataFrame) -> DataFrame:
@@ -193,12 +251,12 @@ def junction_profile(df: DataFrame, left: str, right: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_pairs"),
         F.count_if(F.col("n_pair_rows") > 1).alias("n_repeated_pairs"),
     )
-    # three one-row relations side by side
-    joined = totals.withColumn("one", F.lit(1))
-    for side in sides:
-        joined = joined.join(side.withColumn("one", F.lit(1)), "one")
+    # one row with the three results
+    measures = ("n_pairs", "n_repeated_pairs", "max_per_left", "max_per_right")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [totals, *sides])
+    joined = rows.agg(*[F.max(m).alias(m) for m in measures])
     many_left, many_right = F.col("max_per_left") > 1, F.col("max_per_right") > 1
-    return joined.drop("one").withColumn(
+    return joined.withColumn(
         "kind",
         F.when(many_left & many_right, F.lit("many_to_many"))
         .when(many_left, F.lit("one_to_many")).when(many_right, F.lit("many_to_one"))

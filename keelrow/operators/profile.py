@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelrow.contract import pg_type
+from keelrow.functions.types import parse_value
 from keelrow.operators.checks import duplicate_keys, key_counts
 
 # Types that text columns are tried against, narrowest first.
-_CAST_TARGETS = (("bigint", "bigint"), ("double precision", "double"), ("boolean", "boolean"),
-                 ("date", "date"), ("timestamp", "timestamp_ntz"))
+_CAST_TARGETS = ("bigint", "double precision", "boolean", "date", "timestamp")
 
 
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
@@ -37,8 +37,8 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, exact:
         measures.append((F.max(c).cast("string") if ordered else F.lit(None).cast("string")).alias(f"high{i}"))
         if isinstance(dtype, T.StringType):
             measures.append(F.max(F.length(c)).cast("long").alias(f"longest{i}"))
-            for target, spark_name in _CAST_TARGETS:
-                measures.append(F.count(c.try_cast(spark_name)).alias(f"as_{_slug(target)}{i}"))
+            for target in _CAST_TARGETS:
+                measures.append(F.count(parse_value(c, target)).alias(f"as_{_slug(target)}{i}"))
     row = df.agg(*measures)
 
     def described(i: int, name: str):
@@ -46,7 +46,7 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, exact:
         filled = F.col(f"filled{i}")
         if isinstance(dtype, T.StringType):
             suggestion = F.lit("text")
-            for target, _ in reversed(_CAST_TARGETS):
+            for target in reversed(_CAST_TARGETS):
                 fits = (filled > 0) & (F.col(f"as_{_slug(target)}{i}") == filled)
                 suggestion = F.when(fits, F.lit(target)).otherwise(suggestion)
             longest = F.col(f"longest{i}")

@@ -217,13 +217,13 @@ def evolve(tables: Mapping[str, DataFrame], contracts: Mapping[str, TableContrac
     """Apply operations in order.  Check the report (``require_allowed``) before publishing."""
     rows = dict(tables)
     state = dict(contracts)
-    flags: dict[str, list[tuple[str, str, str, str, str]]] = {}
+    flags: dict[str, list[tuple[str, checks.RowRule]]] = {}
     reports: list[DataFrame] = []
 
     def flag(table: str, kind: str, column: str, text: str, violated: SparkColumn) -> None:
         name = f"__refused_{len(flags.setdefault(table, []))}"
         rows[table] = rows[table].withColumn(name, violated)
-        flags[table].append((name, kind, column, "", text))
+        flags[table].append((name, checks.RowRule(kind, column, text, F.col(name))))
 
     for op in ops:
         after = preview(state, [op])
@@ -271,10 +271,8 @@ def evolve(tables: Mapping[str, DataFrame], contracts: Mapping[str, TableContrac
                 rows[op.table], op.index.columns, op.table, "unique_index", op.index.name))
         state = after
     for table, rules in flags.items():
-        reports.append(checks.rule_rows(
-            rows[table], table, [(kind, column, index, text, F.col(name)) for name, kind, column, index, text in rules]
-        ))
-        rows[table] = rows[table].drop(*[r[0] for r in rules])
+        reports.append(checks.rule_rows(rows[table], table, [rule for _, rule in rules]))
+        rows[table] = rows[table].drop(*[name for name, _ in rules])
     return Evolution(rows, state, reports)
 
 

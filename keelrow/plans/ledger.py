@@ -50,7 +50,7 @@ def with_status(ledger: DataFrame, status: str) -> DataFrame:
 
 def pending(scripts: DataFrame, ledger: DataFrame) -> DataFrame:
     """Scripts without a success."""
-    return scripts.join(with_status(ledger, "success").select("name"), "name", "left_anti")
+    return scripts.join(with_status(ledger, "success").select("name").distinct(), "name", "left_anti")
 
 
 def status(ledger: DataFrame, scripts: DataFrame) -> DataFrame:

@@ -54,6 +54,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Unlike a checkpoint the result has its true size, so Spark can decide on broadcasts, and
     it can be read by column.  The folder is the caller's to clean, like any checkpoint folder.
+
+    Key sets that rows are joined with go through here when they come from an aggregate: Spark
+    splits a skewed partition of the rows only if the other side of the join is a plain scan.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "rows")
