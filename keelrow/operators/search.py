@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from keelrow import fixed_values as fv
 from keelrow.contract import TableContract
 from keelrow.operators.numbering import dense_numbers
+from keelrow.session import cut_lineage
 
 # Beyond this many rows a page is cut from range partitions instead of one top-k task.
 TOP_K_ROWS = 10_000
@@ -104,26 +105,35 @@ def page_bounds(number: int, limit: int) -> tuple[int, int]:
     return number, limit
 
 
-def page_rows(df: DataFrame, key: Sequence[str], number: int = 1, limit: int = fv.DEFAULT_PAGE_SIZE) -> DataFrame:
+def page_rows(df: DataFrame, key: Sequence[str], number: int = 1, limit: int = fv.DEFAULT_PAGE_SIZE,
+              unique: bool = False) -> DataFrame:
     """Rows of one page in key order.
 
     Near pages are a top-k.  For far ones the rows are range-partitioned and numbered, so no
-    task ever holds all the rows in front of the page.
+    task ever holds all the rows in front of the page.  With a ``unique`` key only the key
+    columns are moved; the rows of the page are then looked up by key and range.
     """
     number, limit = page_bounds(number, limit)
     skip = (number - 1) * limit
     if skip + limit <= TOP_K_ROWS:
         return df.orderBy(*key).offset(skip).limit(limit)
+    if unique:
+        numbers = dense_numbers(df.select(*key), "__row", key, start=0)
+        # a page is at most 100 keys
+        wanted = cut_lineage(numbers.filter(F.col("__row").between(skip, skip + limit - 1)).drop("__row"))
+        low, high = wanted.agg(F.min(key[0]), F.max(key[0])).first()
+        inside = df.filter(F.col(key[0]).between(F.lit(low), F.lit(high)))
+        return inside.join(F.broadcast(wanted), list(key), "left_semi").orderBy(*key)
     numbered = dense_numbers(df, "__row", key, start=0)
     return numbered.filter(F.col("__row").between(skip, skip + limit - 1)).orderBy("__row").drop("__row")
 
 
 def page(df: DataFrame, key: Sequence[str], number: int = 1, limit: int = fv.DEFAULT_PAGE_SIZE,
-         term: str = "") -> Page:
+         term: str = "", unique: bool = False) -> Page:
     """A page of the rows that match ``term``, with the total of all matching rows."""
     number, limit = page_bounds(number, limit)
     hits = search(df, term)
-    return Page(page_rows(hits, key, number, limit), number, limit, hits.count())
+    return Page(page_rows(hits, key, number, limit, unique), number, limit, hits.count())
 
 
 def next_page(df: DataFrame, key: str, after, limit: int = fv.DEFAULT_PAGE_SIZE) -> DataFrame:

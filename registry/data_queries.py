@@ -125,6 +125,11 @@ def page_deep(spark, sf_dir):
     return search.page_rows(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey"], 150, 100)
 
 
+def page_deep_by_key(spark, sf_dir):
+    """A page far into the table, found through its unique key."""
+    return search.page_rows(table(spark, sf_dir, "orders"), ["o_orderkey"], 140, 100, unique=True)
+
+
 def next_page(spark, sf_dir):
     return search.next_page(table(spark, sf_dir, "orders"), "o_orderkey", 999, 50)
 
@@ -247,7 +252,7 @@ def _order_batch(spark, sf_dir):
 def insert_validated(spark, sf_dir):
     done = changes.insert(
         table(spark, sf_dir, "orders"), _order_batch(spark, sf_dir), _ORDERS_IN,
-        {"customer": table(spark, sf_dir, "customer")}, mode="quarantine", materialize=False,
+        {"customer": table(spark, sf_dir, "customer")}, mode="quarantine",
     )
     return done.rows
 
@@ -397,7 +402,7 @@ def self_ref_cascade(spark, sf_dir):
 QUERIES = {
     f.__name__: f for f in (
         profile_columns, profile_text, key_candidates, discover_fks, scan_schema_order, search_any_text,
-        search_literal, search_count, row_counts, key_lookup, ids_in, not_in, page_orders, page_deep, next_page,
+        search_literal, search_count, row_counts, key_lookup, ids_in, not_in, page_orders, page_deep, page_deep_by_key, next_page,
         diff_rows, diff_row_counts, diff_lines_without_key, update_rows, check_update, rows_affected, delete_rows,
         insert_validated, insert_rejects, import_counts, apply_defaults, cascade_delete, cascade_counts,
         restrict_delete, no_action_delete, restricting_rows, set_null, set_default, on_update_cascade,
@@ -434,6 +439,7 @@ ORACLES = {
     "not_in": "SELECT * FROM events WHERE event_type NOT IN ('view', 'error')",
     "page_orders": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 50",
     "page_deep": "SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_partkey LIMIT 100 OFFSET 14900",
+    "page_deep_by_key": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 13900",
     "next_page": "SELECT * FROM orders WHERE o_orderkey > 999 ORDER BY o_orderkey LIMIT 50",
     "diff_rows": _DIFF_SQL,
     "diff_row_counts": f"SELECT change, count(*) AS n_keys, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM ({_DIFF_SQL}) GROUP BY change",

@@ -11,7 +11,11 @@ from keelrow.operators.numbering import dense_numbers, range_sorted
 
 
 def rows(df, *columns):
-    return sorted(tuple(r) for r in (df.select(*columns) if columns else df).collect())
+    return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=nulls_last)
+
+
+def nulls_last(row):
+    return [(v is None, v) for v in row]
 
 
 # ------------------------------------------------------------------ checks
@@ -117,8 +121,11 @@ def test_pages_cover_the_table(spark, monkeypatch):
     df = spark.createDataFrame([(i % 10, i) for i in range(95)], "g int, id int")
     near = [tuple(r) for p in range(1, 11) for r in search.page_rows(df, ["g", "id"], p, 10).collect()]
     monkeypatch.setattr(search, "TOP_K_ROWS", 0)
-    far = [tuple(r) for p in range(1, 11) for r in search.page_rows(df, ["g", "id"], p, 10).collect()]
-    assert near == far == sorted((i % 10, i) for i in range(95))
+    far, by_key = ([tuple(r) for p in range(1, 11) for r in search.page_rows(df, ["g", "id"], p, 10, unique=u).collect()]
+                   for u in (False, True))
+    tied = [r["id"] for p in range(1, 11) for r in search.page_rows(df, ["g"], p, 10).collect()]
+    assert sorted(tied) == list(range(95))
+    assert near == far == by_key == sorted((i % 10, i) for i in range(95))
 
 
 def test_page_bounds_and_label(spark):
@@ -169,7 +176,7 @@ def test_key_filter_reaches_the_scan(spark, sf_dir):
 
 def random_rows(seed, n, keys):
     r = random.Random(seed)
-    return [(r.randrange(keys), r.choice(["a", "b", None]), r.choice([1.0, 2.0, None])) for _ in range(n)]
+    return [(r.choice([None, *range(keys)]), r.choice(["a", "b", None]), r.choice([1.0, 2.0, None])) for _ in range(n)]
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -178,6 +185,7 @@ def test_diff_properties(spark, seed):
     a = spark.createDataFrame(random_rows(seed, 60, 40), schema)
     b = spark.createDataFrame(random_rows(seed + 100, 60, 40), schema)
     assert row_diff.diff_rows(a, a.orderBy("v"), ["k"]).count() == 0
+    assert rows(row_diff.diff_rows(a, b, ["k"])) == rows(row_diff.diff_rows(a, b, ["k"], prefilter=False))
     forth = {r["k"]: (r["change"], tuple(r["changed"]), r["n_rows"]) for r in row_diff.diff_rows(a, b, ["k"]).collect()}
     back = {r["k"]: (r["change"], tuple(r["changed"]), r["n_rows"]) for r in row_diff.diff_rows(b, a, ["k"]).collect()}
     mirror = {"ADD": "DROP", "DROP": "ADD", "MODIFY": "MODIFY", "AMBIGUOUS": "AMBIGUOUS"}
@@ -191,6 +199,15 @@ def test_diff_is_null_safe(spark):
     assert got == {1: ("MODIFY", ["s"]), 2: ("MODIFY", ["s", "v"])}
 
 
+def test_digests_tell_shapes_apart(spark):
+    df = spark.createDataFrame([
+        ("a", None, [1], [2]), (None, "a", [1], [2]), ("a", "", [1], [2]), ("", "a", [1, 2], []), ("", "a", [1], [2]),
+        ("", "a", None, [2]), ("", "a", [None, 1], [2]), ("", "a", [1, None], [2]),
+    ], "a string, b string, c array<int>, d array<int>")
+    for digest in row_diff.row_digest(df, df.columns):
+        assert df.select(digest).distinct().count() == df.count()
+
+
 # ------------------------------------------------------------------ changes
 
 PEOPLE = TableContract("people", (
