@@ -71,13 +71,42 @@ class Insert:
     rejected: DataFrame   # rows as they came, with the rules they break
 
 
-def _flag_keys(rows: DataFrame, columns: Sequence[str], bad: DataFrame, rule: str) -> DataFrame:
-    """Add a rule to the rows whose key is listed in ``bad`` (one row per key)."""
-    marked = bad.select(*[F.col(c) for c in columns], F.lit(rule).alias("__rule"))
-    joined = rows.join(marked, list(columns), "left")
-    return joined.withColumn(
-        VIOLATIONS, F.array_compact(F.array_append(VIOLATIONS, F.col("__rule")))
-    ).drop("__rule")
+def _flag_keys(rows: DataFrame, columns: Sequence[str], bad: DataFrame) -> DataFrame:
+    """Add ``__rules`` of the keys in ``bad`` (one row per key) to the rows that hold them."""
+    joined = rows.join(bad, list(columns), "left")
+    none = F.array().cast("array<string>")
+    return joined.withColumn(VIOLATIONS, F.concat(VIOLATIONS, F.coalesce("__rules", none))).drop("__rules")
+
+
+def _bad_keys(rows: DataFrame, columns: Sequence[str], kind: str, known: DataFrame | None) -> DataFrame:
+    """Keys that the batch repeats or that are taken already, with the rules they break."""
+    name = ",".join(columns)
+    held = checks.key_counts(rows, columns)
+    repeated = F.when(F.col("n_rows") > 1, F.lit(f"{kind}:{name}"))
+    if known is None:
+        return held.filter("n_rows > 1").select(*columns, F.array(repeated).alias("__rules"))
+    taken = known.select(*columns).distinct().withColumn("__taken", F.lit(True))
+    exists = F.when(F.col("__taken"), F.lit(f"exists:{name}"))
+    return held.join(taken, list(columns), "left").filter("n_rows > 1 OR __taken").select(
+        *columns, F.array_compact(F.array(repeated, exists)).alias("__rules")
+    )
+
+
+def _lost_keys(rows: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
+    rule = F.array(F.lit(f"foreign_key:{column}")).alias("__rules")
+    return checks.orphan_keys(rows, [column], parent, [parent_column]).select(column, rule)
+
+
+def _flag_own_references(tagged: DataFrame, column: str, key: str, target: DataFrame | None) -> DataFrame:
+    """Rows may refer to rows of the same batch, but only to good ones.  A rejected row takes the
+    rows that refer to it along, wave by wave, until no good row points nowhere."""
+    while True:
+        good = tagged.filter(F.size(VIOLATIONS) == 0)
+        parent = good.select(key) if target is None else target.select(key).unionByName(good.select(key))
+        lost = cut_lineage(_lost_keys(good, column, parent, key))
+        if lost.isEmpty():
+            return tagged
+        tagged = cut_lineage(_flag_keys(tagged, [column], lost))
 
 
 def tag_batch(batch: DataFrame, contract: TableContract, target: DataFrame | None = None,
@@ -106,24 +135,20 @@ def tag_batch(batch: DataFrame, contract: TableContract, target: DataFrame | Non
     rows = batch.select(F.struct(*batch.columns).alias(RAW), *typed, broken.alias(VIOLATIONS))
 
     inside = _range_filter(rows, contract) if materialize else (lambda df, column, own: df)
-    flags = []
+    flags: list[tuple[Sequence[str], DataFrame]] = []
     for key in contract.unique_keys():
-        name = ",".join(key.columns)
-        flags.append((key.columns, checks.duplicate_keys(rows, key.columns), f"{key.kind}:{name}"))
-        if target is not None:
-            known = inside(target, key.columns[0], key.columns[0]).select(*key.columns)
-            held_keys = checks.key_counts(rows, key.columns)
-            flags.append((key.columns, held_keys.join(known, list(key.columns), "left_semi"), f"exists:{name}"))
+        known = None if target is None else inside(target, key.columns[0], key.columns[0])
+        flags.append((key.columns, _bad_keys(rows, key.columns, key.kind, known)))
     for column, fk in contract.references():
         parent = (parents or {}).get(fk.table)
-        if fk.table == contract.name and target is not None:
-            parent = target.select(fk.column).unionByName(rows.select(fk.column))   # rows may refer to each other
-        if parent is not None:
-            near = inside(parent, fk.column, column)
-            flags.append(([column], checks.orphan_keys(rows, [column], near, [fk.column]), f"foreign_key:{column}"))
+        if parent is not None and fk.table != contract.name:
+            flags.append(([column], _lost_keys(rows, column, inside(parent, fk.column, column), fk.column)))
     tagged = rows
-    for columns, bad, rule in flags:
-        tagged = _flag_keys(tagged, columns, cut_lineage(bad.select(*columns)) if materialize else bad, rule)
+    for columns, bad in flags:
+        tagged = _flag_keys(tagged, columns, cut_lineage(bad) if materialize else bad)
+    for column, fk in contract.references():
+        if fk.table == contract.name:
+            tagged = _flag_own_references(tagged, column, fk.column, target)
     return tagged.select(RAW, *contract.names, VIOLATIONS)
 
 

@@ -245,6 +245,15 @@ def test_quarantine_insert(spark, people):
         "7": ["unique:mail"], "8": ["unique:mail"], "9": ["not_null:name"]}
 
 
+def test_rejected_rows_take_their_followers_along(spark, people):
+    batch = spark.createDataFrame([
+        ("20", "toolong", "1"), ("21", "a", "20"), ("22", "b", "21"), ("23", "c", "24"), ("24", "d", "23"), ("25", "e", "25"),
+    ], "id string, name string, boss string")
+    done = changes.insert(people, batch, PEOPLE, mode="quarantine")
+    assert rows(done.accepted, "id") == [(23,), (24,), (25,)]
+    assert checks.check_foreign_key(done.rows, ["boss"], done.rows, ["id"]).first()["n_rows"] == 0
+
+
 def test_explicit_null_stays_null(spark):
     batch = spark.createDataFrame([("cy", None)], "name string, level int")
     out = changes.apply_defaults(batch.withColumn("id", F.lit(3)), PEOPLE).first()
