@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelrow import fixed_values as fv
-from keelrow.contract import TableContract
+from keelrow.contract import TableContract, pg_type
 from keelrow.session import cut_lineage
 
 TABLES = "table_name string, table_pos long"
@@ -64,8 +64,6 @@ def from_contracts(spark: SparkSession, contracts: Sequence[TableContract]) -> C
 
 def from_data(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Catalog:
     """The catalog that table schemas show: names, types and the rules kept as field metadata."""
-    from keelrow.contract import pg_type
-
     names, columns = [], []
     for t_pos, (name, df) in enumerate(tables.items()):
         names.append((name, t_pos))

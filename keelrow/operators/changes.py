@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from keelrow.contract import TableContract, spark_type
 from keelrow.functions.defaults import default_value
 from keelrow.functions.types import parse_value
+from keelrow.functions.values import Ranges
 from keelrow.operators import checks
 from keelrow.operators.numbering import dense_numbers
 from keelrow.session import cut_lineage
@@ -134,7 +135,7 @@ def tag_batch(batch: DataFrame, contract: TableContract, target: DataFrame | Non
     broken = F.array_compact(F.array(*rules)) if rules else F.array().cast("array<string>")
     rows = batch.select(F.struct(*batch.columns).alias(RAW), *typed, broken.alias(VIOLATIONS))
 
-    inside = _range_filter(rows, contract) if materialize else (lambda df, column, own: df)
+    inside = _key_ranges(rows, contract).cut if materialize else (lambda df, column, own: df)
     flags: list[tuple[Sequence[str], DataFrame]] = []
     for key in contract.unique_keys():
         known = None if target is None else inside(target, key.columns[0], key.columns[0])
@@ -152,21 +153,10 @@ def tag_batch(batch: DataFrame, contract: TableContract, target: DataFrame | Non
     return tagged.select(RAW, *contract.names, VIOLATIONS)
 
 
-def _range_filter(rows: DataFrame, contract: TableContract):
-    """Cut other tables down to the range of the batch's keys, which reaches their scans: where
-    keys grow with time, old files are not read at all.  One aggregate, one row."""
-    names = sorted({k.columns[0] for k in contract.unique_keys()} | {c for c, _ in contract.references()})
-    if not names:
-        return lambda df, column, own: df
-    bounds = rows.agg(*[f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)]).first()
-
-    def inside(df: DataFrame, column: str, own: str) -> DataFrame:
-        low, high = bounds[f"min_{own}"], bounds[f"max_{own}"]
-        if low is None:
-            return df.filter(F.lit(False))
-        return df.filter(F.col(column).between(F.lit(low), F.lit(high)))
-
-    return inside
+def _key_ranges(rows: DataFrame, contract: TableContract) -> Ranges:
+    """Ranges of the batch's keys: where keys grow with time, old files of the target and of
+    parents are then not read at all."""
+    return Ranges(rows, sorted({k.columns[0] for k in contract.unique_keys()} | {c for c, _ in contract.references()}))
 
 
 def insert(target: DataFrame, batch: DataFrame, contract: TableContract,

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from keelrow import fixed_values as fv
 from keelrow.contract import TableContract
+from keelrow.functions.values import Ranges, constant
 from keelrow.operators.numbering import dense_numbers
 from keelrow.session import cut_lineage
 
@@ -57,7 +58,7 @@ def search_count(df: DataFrame, term: str, literal: bool = False) -> DataFrame:
 
 def key_lookup(df: DataFrame, column: str, value) -> DataFrame:
     """Rows whose key equals a value; the value takes the key's type, so the filter reaches the scan."""
-    return df.filter(F.col(column) == F.lit(value).cast(df.schema[column].dataType))
+    return df.filter(F.col(column) == constant(value, df.schema[column].dataType))
 
 
 def ids_in(df: DataFrame, column: str, ids: Sequence | DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def ids_in(df: DataFrame, column: str, ids: Sequence | DataFrame) -> DataFrame:
     if not isinstance(ids, DataFrame):
         dtype = df.schema[column].dataType
         if len(ids) <= INLINE_IDS:
-            return df.filter(F.col(column).isin(*[F.lit(i).cast(dtype) for i in ids]))
+            return df.filter(F.col(column).isin(*[constant(i, dtype) for i in ids]))
         ids = df.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([T.StructField(column, dtype)]))
     return df.join(ids.select(F.col(ids.columns[0]).alias(column)), column, "left_semi")
 
@@ -121,8 +122,7 @@ def page_rows(df: DataFrame, key: Sequence[str], number: int = 1, limit: int = f
         numbers = dense_numbers(df.select(*key), "__row", key, start=0)
         # a page is at most 100 keys
         wanted = cut_lineage(numbers.filter(F.col("__row").between(skip, skip + limit - 1)).drop("__row"))
-        low, high = wanted.agg(F.min(key[0]), F.max(key[0])).first()
-        inside = df.filter(F.col(key[0]).between(F.lit(low), F.lit(high)))
+        inside = Ranges(wanted, [key[0]]).cut(df, key[0], key[0])
         return inside.join(F.broadcast(wanted), list(key), "left_semi").orderBy(*key)
     numbered = dense_numbers(df, "__row", key, start=0)
     return numbered.filter(F.col("__row").between(skip, skip + limit - 1)).orderBy("__row").drop("__row")
@@ -140,7 +140,7 @@ def next_page(df: DataFrame, key: str, after, limit: int = fv.DEFAULT_PAGE_SIZE)
     """Rows that follow a key value: the filter reaches the scan, whatever the depth."""
     _, limit = page_bounds(1, limit)
     if after is not None:
-        df = df.filter(F.col(key) > F.lit(after).cast(df.schema[key].dataType))
+        df = df.filter(F.col(key) > constant(after, df.schema[key].dataType))
     return df.orderBy(key).limit(limit)
 
 

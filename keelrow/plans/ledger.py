@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -79,7 +80,7 @@ def history_numbered(ledger: DataFrame, limit: int, table: str = "") -> DataFram
         F.row_number().over(order).cast("long").alias("number"), "status", truncate_name(F.col("name")).alias("name"),
         F.when(F.col("seconds") > 0, F.col("seconds")).alias("seconds"),
         F.coalesce(F.nullif("executed_by", F.lit("")), F.lit("N/A")).alias("executed_by"),
-        F.date_format("applied_at", "yyyy-MM-dd HH:mm").alias("applied_at"),
+        F.substring(F.col("applied_at").cast("string"), 1, 16).alias("applied_at"),
         short_checksum(F.col("checksum")).alias("checksum"),
     )
 
@@ -144,8 +145,6 @@ class Step:
 
     @property
     def checksum(self) -> str:
-        from hashlib import sha256
-
         return sha256(repr(self.operations).encode()).hexdigest()
 
     @property
@@ -189,9 +188,12 @@ class Ledger:
 
     def paths(self) -> dict[str, str]:
         """Where each table is now: one row per table comes back."""
-        moved = self.rows().filter("status IN ('success', 'rolled_back')").select(
-            "applied_at", "id", F.explode("paths").alias("table", "path")
-        ).groupBy("table").agg(F.max_by("path", F.struct("applied_at", "id")).alias("path")).collect()
+        return self._paths_of(self.rows())
+
+    def _paths_of(self, rows: DataFrame) -> dict[str, str]:
+        moved = rows.filter("status IN ('success', 'rolled_back')").select(
+            "id", F.explode("paths").alias("table", "path")
+        ).groupBy("table").agg(F.max_by("path", "id").alias("path")).collect()
         return {**self.baseline, **{r["table"]: r["path"] for r in moved}}
 
     def _names(self, state: str, among: Sequence[str] | None = None) -> list[str]:
@@ -261,15 +263,8 @@ class Ledger:
 
     def _paths_before(self, name: str) -> dict[str, str]:
         """Paths of the step's tables before it ran."""
-        step = latest(self.rows()).filter(F.col("name") == name).select("applied_at", "id", "paths").first()
-        before = self.rows().filter(
-            F.col("status").isin("success", "rolled_back")
-            & (F.struct("applied_at", "id") < F.struct(
-                F.lit(step["applied_at"]).cast("timestamp_ntz").alias("applied_at"), F.lit(step["id"]).alias("id")))
-        ).select("applied_at", "id", F.explode("paths").alias("table", "path")).groupBy("table").agg(
-            F.max_by("path", F.struct("applied_at", "id")).alias("path")
-        ).collect()
-        known = {**self.baseline, **{r["table"]: r["path"] for r in before}}
+        step = latest(self.rows().filter(F.col("name") == name)).select("id", "paths").first()
+        known = self._paths_of(self.rows().filter(F.col("id") < step["id"]))
         return {t: known[t] for t in step["paths"] if t in known}
 
     def rollback(self, steps: int) -> list[str]:

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from keelrow.contract import TableContract
@@ -53,8 +55,7 @@ def import_batch(rows: DataFrame, number: int, target_path: str, reject_path: st
     fixed = cut_lineage(rows)
     columns = [c for c in fixed.columns if c not in (CORRUPT, "source_file")]
     # rows written by an earlier try of this batch do not count as there
-    target = spark.read.schema(_with_batch(contract)).parquet(target_path).filter(
-        F.col(BATCH) != number).drop(BATCH) if _exists(spark, target_path) else spark.createDataFrame([], contract.struct())
+    target = _rows_before(spark, target_path, contract, number)
     known = parents() if parents else {}
     good = fixed.filter(F.col(CORRUPT).isNull())
     next_ids = {c.name: changes.next_id(target, c.name)
@@ -71,16 +72,16 @@ def import_batch(rows: DataFrame, number: int, target_path: str, reject_path: st
         f"{file_path}/{BATCH}={number}")
 
 
-def _with_batch(contract: TableContract):
-    from pyspark.sql import types as T
-
-    return T.StructType([*[T.StructField(f.name, f.dataType) for f in contract.struct().fields],
-                         T.StructField(BATCH, T.LongType())])
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+def _rows_before(spark: SparkSession, path: str, contract: TableContract, number: int) -> DataFrame:
+    """Imported rows of all other batches; none before the first."""
+    fields = [T.StructField(f.name, f.dataType) for f in contract.struct().fields]
+    try:
+        rows = spark.read.schema(T.StructType([*fields, T.StructField(BATCH, T.LongType())])).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], contract.struct())
+    return rows.filter(F.col(BATCH) != number).drop(BATCH)
 
 
 def stream_import(rows: DataFrame, base: str, contract: TableContract,

@@ -127,9 +127,8 @@ def check_type(spark, sf_dir):
         F.substring("o_orderpriority", 1, 1).alias("priority_number"),
         F.col("o_orderpriority").alias("priority_name"),
         F.col("o_orderpriority").alias("priority_code"),
-        F.format_number(F.col("o_totalprice") * 10, 2).alias("with_commas"),
         F.regexp_replace(F.format_number(F.col("o_totalprice") * 10, 2), ",", "").alias("price"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+        F.col("o_orderdate").cast("date").cast("string").alias("day"),
         F.when(F.col("o_orderstatus") == "P", F.lit("true")).otherwise(F.col("o_orderstatus")).alias("flag"),
         F.col("o_orderkey").cast("string").alias("number_of_key"),
     )

@@ -320,6 +320,25 @@ def test_layouts(spark, tmp_path):
         spark.sql("DROP TABLE IF EXISTS bucket_b")
 
 
+def test_empty_table_is_typed(spark, tmp_path):
+    df = layout.create_table(spark, str(tmp_path / "e"), ITEMS)
+    assert df.count() == 0 and [f.dataType for f in df.schema] == [f.dataType for f in ITEMS.struct()]
+
+
+def test_time_keys_do_not_shift(spark, tmp_path):
+    contract = TableContract("t", (Column("at", "timestamp", primary=True), Column("v", "text")))
+    target = spark.sql("SELECT TIMESTAMP_NTZ'2024-03-31 02:30:00' AS at, 'x' AS v")
+    path = tmp_path / "t.csv"
+    path.write_text("at,v\n2024-03-31 02:30:00,y\n2024-03-31 03:30:00,z\n")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        done = csv_files.import_csv(spark, str(path), target, contract, mode="quarantine")
+        assert [r["v"] for r in done.accepted.collect()] == ["z"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_publish_switches_versions(spark, tmp_path):
     one, two = (layout.new_version(str(tmp_path), "t") for _ in range(2))
     layout.write_version(spark.range(3), one)
