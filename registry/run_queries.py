@@ -228,6 +228,33 @@ def drift_report(spark, sf_dir):
     return led.drift_report(_diff(spark, sf_dir), report, ledger_of_events(spark, sf_dir), _document_scripts(spark, sf_dir))
 
 
+def _ran_ledger(spark, sf_dir):
+    """Three steps over orders, the last one rolled back again."""
+    ledger = led.Ledger(spark, scratch_path(spark, "ledger"), {"orders": f"{sf_dir}/orders.parquet"},
+                        {"orders": ORDERS}, user="registry")
+    priority = ORDERS.column("o_orderpriority")
+    ledger.apply_pending([
+        led.Step("003_state", (ev.rename_column("orders", ORDERS.column("o_orderstatus"), "o_state"),)),
+        led.Step("001_channel", (ev.add_column("orders", _CHANNEL), ev.add_column("orders", _RATING))),
+        led.Step("002_priority", (ev.modify_column("orders", replace(priority, type="varchar(20)"), priority),)),
+    ])
+    ledger.rollback(1)
+    return ledger
+
+
+def ledger_current_table(spark, sf_dir):
+    return spark.read.parquet(_ran_ledger(spark, sf_dir).paths()["orders"])
+
+
+def ledger_rows(spark, sf_dir):
+    """What the ledger says about each run: its newest state and how often it was written."""
+    ledger = _ran_ledger(spark, sf_dir)
+    written = ledger.rows().groupBy("name").agg(F.count(F.lit(1)).alias("n_rows"))
+    rows_now = spark.read.parquet(ledger.paths()["orders"]).agg(F.count(F.lit(1)).alias("n_orders"))
+    return led.latest(ledger.rows()).select("name", "status", "table_affected", "executed_by").join(
+        written, "name").withColumn("n_orders", F.lit(rows_now.first()[0]))
+
+
 _STATUS_SQL = f"""
 WITH l AS ({LEDGER_SQL}), d AS (SELECT 'run_' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS name FROM documents)
 SELECT 'applied' AS state, name, CAST(NULL AS VARCHAR) AS error_message FROM l WHERE status = 'success'
@@ -306,7 +333,7 @@ QUERIES = {
         evolve_refusals, script_sections, status_applied_pending_failed, pending_scripts, failed_runs, top_k_history,
         history_filtered, history_numbered, history_summary, log_recent, rollback_candidates, latest_runs,
         checksum_drift, drift_report, render_insert, render_insert_typed, csv_round_trip, csv_typed_round_trip,
-        json_round_trip, sql_round_trip, clustered_layout, stream_import,
+        json_round_trip, sql_round_trip, clustered_layout, stream_import, ledger_current_table, ledger_rows,
     )
 }
 
@@ -374,6 +401,10 @@ ORACLES = {
     "csv_typed_round_trip": "SELECT * FROM orders",
     "json_round_trip": "SELECT * FROM documents",
     "sql_round_trip": "SELECT * FROM documents",
+    "ledger_current_table": "SELECT *, 'web' AS o_channel, CAST(5 AS INTEGER) AS o_rating FROM orders",
+    "ledger_rows": """
+        SELECT name, status, 'orders' AS table_affected, 'registry' AS executed_by, n_rows, (SELECT count(*) FROM orders) AS n_orders
+        FROM (VALUES ('001_channel', 'success', 1::BIGINT), ('002_priority', 'success', 1), ('003_state', 'rolled_back', 2)) AS t(name, status, n_rows)""",
     "clustered_layout": "SELECT * FROM lineitem WHERE l_shipdate >= '1998-03-01' AND l_shipdate < '1998-04-01'",
     "stream_import": "SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
 }

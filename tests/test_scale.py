@@ -111,7 +111,7 @@ def test_hot_cascade_is_exact(spark, hot):
 
 QUERIES = entry_module.queries()
 # these write files or build catalogs on the way, which takes long for a look at a plan
-SLOW = ("round_trip", "stream_import", "catalog", "diff_summary", "diff_lines", "operation_counts", "rename", "drift")
+SLOW = ("round_trip", "ledger_", "stream_import", "catalog", "diff_summary", "diff_lines", "operation_counts", "rename", "drift")
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if not any(s in n for s in SLOW)))
