@@ -115,9 +115,10 @@ def tag_batch(batch: DataFrame, contract: TableContract, target: DataFrame | Non
     """Typed batch with the rules each row breaks and the row as it came.
 
     Row rules are expressions.  Keys are counted per value, so what is joined back is one row
-    per offending key; those few keys are written out first (``materialize``), so that Spark
-    can broadcast them or split a hot key of the batch.  All rows of a key that the batch
-    repeats are marked.
+    per offending key.  With ``materialize`` the typed rows are written once, so values are parsed
+    and defaults drawn once, and the few offending keys are written too, so that Spark can
+    broadcast them or split a hot key of the batch.  All rows of a key that the batch repeats
+    are marked.
     """
     held = {f.name: f.dataType for f in batch.schema.fields}
     typed = []
@@ -134,6 +135,8 @@ def tag_batch(batch: DataFrame, contract: TableContract, target: DataFrame | Non
     ]
     broken = F.array_compact(F.array(*rules)) if rules else F.array().cast("array<string>")
     rows = batch.select(F.struct(*batch.columns).alias(RAW), *typed, broken.alias(VIOLATIONS))
+    if materialize:
+        rows = cut_lineage(rows)
 
     inside = _key_ranges(rows, contract).cut if materialize else (lambda df, column, own: df)
     flags: list[tuple[Sequence[str], DataFrame]] = []
@@ -166,13 +169,11 @@ def insert(target: DataFrame, batch: DataFrame, contract: TableContract,
 
     ``strict``: one bad row refuses the whole batch.  ``quarantine``: bad rows are set aside.
     The tagged batch is written once (``materialize``) because accepted rows, rejected rows and
-    the strict check all read it.
+    the strict check all read it; see :func:`tag_batch` for what else is.
     """
     if mode not in ("strict", "quarantine"):
         raise ValueError("mode is strict or quarantine")
     complete = apply_defaults(batch, contract, next_ids)
-    if materialize:
-        complete = cut_lineage(complete)
     tagged = tag_batch(complete, contract, target, parents, materialize)
     if materialize:
         tagged = cut_lineage(tagged)
