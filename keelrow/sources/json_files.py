@@ -40,7 +40,7 @@ def read_json(spark: SparkSession, path: str, contract: TableContract, array_fil
 
     The columns are those that any object has, not only the first; a key that is missing from
     an object is NULL, a column that no object has gets its default on insert.  Objects with
-    unknown keys refuse the import.
+    unknown keys refuse the import; the message names twenty, :func:`unknown_keys` lists all.
     """
     objects = cut_lineage(read_objects(spark, path, array_files))
     unknown = sorted(r["key"] for r in unknown_keys(objects, contract).orderBy("key").limit(20).collect())

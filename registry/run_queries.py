@@ -17,8 +17,7 @@ from keelrow.streaming import importing
 from registry.catalog_queries import _diff, _operations_sql
 from registry.contract_queries import _orphan_count_sql, _rule_sql, _unique_count_sql
 from registry.star import (
-    CUSTOMER, LEDGER_SQL, LINEITEM, ORDERS, REGION, STAR, ledger_of_events, returned_lines_without_quantity,
-    star_tables, table,
+    LEDGER_SQL, LINEITEM, ORDERS, STAR, ledger_of_events, returned_lines_without_quantity, table,
 )
 
 CONTRACTS = {c.name: c for c in STAR}
