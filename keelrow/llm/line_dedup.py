@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelrow.llm import perfect_hash
+from keelrow.llm.perfect_hash import build, slots
 from keelrow.llm.common import (
     ID, LAST_ID, ROW, TEXT, Batches, carried, in_pieces, longs, shuffle_partitions, uncarried, utf8,
 )
@@ -63,8 +63,8 @@ def _line_hashes(min_chars: int):
 
 def _build_shard(table: pa.Table) -> pa.Table:
     high, low = (longs(table.column(c).combine_chunks()).view(np.uint64) for c in ("hi", "lo"))
-    sizes, words = perfect_hash.build(high, low)
-    at = perfect_hash.slots(sizes, words, high, low)
+    sizes, words = build(high, low)
+    at = slots(sizes, words, high, low)
     fingerprints, holders, first = (np.zeros(len(at), np.int64) for _ in range(3))
     fingerprints[at] = low.view(np.int64)
     holders[at] = longs(table.column("holders").combine_chunks())
@@ -85,7 +85,7 @@ def _probe(probes: pa.Table, arrays: pa.Table) -> pa.Table:
         for name in ("sizes", "words", "fingerprints", "holders", "first")
     }
     high, low, ids = (longs(probes.column(c).combine_chunks()) for c in ("hi", "lo", "__id"))
-    at = perfect_hash.slots(array["sizes"], array["words"], high.view(np.uint64), low.view(np.uint64))
+    at = slots(array["sizes"], array["words"], high.view(np.uint64), low.view(np.uint64))
     drop = (at >= 0) & (array["fingerprints"][at] == low) & (array["first"][at] != ids)
     return probes.select(["__id", "hi", "lo"]).filter(pa.array(drop))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelrow.llm import line_dedup
+from keelrow.llm import line_dedup, quality_rules, simhash_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +19,82 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality_rules.judge(docs, _table(spark, sf_dir, "labels")).select(
+        F.col("__id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "failed_rules",
+    )
+
+
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash_dedup.near_duplicates(docs).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op6_simhash_dedup": op6_simhash_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
+# Every share above its cutoff; the certified cutoffs from exact binomial tails by the log gamma function
+_QUALITY_SQL = r"""
+    WITH base AS (
+        SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
+            list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+            string_split(coalesce(text, ''), chr(10)) AS l
+        FROM documents
+    ), full_lines AS (
+        SELECT *, list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS fl FROM base
+    ), windows AS (
+        SELECT doc_id, i, list_slice(w, i, i + 7) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM base)
+    ), twice AS (
+        SELECT doc_id, i FROM windows SEMI JOIN (
+            SELECT doc_id, win FROM windows GROUP BY ALL HAVING count(*) > 1) r USING (doc_id, win)
+    ), covered AS (
+        SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM twice, (SELECT unnest(range(8)) AS o) GROUP BY doc_id
+    ), counts AS (
+        SELECT doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+            length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+            (len(fl) - len(list_distinct(fl)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+            len(l) AS n_lines, length(regexp_replace(t, '\P{Lu}', '', 'g')) AS n_capitals,
+            length(regexp_replace(t, '[^!]', '', 'g')) AS n_marks
+        FROM full_lines LEFT JOIN covered USING (doc_id)
+    ), shares AS (
+        SELECT doc_id, stratum, unnest(['symbols', 'capitals', 'marks', 'dup_lines', 'repeat_words']) AS rule,
+            unnest([if(word_chars > 0, n_symbols / word_chars, 0.0), if(word_chars > 0, n_capitals / word_chars, 0.0),
+                if(word_chars > 0, n_marks / word_chars, 0.0), if(n_lines > 0, n_dup_lines / n_lines, 0.0),
+                if(n_words > 0, n_repeat_words / n_words, 0.0)]) AS share
+        FROM counts
+    ), marked AS (
+        SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
+    ), tests AS (
+        SELECT stratum, rule, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND share > cutoff) AS k,
+            count(*) FILTER (NOT good AND share > cutoff) AS bad
+        FROM shares JOIN marked USING (doc_id), (SELECT unnest(range(1, 33)) / 40 AS cutoff) GROUP BY ALL
+    ), tails AS (
+        SELECT *, list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
+            + j * ln(0.01) + (n - j) * ln(0.99)))) AS tail, (SELECT count(*) FROM tests) AS m
+        FROM tests WHERE k < n * 0.01 AND bad > k
+    ), chosen AS (
+        SELECT stratum, rule, arg_max(cutoff, (bad - k) * 1000 + cutoff) AS cutoff FROM tails WHERE tail <= 0.05 / m
+        GROUP BY stratum, rule
+    ), failed AS (
+        SELECT doc_id, string_agg(rule, ',' ORDER BY list_position(['symbols', 'capitals', 'marks', 'dup_lines', 'repeat_words'], rule))
+            AS failed_rules
+        FROM shares JOIN chosen USING (stratum, rule) WHERE share > cutoff GROUP BY doc_id
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND failed_rules IS NULL AS kept,
+        coalesce(failed_rules, '') AS failed_rules
+    FROM counts LEFT JOIN failed USING (doc_id)"""
+
 ORACLES = {
+    "op1_quality_rules": _QUALITY_SQL,
     "op10_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, i, l[i] AS line, lower_ascii AS key FROM (
