@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelrow.llm import line_dedup, quality_rules, simhash_dedup
+from keelrow.llm import decontamination, licenses, line_dedup, lm_scoring, mixing, quality_rules, secrets, simhash_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _remainder(doc_id: str, n: int):
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules.judge(docs, _table(spark, sf_dir, "labels")).select(
@@ -27,6 +32,25 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_scoring.score(docs, _remainder("__id", 10) == 0).select(
+        F.col("__id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.leaking_items(docs, _table(spark, sf_dir, "benchmark")).withColumn(
+        "similarity", F.round("similarity", 6))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).select(
+        F.col("__id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels",
+        F.round("score", 9).alias("score"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash_dedup.near_duplicates(docs).select(
@@ -34,10 +58,45 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    base = [rule.kind for rule in secrets.BASE]
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return secrets.scan(docs).select(
+        "doc_id", *map(count, base), F.sha2(joined(F.filter("spans", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixed = mixing.mix(docs, _table(spark, sf_dir, "labels"), with_text=False)
+    posterior = [F.get("posterior", F.lit(i)).alias(f"p_{name}") for i, name in enumerate(sorted(mixing.TARGETS))]
+    return mixed.select("doc_id", "n_tokens", *posterior, "rate", "copies")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, _table(spark, sf_dir, "labels"), usable=_remainder("__id", 3) != 1)
+    return scored.select("doc_id", (_remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_lm_scoring": op2_lm_scoring,
+    "op3_decontamination": op3_decontamination,
+    "op4_license_scan": op4_license_scan,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 # Every share above its cutoff; the certified cutoffs from exact binomial tails by the log gamma function
@@ -95,6 +154,42 @@ _QUALITY_SQL = r"""
 
 ORACLES = {
     "op1_quality_rules": _QUALITY_SQL,
+    # windows of an item's size at every shared shingle, compared exactly
+    "op3_decontamination": r"""
+        WITH words AS (
+            SELECT 'd' AS kind, doc_id AS id, list_filter(string_split_regex(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+                lambda x: x <> '') AS w FROM documents
+            UNION ALL
+            SELECT 'i', item_id, list_filter(string_split_regex(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+                lambda x: x <> '') FROM benchmark
+        ), items AS (
+            SELECT id AS item_id, w, len(w) AS n FROM words WHERE kind = 'i' AND len(w) >= 5
+        ), item_shingles AS (
+            SELECT item_id, n, i, list_slice(w, i, i + 4) AS s FROM (SELECT *, unnest(range(1, n - 3)) AS i FROM items)
+        ), idf AS (
+            SELECT s, ln(1 + (SELECT count(*) FROM items) / count(DISTINCT item_id)) AS idf FROM item_shingles GROUP BY s
+        ), doc_shingles AS (
+            SELECT id AS doc_id, p, list_slice(w, p, p + 4) AS s
+            FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS p FROM words WHERE kind = 'd')
+        ), windows AS (
+            SELECT DISTINCT doc_id, item_id, n, greatest(p - i, 0) AS start FROM doc_shingles JOIN item_shingles USING (s)
+        ), own AS (
+            SELECT doc_id, item_id, start, s, count(*) AS c
+            FROM windows JOIN doc_shingles USING (doc_id) WHERE p > start AND p + 4 <= start + n GROUP BY ALL
+        ), theirs AS (
+            SELECT item_id, s, count(*) AS c FROM item_shingles GROUP BY ALL
+        ), sums AS (
+            SELECT doc_id, item_id, start, sum(own.c * coalesce(idf, (SELECT max(idf) FROM idf))) AS wa,
+                sum(least(own.c, coalesce(theirs.c, 0)) * coalesce(idf, 0)) AS common
+            FROM own LEFT JOIN theirs USING (item_id, s) LEFT JOIN idf USING (s) GROUP BY ALL
+        ), weights AS (
+            SELECT item_id, sum(c * idf) AS wb FROM theirs JOIN idf USING (s) GROUP BY item_id
+        )
+        SELECT doc_id, item_id, count(*) AS n_windows, min(start)::INTEGER AS first_word, round(max(common / (wa + wb - common)), 6) AS similarity
+        FROM sums JOIN weights USING (item_id) WHERE common / (wa + wb - common) >= 0.8 - 1e-9 GROUP BY doc_id, item_id""",
+    "op4_license_scan": licenses.duckdb_sql().replace("AS score", "AS raw").replace(
+        "greatest(coalesce(coverage, 0.0), if(n_base > 0, 0.5, 0.0))::DOUBLE AS raw",
+        "round(greatest(coalesce(coverage, 0.0), if(n_base > 0, 0.5, 0.0))::DOUBLE, 9) AS score"),
     "op10_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, i, l[i] AS line, lower_ascii AS key FROM (
