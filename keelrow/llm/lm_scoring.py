@@ -3,9 +3,11 @@
 The vocabulary of a public tokenizer gives the pieces, and its ranks the first weights (Zipf's law). Its
 weights are then fitted to the training documents by expectation maximisation: the distinct words
 and their counts, gathered over all of them, are segmented in all ways by forward and backward
-recursions in log space, and the expected counts of the pieces are the next weights.  The score of
-a text is the log10 of its marginal probability: each word's sum over all segmentations, and an end.
-Beside it stands the smoothed unigram score over whole words (base).
+recursions in log space, and the expected counts of the pieces are the next weights.  A text's
+``lattice_score`` is the log10 of its marginal probability: each word's sum over all segmentations, and an
+end.  For ``score`` a word of the training documents has one more way through its lattice, the whole word
+with its relative frequency; the two are mixed by the mass of unseen words as Good and Turing estimate it
+(the share of words seen once).  Beside them stands the smoothed unigram score over whole words (base).
 
 Every distinct word is segmented once, wherever it occurs.  The commonest words of the corpus
 (``HEAD``, a bounded table) are broadcast; documents add these up on the spot and pass on only their other words,
@@ -116,14 +118,21 @@ def fit(words: DataFrame, pieces: Sequence[str], logs: np.ndarray, ends: int, ro
     return logs + math.log1p(-end), math.log10(end)
 
 
-def _dealt(head, end_known: bool, end_base: float, end_score: float):
+def _mixed(c: Column, lattice: Column, tokens: int, unseen: float) -> Column:
+    """log10 of the mixture of a word's frequency and its lattice."""
+    whole = F.log10((1 - unseen) * c / F.lit(float(max(tokens, 1))) + unseen * F.pow(F.lit(10.0), lattice))
+    return F.when(c > 0, whole).otherwise(math.log10(unseen) + lattice)
+
+
+def _dealt(head, ends: tuple[bool, float, float, float]):
     def dealt(batches: Batches) -> Iterator[pa.RecordBatch]:
         table = head.value
         for batch in batches:
-            columns = {name: [] for name in ("n_tokens", "n_known", "base", "score", "words", "times")}
+            columns = {name: [] for name in ("n_tokens", "n_known", "base", "score", "lattice", "words", "times")}
             for text in utf8(batch.column("__text")):
                 words = _words(text)
-                known, base, score, rare, times = int(end_known), [end_base], [end_score], [], []
+                known, base, score, lattice = int(ends[0]), [ends[1]], [ends[2]], [ends[3]]
+                rare, times = [], []
                 for word, n in Counter(words).items():
                     got = table.get(word)
                     if got is None:
@@ -133,9 +142,11 @@ def _dealt(head, end_known: bool, end_base: float, end_score: float):
                         known += n * (got[0] > 0)
                         base.append(n * got[1])
                         score.append(n * got[2])
-                for name, value in zip(columns, (len(words) + 1, known, math.fsum(base), math.fsum(score), rare, times)):
+                        lattice.append(n * got[3])
+                row = (len(words) + 1, known, math.fsum(base), math.fsum(score), math.fsum(lattice), rare, times)
+                for name, value in zip(columns, row):
                     columns[name].append(value)
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
             own = [c for c in batch.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in own), *(pa.array(v, t) for v, t in zip(columns.values(), types))], [*own, *columns])
@@ -145,7 +156,8 @@ def _dealt(head, end_known: bool, end_base: float, end_score: float):
 def score(
     docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, rounds: int = ROUNDS,
 ) -> DataFrame:
-    """``__id``, ``__row``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
+    """``__id``, ``__row``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` and
+    ``lattice_score``.
 
     ``held_out`` (over ``__id``) marks the documents that nothing is learnt from.
     """
@@ -155,31 +167,39 @@ def score(
         rows.select(TEXT, "held_out").mapInArrow(_counted, "word binary, c long, n long")
         .groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")))
     ends = rows.filter(~F.col("held_out")).count()
-    tokens, distinct = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    tokens, distinct, once = words.filter("c > 0").agg(
+        F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1)).first()
     tokens, distinct = tokens + ends, distinct + (ends > 0)
+    unseen = max(once, 1) / (tokens + 1) if tokens else 1.0
     whole = tokens + SMOOTHING * (distinct + 1)
     pieces, logs = vocabulary(path)
-    logs, end_score = fit(words, pieces, logs, ends, rounds)
+    logs, end_lattice = fit(words, pieces, logs, ends, rounds)
+    end_score = math.log10((1 - unseen) * ends / max(tokens, 1) + unseen * 10 ** end_lattice)
     model = context.broadcast((pieces, logs))
     base = F.log10((F.col("c") + SMOOTHING) / F.lit(whole))
-    table = cut_lineage(words.mapInArrow(_with_logs(model), "word binary, c long, n long, lp double").withColumn("base", base))
+    table = cut_lineage(words.mapInArrow(_with_logs(model), "word binary, c long, n long, lp double")
+                        .withColumns({"base": base, "mixed": _mixed(F.col("c"), F.col("lp"), tokens, unseen)}))
     # a bounded table: the commonest words, of any corpus
-    common = table.orderBy(F.col("n").desc(), "word").limit(HEAD).select("word", "c", "base", "lp").toArrow()
-    head = context.broadcast({w: (c, b, s) for w, c, b, s in zip(*(common.column(i).to_pylist() for i in range(4)))})
+    common = table.orderBy(F.col("n").desc(), "word").limit(HEAD).select("word", "c", "base", "mixed", "lp").toArrow()
+    head = context.broadcast({word: values for word, *values in zip(*(common.column(i).to_pylist() for i in range(5)))})
     row_type = rows.schema[ROW].dataType.simpleString()
     dealt = cut_lineage(
         rows.select(ID, ROW, "held_out", TEXT)
         .mapInArrow(
-            _dealt(head, ends > 0, math.log10((ends + SMOOTHING) / whole), end_score),
+            _dealt(head, (ends > 0, math.log10((ends + SMOOTHING) / whole), end_score, end_lattice)),
             f"{ID} long, {ROW} {row_type}, held_out boolean, n_tokens long, n_known long, base double, score double,"
-            " words array<binary>, times array<long>")
+            " lattice double, words array<binary>, times array<long>")
         .withColumn("__rid", F.monotonically_increasing_id()))
     rare = dealt.select("__rid", F.explode(F.arrays_zip("words", "times")).alias("x")).select(
         "__rid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    more = rare.join(table.select("word", "c", F.col("base").alias("one"), "lp"), "word").groupBy("__rid").agg(
+    more = rare.join(table.select("word", "c", F.col("base").alias("one"), "mixed", "lp"), "word").groupBy("__rid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(F.lit(0))).alias("more_known"),
-        F.sum(F.col("times") * F.col("one")).alias("more_base"), F.sum(F.col("times") * F.col("lp")).alias("more_score"))
+        *(F.sum(F.col("times") * F.col(c)).alias(f"more_{c}") for c in ("one", "mixed", "lp")))
+
+    def total(own: str, other: str) -> Column:
+        return F.col(own) + F.coalesce(other, F.lit(0))
+
     return dealt.join(more, "__rid", "left").select(
-        ID, ROW, "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))
+        ID, ROW, "held_out", "n_tokens", total("n_known", "more_known").alias("n_known"),
+        F.lit(tokens).cast("long").alias("train_tokens"), total("base", "more_one").alias("base_score"),
+        total("score", "more_mixed").alias("score"), total("lattice", "more_lp").alias("lattice_score"))

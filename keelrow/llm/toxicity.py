@@ -1,13 +1,13 @@
 """Toxicity from averaged subword embeddings with a linear softmax on top, trained jointly in numpy.
 
 Texts are cut into passages of a few words.  A passage is the average of the embeddings of the character
-n-grams of its words (3 to 5 bytes with the word's ends), so a misspelling shares most n-grams
+n-grams of its words (3 to 7 bytes with the word's ends), so a misspelling shares most n-grams
 with the word it stands for.  A linear softmax over the two classes scores the passage; the document's
 score is that of its most toxic passage, so a few words in a long text are not averaged away.
 Only documents are labelled: training starts with all passages of a document and narrows down to its
 highest-scoring ones, with embeddings and softmax updated together (Adagrad).
 
-The sample is bounded: ``MAX_PER_CLASS`` labelled documents of each class of at most ``MAX_CHARS`` characters,
+The sample is bounded: ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled documents of at most ``MAX_CHARS`` characters,
 those whose ids have the smallest hashes.  It is collected and fitted on the driver.  Scoring reads every whole
 text in the tasks; a passage needs one number for each n-gram cell, the product of embedding and softmax.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,13 @@ from keelrow.llm.common import ID, ROW, TEXT, Batches, carried, uncarried, utf8
 from keelrow.session import cut_lineage
 
 THRESHOLD = 0.7
-MAX_PER_CLASS = 1_500
+MAX_TOXIC, MAX_CLEAN = 1_500, 3_000
 MAX_CHARS = 20_000
 PASSAGE = 12
 CELLS, DIMENSIONS = 1 << 17, 8
-NGRAMS = (3, 4, 5)
+NGRAMS = (3, 4, 5, 6, 7)
+# a passage with fewer n-grams counts as having so many
+LEAST = 100
 _EPOCHS, _RATE = 10, 0.5
 _PIECE = 1 << 20
 _SPACE = np.zeros(256, bool)
@@ -42,8 +45,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def passages(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """Cells of all n-grams, the passage of each, and the number of passages."""
-    words = text.lower().split()
+    """Cells of all n-grams, the passage of each, and the number of passages; a word at once repeated counts once."""
+    words = [word for word, _ in groupby(text.lower().split())]
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
@@ -97,7 +100,11 @@ def _pieces(text: bytes) -> Iterator[bytes]:
 
 
 def _means(values: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(owners, values, minlength=n) / np.maximum(np.bincount(owners, minlength=n), 1)
+    return np.bincount(owners, values, minlength=n) / _sizes(owners, n)
+
+
+def _sizes(owners: np.ndarray, n: int) -> np.ndarray:
+    return np.maximum(np.bincount(owners, minlength=n), LEAST)
 
 
 def fit(rows: Sequence[tuple[int, bytes]], seed: int = 7) -> Model:
@@ -122,7 +129,7 @@ def fit(rows: Sequence[tuple[int, bytes]], seed: int = 7) -> Model:
             errors = np.zeros(n, np.float32)
             errors[chosen] = (1 / (1 + np.exp(-logits[chosen])) - label) / k
             used = errors[owners] != 0
-            sizes = np.maximum(np.bincount(owners, minlength=n), 1)
+            sizes = _sizes(owners, n)
             at, which = np.unique(cells[used], return_inverse=True)
             if not len(at):
                 continue
@@ -143,8 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         F.col(ID).isNotNull() & F.col("label").isin(0, 1) & usable).groupBy(ID).agg(F.max("label").alias("label"))
     order = (F.xxhash64(ID), F.col(ID))
     chosen = cut_lineage(
-        known.filter("label = 1").orderBy(*order).limit(MAX_PER_CLASS)
-        .union(known.filter("label = 0").orderBy(*order).limit(MAX_PER_CLASS)).withColumnRenamed(ID, "__chosen"))
+        known.filter("label = 1").orderBy(*order).limit(MAX_TOXIC)
+        .union(known.filter("label = 0").orderBy(*order).limit(MAX_CLEAN)).withColumnRenamed(ID, "__chosen"))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias(ID), F.col(f"`{text_col}`").cast("string").alias(TEXT)).filter(
         F.char_length(TEXT) <= MAX_CHARS).join(F.broadcast(chosen), F.col(ID) == F.col("__chosen"))
     # a sample of bounded size; of repeated rows of one id any one
