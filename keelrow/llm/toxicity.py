@@ -1,7 +1,7 @@
 """Toxicity from averaged subword embeddings with a linear softmax on top, trained jointly in numpy.
 
 Texts are cut into passages of a few words.  A passage is the average of the embeddings of the character
-n-grams of its words (3 to 7 bytes with the word's ends), so a misspelling shares most n-grams
+n-grams of its words (3 to 6 bytes with the word's ends), so a misspelling shares most n-grams
 with the word it stands for.  A linear softmax over the two classes scores the passage; the document's
 score is that of its most toxic passage, so a few words in a long text are not averaged away.
 Only documents are labelled: training starts with all passages of a document and narrows down to its
@@ -31,43 +31,60 @@ from keelrow.llm.common import ID, ROW, TEXT, Batches, carried, uncarried, utf8
 from keelrow.session import cut_lineage
 
 THRESHOLD = 0.7
-MAX_TOXIC, MAX_CLEAN = 1_500, 3_000
+MAX_TOXIC, MAX_CLEAN = 1_500, 2_500
 MAX_CHARS = 20_000
 PASSAGE = 12
-CELLS, DIMENSIONS = 1 << 17, 8
-NGRAMS = (3, 4, 5, 6, 7)
+CELL_BITS, DIMENSIONS = 17, 8
+CELLS = 1 << CELL_BITS
+NGRAMS = (3, 4, 5, 6)
 # a passage with fewer n-grams counts as having so many
 LEAST = 100
-_EPOCHS, _RATE = 10, 0.5
+_EPOCHS, _RATE, _TOGETHER = 8, 0.5, 32
+# where the threshold lies between the samples, from clean to toxic
+_BETWEEN = 0.12
 _PIECE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def passages(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """Cells of all n-grams, the passage of each, and the number of passages; a word at once repeated counts once."""
+def _spaced(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """The words with single spaces around them, the first byte of each passage, and the number of passages.
+
+    A word that is repeated at once counts once.
+    """
     words = [word for word, _ in groupby(text.lower().split())]
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-    space = data == 32
-    passage = np.maximum(np.cumsum(space) - 1, 0) // PASSAGE
-    cells, owners = [], []
-    wide = data.astype(np.uint64)
-    for n in NGRAMS:
-        if len(data) < n:
-            continue
-        length = len(data) - n + 1
-        code, inner = np.zeros(length, np.uint64), np.zeros(length, bool)
-        for k in range(n):
-            code = code * np.uint64(0x100000001B3) + wide[k:k + length]
-            if 0 < k < n - 1:
-                inner |= space[k:k + length]
-        code = (code + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-        cells.append((code >> np.uint64(47)).astype(np.int64)[~inner])
-        # the space before a word counts as its start, so it belongs to that word
-        owners.append(passage[:length][~inner])
-    return np.concatenate(cells), np.concatenate(owners), (len(words) - 1) // PASSAGE + 1
+    # a passage starts at the space before its first word
+    starts = np.flatnonzero(data == 32)[:-1:PASSAGE]
+    return data, starts, len(starts) if words else 0
+
+
+def _grams(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each size: the cell of the n-gram at each byte, and whether it lies within one word and its ends."""
+    space, wide = data == 32, data.astype(np.uint64)
+    code, across = np.zeros(len(data), np.uint64), np.zeros(len(data), bool)
+    for k in range(min(NGRAMS[-1], len(data))):
+        length = len(data) - k
+        code = code[:length] * np.uint64(0x100000001B3) + wide[k:]
+        across = across[:length] | space[k - 1:k - 1 + length] if k >= 2 else across[:length]
+        if k + 1 >= NGRAMS[0]:
+            mixed = (code + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+            yield (mixed >> np.uint64(64 - CELL_BITS)).astype(np.int64), ~across
+
+
+def passages(text: bytes) -> list[np.ndarray]:
+    """The cells of all n-grams of each passage."""
+    data, starts, n = _spaced(text)
+    if not n:
+        return []
+    cells, places = [], []
+    for found, within in _grams(data):
+        at = np.flatnonzero(within)
+        cells.append(found[at])
+        places.append(at)
+    place = np.concatenate(places)
+    order = np.argsort(place, kind="stable")
+    return np.split(np.concatenate(cells)[order], np.searchsorted(place[order], starts[1:]))
 
 
 @dataclass(frozen=True)
@@ -81,9 +98,16 @@ class Model:
         """The logit of the most toxic passage; without words, that of the bias, zero at most."""
         best = -np.inf
         for piece in _pieces(text):
-            cells, owners, n = passages(piece)
-            if len(cells):
-                best = max(best, float((_means(self.cells[cells], owners, n) + self.bias).max()))
+            data, starts, n = _spaced(piece)
+            if not n:
+                continue
+            sums, sizes = np.zeros(len(data)), np.zeros(len(data))
+            for cells, within in _grams(data):
+                sums[:len(cells)] += self.cells[cells] * within
+                sizes[:len(cells)] += within
+            # the last byte is a space and starts nothing
+            means = np.add.reduceat(sums, starts) / np.maximum(np.add.reduceat(sizes, starts), LEAST)
+            best = max(best, float(means.max()) + self.bias)
         return best if best > -np.inf else min(self.bias, 0.0)
 
 
@@ -99,49 +123,61 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[start:]
 
 
-def _means(values: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(owners, values, minlength=n) / _sizes(owners, n)
-
-
-def _sizes(owners: np.ndarray, n: int) -> np.ndarray:
-    return np.maximum(np.bincount(owners, minlength=n), LEAST)
-
-
 def fit(rows: Sequence[tuple[int, bytes]], seed: int = 7) -> Model:
     """From (toxic, text); both classes must occur."""
     if len({label for label, _ in rows}) < 2:
         return Model(np.zeros(CELLS, np.float32), -1.0)
     random = np.random.default_rng(seed)
-    softmax = random.normal(0, 1, DIMENSIONS).astype(np.float32)
-    embedding = np.zeros((CELLS, DIMENSIONS), np.float32)
-    squares, softmax_squares = np.full(CELLS, 1e-6, np.float32), np.full(DIMENSIONS, 1e-6)
-    bias, bias_square = 0.0, 1e-6
-    cut = [(label, *passages(text)) for label, text in rows]
-    cut = [row for row in cut if len(row[1])]
+    softmax = random.normal(0, 1, DIMENSIONS)
+    embedding = np.zeros((CELLS, DIMENSIONS))
+    squares, softmax_squares, bias_square = np.full(CELLS, 1e-6), np.full(DIMENSIONS, 1e-6), 1e-6
+    bias, value, softmax_pull = 0.0, np.zeros(CELLS), np.zeros(DIMENSIONS)
+    cut = []
+    for label, text in rows:
+        parts = passages(text)
+        if parts:
+            sizes = np.array([len(p) for p in parts])
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            cut.append((label, np.concatenate(parts), starts, sizes, 1.0 / np.maximum(sizes, LEAST)))
     for epoch in range(_EPOCHS):
-        # all passages, then fewer, then the highest-scoring one
-        share = max(0.0, 1.0 - epoch / 3)
-        for i in random.permutation(len(cut)):
-            label, cells, owners, n = cut[i]
-            logits = _means((embedding[cells] @ softmax), owners, n) + bias
-            k = max(1, round(share * n))
+        # all passages of a toxic document, then fewer, then the highest-scoring one; of a clean one the highest tenth
+        wide = max(0.0, 1.0 - epoch / 2)
+        for done, i in enumerate(random.permutation(len(cut))):
+            label, cells, starts, sizes, inverse = cut[i]
+            n = len(starts)
+            logits = np.add.reduceat(value[cells], starts) * inverse + bias
+            k = max(1, round((wide if label else max(wide, 0.1)) * n))
             chosen = np.argpartition(logits, n - k)[n - k:] if k < n else np.arange(n)
-            errors = np.zeros(n, np.float32)
-            errors[chosen] = (1 / (1 + np.exp(-logits[chosen])) - label) / k
-            used = errors[owners] != 0
-            sizes = _sizes(owners, n)
-            at, which = np.unique(cells[used], return_inverse=True)
-            if not len(at):
-                continue
-            pull = np.bincount(which, (errors / sizes)[owners[used]])
-            softmax_grad = pull @ embedding[at]
+            errors = (1 / (1 + np.exp(-np.clip(logits[chosen], -30, 30))) - label) / (k if label else k ** 0.5)
+            own = np.concatenate([cells[starts[c]:starts[c] + sizes[c]] for c in chosen])
+            at, which = np.unique(own, return_inverse=True)
+            pull = np.bincount(which, np.repeat(errors * inverse[chosen], sizes[chosen]))
+            softmax_pull += pull @ embedding[at]
             squares[at] += pull * pull
-            embedding[at] -= (_RATE * pull / np.sqrt(squares[at]))[:, None] * (softmax / np.linalg.norm(softmax))
-            softmax_squares += softmax_grad ** 2
-            softmax -= (0.05 * softmax_grad / np.sqrt(softmax_squares)).astype(np.float32)
+            norm = np.linalg.norm(softmax)
+            step = _RATE * pull / np.sqrt(squares[at])
+            embedding[at] -= step[:, None] * (softmax / norm)
+            value[at] -= step * norm
             bias_square += errors.sum() ** 2
             bias -= 0.1 * errors.sum() / np.sqrt(bias_square)
-    return Model((embedding @ softmax).astype(np.float32), float(bias))
+            if done % _TOGETHER == 0:
+                softmax_squares += softmax_pull ** 2
+                softmax -= 0.05 * softmax_pull / np.sqrt(softmax_squares)
+                value, softmax_pull = embedding @ softmax, np.zeros(DIMENSIONS)
+    model = Model((embedding @ softmax).astype(np.float32), float(bias))
+    return _placed(model, rows)
+
+
+def _placed(model: Model, rows: Sequence[tuple[int, bytes]]) -> Model:
+    """With the bias at which the threshold lies between the clean and the toxic sample.
+
+    Toxic texts outside the sample score lower than those in it, clean ones hardly higher.
+    """
+    clean = np.quantile([model.logits(text) for label, text in rows if not label], 0.999)
+    toxic = np.quantile([model.logits(text) for label, text in rows if label], 0.5)
+    if toxic <= clean:
+        return model
+    return Model(model.cells, model.bias + np.log(THRESHOLD / (1 - THRESHOLD)) - (clean + _BETWEEN * (toxic - clean)))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable: Column) -> Model:
