@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelrow.llm import decontamination, licenses, line_dedup, lm_scoring, mixing, quality_rules, secrets, simhash_dedup, toxicity
+from keelrow.llm import decontamination, licenses, line_dedup, lm_scoring, mixing, quality_rules, secrets, simhash_dedup, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,14 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("score", 9).alias("score"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.shared_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "class_id", F.size("spans").cast("long").alias("n_spans"),
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"] + 1).alias("n_words"),
+        F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("spans"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash_dedup.near_duplicates(docs).select(
@@ -92,6 +100,7 @@ QUERIES = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_decontamination": op3_decontamination,
     "op4_license_scan": op4_license_scan,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_source_mixing": op8_source_mixing,
