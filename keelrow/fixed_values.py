@@ -104,9 +104,6 @@ DEFAULT_PAGE_SIZE = 10
 MAX_PAGE_SIZE = 100
 DEFAULT_LOG_ROWS = 50
 
-# The most columns one index may have.
-MAX_INDEX_COLUMNS = 32
-
 # Finding texts; %s marks a value.
 MESSAGES = {
     "empty": "%s name cannot be empty",

@@ -152,7 +152,11 @@ def violates_type(value: Column, held_as: T.DataType, pg_type: str) -> Column |
                 return breaks_text_rule(value, pg_type)
             return None
         return value.isNotNull() & parse_value(value, pg_type).isNull()
-    if held_as == target or isinstance(target, T.StringType):
+    if isinstance(target, T.StringType):
+        sized = base in ("varchar", "character varying", "char", "character") and size
+        # the value as it would be written
+        return value.isNotNull() & (F.length(value.cast("string")) > size) if sized else None
+    if held_as == target:
         return None
     if base in fv.INTEGER_TYPES + fv.SERIAL_TYPES and isinstance(
         held_as, (T.FloatType, T.DoubleType, T.DecimalType)

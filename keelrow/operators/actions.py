@@ -116,6 +116,7 @@ def delete_with_actions(tables: Mapping[str, DataFrame], contracts: Sequence[Tab
     written out so the plan does not grow.  Deleted keys are kept, never whole rows.
     """
     by_name = {c.name: c for c in contracts}
+    _require_tables(tables, edges(contracts), table)
     all_edges = [e for e in edges(contracts) if e.child in tables and e.parent in tables]
     cascades = [e for e in all_edges if e.action == "CASCADE"]
     keep = cut_lineage if materialize else (lambda df: df)
@@ -169,6 +170,20 @@ def delete_with_actions(tables: Mapping[str, DataFrame], contracts: Sequence[Tab
     return result
 
 
+def _require_tables(tables: Mapping[str, DataFrame], links, table: str) -> None:
+    """Every table that the deletion can reach must be there, else its rows would not be asked."""
+    reached, open_ = {table}, [table]
+    while open_:
+        parent = open_.pop()
+        for e in links:
+            if e.parent == parent and e.action == "CASCADE" and e.child not in reached:
+                reached.add(e.child)
+                open_.append(e.child)
+    missing = sorted({table} - set(tables) | {e.child for e in links if e.parent in reached and e.child not in tables})
+    if missing:
+        raise ValueError(f"tables that the deletion reaches are not given: {', '.join(missing)}")
+
+
 def _follow_waves(tables, by_name, cascades, start, first, columns_of) -> dict[str, DataFrame]:
     """Deleted keys of a cyclic cascade.  The number of waves is the depth of the references."""
     seen = {start: cut_lineage(first)}
@@ -217,10 +232,29 @@ def restricting_children(child: DataFrame, column: str, victims: DataFrame, pare
 
 
 def update_keys(child: DataFrame, contract: TableContract, column: str, key_map: DataFrame,
-                action: str = "CASCADE") -> DataFrame:
-    """Child rows after their parents' keys changed.  ``key_map`` has ``old`` and ``new``, one row per old key."""
+                action: str = "CASCADE", parents: DataFrame | None = None) -> DataFrame:
+    """Child rows after their parents' keys changed.
+
+    ``key_map`` has ``old`` and ``new``, one row per old key.  It is refused if an old key is
+    repeated, or if required references would become NULL.  With ``parents`` (the key column
+    after the change, as its first column) a new key or a default that no parent has is refused too.
+    """
     action = _action(action)
     spec = contract.column(column)
+    key_map = cut_lineage(key_map)
+    refused = {"repeated_key:old": checks.duplicate_keys(key_map.select("old"), ["old"]).count()}
+    if spec.required and action == "SET NULL":
+        refused[f"not_null:{column}"] = key_map.join(child.select(F.col(column).alias("old")), "old", "left_semi").count()
+    if spec.required and action == "CASCADE":
+        refused[f"not_null:{column}"] = key_map.filter("new IS NULL").count()
+    if parents is not None and action in ("CASCADE", "SET DEFAULT"):
+        value = F.col("new") if action == "CASCADE" else default_value(spec.default, spec.type)
+        known = parents.select(F.col(parents.columns[0]).alias("__to"))
+        refused[f"foreign_key:{column}"] = checks.orphan_keys(
+            key_map.select(value.alias("__to")), ["__to"], known, ["__to"]).count()
+    refused = {rule: n for rule, n in refused.items() if n}
+    if refused:
+        raise Refused(f"new keys for {contract.name} refused", refused)
     if action == "CASCADE":
         value = F.col("__new")
     elif action == "SET NULL":

@@ -9,12 +9,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keelrow import fixed_values as fv
 from keelrow.contract import TableContract, pg_type
-from keelrow.session import cut_lineage
 
 TABLES = "table_name string, table_pos long"
 COLUMNS = (
@@ -110,35 +109,48 @@ def catalog_columns(raw_columns: DataFrame, key_usage: DataFrame, constraints: D
     )
 
 
-def catalog_foreign_keys(constraints: DataFrame, key_usage: DataFrame, column_usage: DataFrame,
+def catalog_foreign_keys(constraints: DataFrame, key_usage: DataFrame, referenced: DataFrame,
                          rules: DataFrame) -> DataFrame:
-    """References with their delete and update rules."""
+    """References with their delete and update rules, one row per column.
+
+    Constraint names belong to a table, so every join has both; the columns of a composite reference
+    are paired by position.  ``referenced`` has, for each constraint of a table and position, the
+    ``ref_table`` and ``ref_column``.
+    """
+    name = ["table_name", "constraint_name"]
     return (
-        constraints.filter("constraint_type = 'FOREIGN KEY'").select("constraint_name", "table_name")
-        .join(key_usage.select("constraint_name", "column_name"), "constraint_name")
-        .join(column_usage.select("constraint_name", F.col("table_name").alias("ref_table"),
-                                  F.col("column_name").alias("ref_column")), "constraint_name")
-        .join(rules.select("constraint_name", F.col("delete_rule").alias("on_delete"),
-                           F.col("update_rule").alias("on_update")), "constraint_name", "left")
+        constraints.filter("constraint_type = 'FOREIGN KEY'").select(*name).distinct()
+        .join(key_usage.select(*name, "column_name", "ordinal_position"), name)
+        .join(referenced.select(*name, "ordinal_position", "ref_table", "ref_column"), [*name, "ordinal_position"])
+        .join(rules.select(*name, F.col("delete_rule").alias("on_delete"), F.col("update_rule").alias("on_update")),
+              name, "left")
+        .select("constraint_name", "table_name", "column_name", F.col("ordinal_position").alias("column_pos"),
+                "ref_table", "ref_column", "on_delete", "on_update")
     )
 
 
+def index_members(index_list: DataFrame, members: DataFrame) -> DataFrame:
+    """One row per member of a listed index, with its place from 1."""
+    name = ["table_name", "index_name"]
+    place = F.row_number().over(Window.partitionBy(*name).orderBy("member_pos", "column_name"))
+    return members.join(index_list.select(*name).distinct(), name, "left_semi").select(
+        *name, place.cast("long").alias("place"), "column_name")
+
+
 def catalog_indexes(index_list: DataFrame, members: DataFrame, details: DataFrame) -> DataFrame:
-    """Indexes with the ordered list of their columns, uniqueness and method.
+    """Indexes with the ordered list of all their columns, uniqueness and method.
 
-    An index has at most 32 columns.  One with more members is no index: it is listed with its
-    member count and without a column list, so a hot name never gathers in one cell.
+    Index names belong to a table.  :func:`index_members` has the same columns as rows.
     """
-    counted = cut_lineage(members.groupBy("index_name").agg(F.count(F.lit(1)).alias("n_columns")))
-    legal = counted.filter(F.col("n_columns") <= fv.MAX_INDEX_COLUMNS).select("index_name")
+    name = ["table_name", "index_name"]
     ordered = F.array_sort(F.collect_list(F.struct("member_pos", "column_name")))
-    lists = members.join(legal, "index_name", "left_semi").groupBy("index_name").agg(
-        F.array_join(F.transform(ordered, lambda m: m["column_name"]), ",").alias("column_names")
+    lists = members.groupBy(*name).agg(
+        F.count(F.lit(1)).alias("n_columns"),
+        F.array_join(F.transform(ordered, lambda m: m["column_name"]), ",").alias("column_names"),
     )
     return (
-        index_list.select("index_name", "table_name")
-        .join(counted, "index_name", "left").join(lists, "index_name", "left")
-        .join(details.select("index_name", "is_unique", "method"), "index_name", "left")
+        index_list.select(*name).join(lists, name, "left")
+        .join(details.select(*name, "is_unique", "method"), name, "left")
         .select(
             "index_name", "table_name", F.coalesce("n_columns", F.lit(0)).cast("long").alias("n_columns"),
             F.coalesce("column_names", F.lit("")).alias("column_names"),
@@ -150,10 +162,10 @@ def catalog_indexes(index_list: DataFrame, members: DataFrame, details: DataFram
 
 def primary_key_columns(constraints: DataFrame, key_usage: DataFrame) -> DataFrame:
     """Key columns per table, all of them, with their position."""
-    keys = constraints.filter("constraint_type = 'PRIMARY KEY'").select("constraint_name", "table_name")
-    return key_usage.select("constraint_name", "column_name", "ordinal_position").join(
-        keys, "constraint_name"
-    ).select("table_name", "column_name", "ordinal_position")
+    name = ["table_name", "constraint_name"]
+    keys = constraints.filter("constraint_type = 'PRIMARY KEY'").select(*name).distinct()
+    return key_usage.select(*name, "column_name", "ordinal_position").join(keys, name).select(
+        "table_name", "column_name", "ordinal_position")
 
 
 # ---------------------------------------------------------------- shared steps

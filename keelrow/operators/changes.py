@@ -169,11 +169,14 @@ def insert(target: DataFrame, batch: DataFrame, contract: TableContract,
 
     ``strict``: one bad row refuses the whole batch.  ``quarantine``: bad rows are set aside.
     The tagged batch is written once (``materialize``) because accepted rows, rejected rows and
-    the strict check all read it; see :func:`tag_batch` for what else is.
+    the strict check all read it; see :func:`tag_batch` for what else is.  Generated columns
+    continue after the target's highest number.
     """
     if mode not in ("strict", "quarantine"):
         raise ValueError("mode is strict or quarantine")
-    complete = apply_defaults(batch, contract, next_ids)
+    absent = [c.name for c in contract.columns if c.serial and c.default is None and c.name not in batch.columns]
+    following = {c: next_id(target, c) for c in absent if c not in (next_ids or {})}
+    complete = apply_defaults(batch, contract, {**following, **(next_ids or {})})
     tagged = tag_batch(complete, contract, target, parents, materialize)
     if materialize:
         tagged = cut_lineage(tagged)
@@ -263,13 +266,27 @@ def _matched(target: DataFrame, changes: DataFrame, contract: TableContract, key
 
 
 def update(target: DataFrame, changes: DataFrame, contract: TableContract,
-           key: Sequence[str] | None = None, set_columns: str | None = None) -> DataFrame:
+           key: Sequence[str] | None = None, set_columns: str | None = None, mode: str = "strict") -> DataFrame:
     """New rows after the changes.
 
     ``changes`` has the key and new values.  ``set_columns`` names an array column that lists
-    which values of a row are meant; without it all are.  Run :func:`check_update` first: a
-    repeated key would repeat rows.
+    which values of a row are meant; without it all are.  ``strict``: the report of
+    :func:`check_update` is made first and its errors refuse the update.  ``ignore_unknown``: the
+    same, but changes of keys that no row has are left out.
     """
+    if mode not in ("strict", "ignore_unknown"):
+        raise ValueError("mode is strict or ignore_unknown")
+    kept = cut_lineage(changes)
+    broken = checks.findings(check_update(target, kept, contract, key, set_columns)).collect()   # one row per rule
+    refused = {f"{r['type']}:{r['column']}": r["n_rows"] for r in broken if mode == "strict" or r["type"] != "not_found"}
+    if refused:
+        raise Refused(f"update of {contract.name} refused", refused)
+    return _updated(target, kept, contract, key, set_columns)
+
+
+def _updated(target: DataFrame, changes: DataFrame, contract: TableContract,
+             key: Sequence[str] | None = None, set_columns: str | None = None) -> DataFrame:
+    """The rows after changes that were checked: a repeated key would repeat rows."""
     key = list(key or contract.key)
     names = _changed_columns(changes, contract, key, set_columns)
     joined = _matched(target, changes, contract, key, names, set_columns)

@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keelrow.contract import TableContract
 from keelrow.functions.types import violates_type
@@ -37,6 +38,10 @@ class Rule:
     message: str
 
 
+# the rows of a key, under a name that no key column has
+_HELD = "__held"
+
+
 @dataclass(frozen=True)
 class RowRule:
     """A rule about single rows; ``violated`` is a predicate over the table."""
@@ -58,6 +63,8 @@ def _described(counts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def _count_row_rules(df: DataFrame, rules: Sequence[RowRule], first: int) -> DataFrame:
     """``(rule, n_rows)`` of all row rules of a table from one aggregate."""
+    if not rules:
+        return df.sparkSession.createDataFrame([], "rule int, n_rows long")
     names = [f"v{i}" for i in range(len(rules))]
     counts = df.agg(*[F.count_if(r.violated).alias(n) for n, r in zip(names, rules)])
     return counts.select(F.posexplode(F.array(*names)).alias("rule", "n_rows")).select(
@@ -92,7 +99,7 @@ def not_null_rule(column: str) -> RowRule:
 
 
 def check_rows(df: DataFrame, contract: TableContract) -> DataFrame:
-    """NOT NULL and type rules of one table in one aggregate."""
+    """NOT NULL and type rules of one table in one aggregate; no row where no rule applies."""
     return rule_rows(df, contract.name, row_rules(df, contract))
 
 
@@ -113,20 +120,20 @@ def key_counts(df: DataFrame, columns: Sequence[str], alias: str = "n_rows") ->
     return df.filter(_all_filled(columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias(alias))
 
 
-def duplicate_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Keys held by more than one row, with their row counts."""
-    return key_counts(df, columns).filter("n_rows > 1")
+def duplicate_keys(df: DataFrame, columns: Sequence[str], alias: str = "n_rows") -> DataFrame:
+    """Keys held by more than one row, with their row counts under ``alias``."""
+    return key_counts(df, columns, alias).filter(F.col(alias) > 1)
 
 
 def duplicate_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The rows that share their key with another row."""
-    repeated = cut_lineage(duplicate_keys(df, columns).select(*columns))
+    repeated = cut_lineage(duplicate_keys(df, columns, _HELD).select(*columns))
     return df.join(repeated, list(columns), "left_semi")
 
 
 def _count_excess(df: DataFrame, columns: Sequence[str], rule: int) -> DataFrame:
-    return duplicate_keys(df, columns).agg(
-        F.expr(f"{rule} AS rule"), F.expr("coalesce(sum(n_rows - 1), 0L) AS n_rows")
+    return key_counts(df, columns, _HELD).filter(F.col(_HELD) > 1).agg(
+        F.expr(f"{rule} AS rule"), F.expr(f"coalesce(sum({_HELD} - 1), 0L) AS n_rows")
     )
 
 
@@ -148,14 +155,24 @@ def check_primary_key(df: DataFrame, columns: Sequence[str], table: str = "") ->
     )
 
 
+def _as_parent(child: DataFrame, columns: Sequence[str], parent: DataFrame, parent_columns: Sequence[str]) -> DataFrame:
+    """Child keys held as text take the parent's type; one that cannot be cast is left to the type rules."""
+    out = child
+    for c, p in zip(columns, parent_columns):
+        held, wanted = child.schema[c].dataType, parent.schema[p].dataType
+        if isinstance(held, T.StringType) and not isinstance(wanted, T.StringType):
+            out = out.withColumn(c, F.col(c).try_cast(wanted))
+    return out
+
+
 def orphan_keys(child: DataFrame, columns: Sequence[str], parent: DataFrame,
-                parent_columns: Sequence[str]) -> DataFrame:
+                parent_columns: Sequence[str], alias: str = "n_rows") -> DataFrame:
     """Child key values without a parent row, with the number of child rows that hold them.
 
     The child is reduced to one row per value first.  That aggregate is hash-partitioned by the
     key, so only the parent's key column has to be moved for the join; it is reduced as well.
     """
-    held = key_counts(child, columns)
+    held = key_counts(_as_parent(child, columns, parent, parent_columns), columns, alias)
     known = parent.select(*[F.col(p).alias(c) for c, p in zip(columns, parent_columns)]).distinct()
     return held.join(known, list(columns), "left_anti")
 
@@ -163,14 +180,20 @@ def orphan_keys(child: DataFrame, columns: Sequence[str], parent: DataFrame,
 def orphan_rows(child: DataFrame, columns: Sequence[str], parent: DataFrame,
                 parent_columns: Sequence[str]) -> DataFrame:
     """The child rows whose key has no parent row."""
-    lost = cut_lineage(orphan_keys(child, columns, parent, parent_columns).select(*columns))
-    return child.join(lost, list(columns), "left_semi")
+    lost = cut_lineage(orphan_keys(child, columns, parent, parent_columns, _HELD).select(*columns))
+    # the keys of the child in the parent's type find the lost ones
+    typed = _as_parent(child, columns, parent, parent_columns)
+    if typed is child:
+        return child.join(lost, list(columns), "left_semi")
+    keys = [f"__key_{i}" for i in range(len(columns))]
+    return child.withColumns({k: F.col(c).try_cast(lost.schema[c].dataType) for k, c in zip(keys, columns)}).join(
+        lost.toDF(*keys), keys, "left_semi").select(*child.columns)
 
 
 def _count_orphans(child: DataFrame, columns: Sequence[str], parent: DataFrame,
                    parent_columns: Sequence[str], rule: int) -> DataFrame:
-    return orphan_keys(child, columns, parent, parent_columns).agg(
-        F.expr(f"{rule} AS rule"), F.expr("coalesce(sum(n_rows), 0L) AS n_rows")
+    return orphan_keys(child, columns, parent, parent_columns, _HELD).agg(
+        F.expr(f"{rule} AS rule"), F.expr(f"coalesce(sum({_HELD}), 0L) AS n_rows")
     )
 
 
@@ -226,7 +249,7 @@ def is_valid(rows: DataFrame) -> DataFrame:
 def relationship_profile(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """What the data says about a reference: fan-out, parents without children, kind."""
     held = key_counts(child, [column], "n_children").withColumnRenamed(column, "key")
-    keys = parent.select(F.col(parent_column).alias("key")).filter("key IS NOT NULL")
+    keys = parent.select(F.col(parent_column).alias("key")).filter("key IS NOT NULL").distinct()
     return keys.join(held, "key", "left").agg(
         F.count(F.lit(1)).alias("n_parents"),
         F.count("n_children").alias("n_linked_parents"),

@@ -79,18 +79,13 @@ def _slug(name: str) -> str:
     return name.replace(" ", "_")
 
 
-def key_candidates(df: DataFrame, columns: Sequence[str] | None = None, tolerance: float = 0.15) -> DataFrame:
-    """Columns whose filled values are all different, checked exactly.
+def key_candidates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """For every column whether its filled values are all different, counted exactly.
 
-    A first pass estimates distinct counts; only columns that come close to one value per row
-    are counted exactly.  What reaches the driver is one row per column.
+    A column without values is no candidate.
     """
     estimate = profile_columns(df, columns)
-    close = [
-        r["column"]
-        for r in estimate.select("column", "n_rows", "n_nulls", "n_distinct").collect()
-        if r["n_distinct"] >= (1 - tolerance) * (r["n_rows"] - r["n_nulls"]) > 0
-    ]
+    close = list(columns or df.columns)
     checked = [
         duplicate_keys(df, [c]).agg(F.count(F.lit(1)).alias("n_duplicate_values")).withColumn("column", F.lit(c))
         for c in close
@@ -98,7 +93,7 @@ def key_candidates(df: DataFrame, columns: Sequence[str] | None = None, toleranc
     none = df.sparkSession.createDataFrame([], "n_duplicate_values long, column string")
     found = reduce(DataFrame.unionByName, checked, none)
     return estimate.select("column", "held_type", "n_rows", "n_nulls").join(found, "column").withColumn(
-        "unique_candidate", F.col("n_duplicate_values") == 0
+        "unique_candidate", (F.col("n_duplicate_values") == 0) & (F.col("n_rows") > F.col("n_nulls"))
     ).withColumn("key_candidate", F.col("unique_candidate") & (F.col("n_nulls") == 0))
 
 
@@ -107,8 +102,8 @@ def _family(dtype: T.DataType) -> str:
 
 
 def reference_candidates(tables: Mapping[str, DataFrame], keys: Mapping[str, str],
-                         same_name: bool = True) -> list[tuple[str, str, str, str]]:
-    """Column pairs worth testing: comparable types and, by default, the same name after the prefix."""
+                         same_name: bool = False) -> list[tuple[str, str, str, str]]:
+    """Column pairs of comparable types; with ``same_name`` only those of the same name after the prefix."""
     pairs = []
     for parent, key in keys.items():
         key_type = tables[parent].schema[key].dataType
@@ -123,7 +118,7 @@ def reference_candidates(tables: Mapping[str, DataFrame], keys: Mapping[str, str
 
 
 def discover_references(tables: Mapping[str, DataFrame], keys: Mapping[str, str],
-                        same_name: bool = True, prune: bool = True) -> DataFrame:
+                        same_name: bool = False, prune: bool = True) -> DataFrame:
     """Inclusion test of each candidate pair: child values, values without a parent, verdict.
 
     With ``prune`` a first aggregate per table reads the value ranges; a child whose range

@@ -68,7 +68,7 @@ def ids_in(df: DataFrame, column: str, ids: Sequence | DataFrame) -> DataFrame:
         if len(ids) <= INLINE_IDS:
             return df.filter(F.col(column).isin(*[constant(i, dtype) for i in ids]))
         ids = df.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([T.StructField(column, dtype)]))
-    return df.join(ids.select(F.col(ids.columns[0]).alias(column)), column, "left_semi")
+    return df.join(ids.select(F.col(ids.columns[0]).alias(column)), column, "left_semi").select(*df.columns)
 
 
 def ids_not_in(df: DataFrame, column: str, values: Sequence) -> DataFrame:
@@ -97,18 +97,26 @@ class Page:
         return f"Showing {first} to {last} of {self.total} rows (Page {self.number} of {self.total_pages})"
 
 
-def page_bounds(number: int, limit: int) -> tuple[int, int]:
-    """Page number and size after the range rules."""
-    if number < 1:
-        number = 1
-    if limit < 1 or limit > fv.MAX_PAGE_SIZE:
-        limit = fv.DEFAULT_PAGE_SIZE
-    return number, limit
+def page_bounds(number: int, limit: int, maximum: int = fv.MAX_PAGE_SIZE) -> tuple[int, int]:
+    """Page number (the first at least) and size; a size out of range is refused."""
+    if not 1 <= limit <= maximum:
+        raise ValueError(f"a page has 1 to {maximum} rows, not {limit}")
+    return max(number, 1), limit
+
+
+def _total_order(df: DataFrame, key: Sequence[str], unique: bool) -> list[Column]:
+    """The key, then all other columns: rows that are still equal are copies, so any order of them is the same."""
+    if unique:
+        return [F.col(c) for c in key]
+    rest = [f for f in df.schema.fields if f.name not in key]
+    unordered = (T.MapType, T.VariantType)
+    return [F.col(c) for c in key] + [
+        F.to_json(f.name) if isinstance(f.dataType, unordered) else F.col(f.name) for f in rest]
 
 
 def page_rows(df: DataFrame, key: Sequence[str], number: int = 1, limit: int = fv.DEFAULT_PAGE_SIZE,
               unique: bool = False) -> DataFrame:
-    """Rows of one page in key order.
+    """Rows of one page in key order; rows with equal keys are ordered by their other columns.
 
     Near pages are a top-k.  For far ones the rows are range-partitioned and numbered, so no
     task ever holds all the rows in front of the page.  With a ``unique`` key only the key
@@ -117,15 +125,16 @@ def page_rows(df: DataFrame, key: Sequence[str], number: int = 1, limit: int = f
     number, limit = page_bounds(number, limit)
     skip = (number - 1) * limit
     if skip + limit <= TOP_K_ROWS:
-        return df.orderBy(*key).offset(skip).limit(limit)
+        return df.orderBy(*_total_order(df, key, unique)).offset(skip).limit(limit)
     if unique:
         numbers = dense_numbers(df.select(*key), "__row", key, start=0)
         # a page is at most 100 keys
         wanted = cut_lineage(numbers.filter(F.col("__row").between(skip, skip + limit - 1)).drop("__row"))
         inside = Ranges(wanted, [key[0]]).cut(df, key[0], key[0])
         return inside.join(F.broadcast(wanted), list(key), "left_semi").orderBy(*key)
-    numbered = dense_numbers(df, "__row", key, start=0)
-    return numbered.filter(F.col("__row").between(skip, skip + limit - 1)).orderBy("__row").drop("__row")
+    ties = {f"__tie_{i}": c for i, c in enumerate(_total_order(df, key, unique))}
+    numbered = dense_numbers(df.withColumns(ties), "__row", list(ties), start=0)
+    return numbered.filter(F.col("__row").between(skip, skip + limit - 1)).orderBy("__row").drop("__row", *ties)
 
 
 def page(df: DataFrame, key: Sequence[str], number: int = 1, limit: int = fv.DEFAULT_PAGE_SIZE,
@@ -136,12 +145,23 @@ def page(df: DataFrame, key: Sequence[str], number: int = 1, limit: int = fv.DEF
     return Page(page_rows(hits, key, number, limit, unique), number, limit, hits.count())
 
 
-def next_page(df: DataFrame, key: str, after, limit: int = fv.DEFAULT_PAGE_SIZE) -> DataFrame:
-    """Rows that follow a key value: the filter reaches the scan, whatever the depth."""
+def next_page(df: DataFrame, key: str | Sequence[str], after, limit: int = fv.DEFAULT_PAGE_SIZE, term: str = "") -> DataFrame:
+    """Rows that match ``term`` and follow a key: the filter reaches the scan, whatever the depth.
+
+    A key of several columns takes as many values; keys are unique and complete.
+    """
     _, limit = page_bounds(1, limit)
+    names = [key] if isinstance(key, str) else list(key)
+    hits = search(df, term)
     if after is not None:
-        df = df.filter(F.col(key) > constant(after, df.schema[key].dataType))
-    return df.orderBy(key).limit(limit)
+        values = [after] if isinstance(key, str) else list(after)
+        bounds = [(F.col(c), constant(v, df.schema[c].dataType)) for c, v in zip(names, values, strict=True)]
+        follows = F.lit(False)
+        for column, value in reversed(bounds):
+            follows = (column > value) | ((column == value) & follows)
+        # said of the first column alone, it prunes files
+        hits = hits.filter((bounds[0][0] >= bounds[0][1]) & follows)
+    return hits.orderBy(*names).limit(limit)
 
 
 def newest(df: DataFrame, by: str, tie: str, limit: int = 0) -> DataFrame:

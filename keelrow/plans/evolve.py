@@ -156,7 +156,10 @@ def preview(contracts: Mapping[str, TableContract], ops: Iterable[Operation]) ->
             out[op.table] = contract.renamed(op.old_column.name, op.new_name)
             _point_to(out, op.table, op.old_column.name, op.new_name)
         elif op.kind == "ADD_FOREIGN_KEY":
-            _update(out, op.foreign_key.table).column(op.foreign_key.column)
+            target = _update(out, op.foreign_key.table)
+            target.column(op.foreign_key.column)
+            if not any(tuple(k.columns) == (op.foreign_key.column,) for k in target.unique_keys()):
+                raise ValueError(f"{op.foreign_key.table}.{op.foreign_key.column} is not a unique key")
             out[op.table] = contract.with_column(
                 replace(contract.column(op.column.name), foreign_key=op.foreign_key)
             )
@@ -220,6 +223,8 @@ def evolve(tables: Mapping[str, DataFrame], contracts: Mapping[str, TableContrac
     state = dict(contracts)
     flags: dict[str, list[tuple[str, checks.RowRule]]] = {}
     reports: list[DataFrame] = []
+    # columns whose values changed type, by their names at the end
+    retyped: set[tuple[str, str]] = set()
 
     def flag(table: str, kind: str, column: str, text: str, violated: SparkColumn) -> None:
         name = f"__refused_{len(flags.setdefault(table, []))}"
@@ -245,6 +250,10 @@ def evolve(tables: Mapping[str, DataFrame], contracts: Mapping[str, TableContrac
                 flag(op.table, "not_null", c.name, f"{c.name} must not be null", F.col(c.name).isNull())
             if c.unique or c.primary:
                 reports.append(checks.check_unique(rows[op.table], [c.name], op.table))
+            if c.foreign_key is not None:
+                fk = c.foreign_key
+                reports.append(checks.check_foreign_key(
+                    rows[op.table], [c.name], rows[fk.table], [fk.column], op.table, fk.table))
         elif op.kind == "DROP_COLUMN":
             rows[op.table] = rows[op.table].drop(op.old_column.name)
         elif op.kind == "MODIFY_COLUMN":
@@ -259,10 +268,14 @@ def evolve(tables: Mapping[str, DataFrame], contracts: Mapping[str, TableContrac
                 if op.column.not_null:
                     flag(op.table, "not_null", name, f"{name} must not be null", F.col(old).isNull())
                 rows[op.table] = rows[op.table].drop(old)
+                retyped.add((op.table, name))
             elif op.column.not_null:
                 flag(op.table, "not_null", name, f"{name} must not be null", F.col(name).isNull())
         elif op.kind == "RENAME_COLUMN":
             rows[op.table] = rows[op.table].withColumnRenamed(op.old_column.name, op.new_name)
+            if (op.table, op.old_column.name) in retyped:
+                retyped.remove((op.table, op.old_column.name))
+                retyped.add((op.table, op.new_name))
         elif op.kind == "ADD_FOREIGN_KEY":
             fk = op.foreign_key
             reports.append(checks.check_foreign_key(
@@ -274,9 +287,24 @@ def evolve(tables: Mapping[str, DataFrame], contracts: Mapping[str, TableContrac
     for table, rules in flags.items():
         reports.append(checks.rule_rows(rows[table], table, [rule for _, rule in rules]))
         rows[table] = rows[table].drop(*[name for name, _ in rules])
+    reports += _recheck(rows, state, retyped)
     return Evolution(rows, state, reports)
 
 
+def _recheck(rows: Mapping[str, DataFrame], state: Mapping[str, TableContract],
+             retyped: set[tuple[str, str]]) -> list[DataFrame]:
+    """Keys and references, in both directions, of columns whose type changed: values that differed may be equal now."""
+    reports = []
+    for name, contract in state.items():
+        for key in contract.unique_keys():
+            if any((name, c) in retyped for c in key.columns):
+                reports.append(checks.check_unique(rows[name], key.columns, name, key.kind, key.name))
+        for column, fk in contract.references():
+            if fk.table in rows and ((name, column) in retyped or (fk.table, fk.column) in retyped):
+                reports.append(checks.check_foreign_key(rows[name], [column], rows[fk.table], [fk.column], name, fk.table))
+    return reports
+
+
 def restore_column(current: DataFrame, previous: DataFrame, key: Sequence[str], column: str) -> DataFrame:
     """Bring a dropped column's values back from the version before, by key."""
     old = previous.select(*key, F.col(column).alias("__old"))

@@ -22,6 +22,7 @@ from keelrow.contract import TableContract
 from keelrow.functions.text import short_checksum, truncate_name
 from keelrow.operators import checks
 from keelrow.operators.changes import Refused, union_all
+from keelrow.operators.numbering import dense_numbers
 from keelrow.operators.search import newest
 from keelrow.plans import evolve as ev
 from keelrow.sources.layout import new_version
@@ -49,35 +50,49 @@ def with_status(ledger: DataFrame, status: str) -> DataFrame:
     return ledger.filter(F.col("status") == status)
 
 
+def current(ledger: DataFrame) -> DataFrame:
+    """The newest row of every name that is neither rolled back nor resolved."""
+    return latest(ledger).filter("status IN ('success', 'failed')")
+
+
 def pending(scripts: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Scripts without a success."""
-    return scripts.join(with_status(ledger, "success").select("name").distinct(), "name", "left_anti")
+    """Scripts whose newest run is no success."""
+    return scripts.join(with_status(latest(ledger), "success").select("name"), "name", "left_anti")
 
 
 def status(ledger: DataFrame, scripts: DataFrame) -> DataFrame:
-    """Applied, pending and failed names; failed ones with their message."""
+    """Applied, pending and failed names as of their newest rows; failed ones with their message."""
+    now = latest(ledger)
     nothing = F.lit(None).cast("string")
     return union_all([
-        with_status(ledger, "success").select("name").distinct().select(
+        with_status(now, "success").select(
             F.lit("applied").alias("state"), "name", nothing.alias("error_message")),
         pending(scripts, ledger).select(F.lit("pending").alias("state"), "name", nothing.alias("error_message")),
-        with_status(ledger, "failed").select(F.lit("failed").alias("state"), "name", "error_message"),
+        with_status(now, "failed").select(F.lit("failed").alias("state"), "name", "error_message"),
     ])
 
 
+def history_of(ledger: DataFrame, table: str = "") -> DataFrame:
+    """The runs of one table if asked for (any case, anywhere in the name)."""
+    return ledger.filter(F.col("table_affected").ilike(f"%{table}%")) if table else ledger
+
+
 def history(ledger: DataFrame, limit: int = 0, table: str = "") -> DataFrame:
-    """Newest runs first, of one table if asked for (any case, anywhere in the name)."""
-    rows = ledger.filter(F.col("table_affected").ilike(f"%{table}%")) if table else ledger
-    return newest(rows, "applied_at", "id", limit)
+    """Newest runs first; a limit of 0 means all."""
+    return newest(history_of(ledger, table), "applied_at", "id", limit)
 
 
 def history_numbered(ledger: DataFrame, limit: int, table: str = "") -> DataFrame:
     """The newest runs as they are shown: numbered, long names cut, short checksums."""
-    if limit <= 0:
-        raise ValueError("only a limited history is numbered")
-    order = Window.orderBy(F.col("applied_at").desc(), F.col("id").desc())
-    return history(ledger, limit, table).select(
-        F.row_number().over(order).cast("long").alias("number"), "status", truncate_name(F.col("name")).alias("name"),
+    if limit > 0:
+        # a limited history is small enough for one task
+        order = Window.orderBy(F.col("applied_at").desc(), F.col("id").desc())
+        numbered = history(ledger, limit, table).withColumn("number", F.row_number().over(order).cast("long"))
+    else:
+        newest_first = {"__at": -F.unix_micros(F.col("applied_at").cast("timestamp")), "__id": -F.col("id")}
+        numbered = dense_numbers(history_of(ledger, table).withColumns(newest_first), "number", list(newest_first))
+    return numbered.select(
+        "number", "status", truncate_name(F.col("name")).alias("name"),
         F.when(F.col("seconds") > 0, F.col("seconds")).alias("seconds"),
         F.coalesce(F.nullif("executed_by", F.lit("")), F.lit("N/A")).alias("executed_by"),
         F.substring(F.col("applied_at").cast("string"), 1, 16).alias("applied_at"),
@@ -86,7 +101,8 @@ def history_numbered(ledger: DataFrame, limit: int, table: str = "") -> DataFram
 
 
 def history_summary(ledger: DataFrame) -> DataFrame:
-    return ledger.agg(
+    """Counts over the current state; what was rolled back or resolved does not count."""
+    return current(ledger).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "success").alias("successful"),
         F.count_if(F.col("status") == "failed").alias("failed"),
         F.coalesce(F.sum(F.when(F.col("seconds") > 0, F.col("seconds"))), F.lit(0.0)).alias("seconds"),
@@ -98,15 +114,15 @@ def log(rows: DataFrame, limit: int = fv.DEFAULT_LOG_ROWS) -> DataFrame:
 
 
 def rollback_candidates(ledger: DataFrame, steps: int) -> DataFrame:
-    """The last successful runs, newest first; all of them if there are fewer."""
+    """The last runs that still hold, newest first; all of them if there are fewer."""
     if steps < 1:
         raise ValueError("steps must be at least 1")
-    return newest(with_status(ledger, "success"), "applied_at", "id", steps)
+    return newest(with_status(latest(ledger), "success"), "applied_at", "id", steps)
 
 
 def checksum_drift(ledger: DataFrame, scripts: DataFrame) -> DataFrame:
     """Applied scripts whose text is no longer the one that ran.  ``scripts`` has name and checksum."""
-    ran = with_status(ledger, "success").select("name", F.col("checksum").alias("applied_checksum"))
+    ran = with_status(latest(ledger), "success").select("name", F.col("checksum").alias("applied_checksum"))
     now = scripts.select("name", F.col("checksum").alias("current_checksum"))
     return ran.join(now, "name").filter("applied_checksum <> current_checksum")
 
@@ -171,7 +187,22 @@ class Ledger:
 
     def current(self) -> DataFrame:
         """State per name without those that were rolled back or resolved."""
-        return latest(self.rows()).filter("status IN ('success', 'failed')")
+        return current(self.rows())
+
+    def status(self, scripts: DataFrame) -> DataFrame:
+        return status(self.rows(), scripts)
+
+    def pending(self, scripts: DataFrame) -> DataFrame:
+        return pending(scripts, self.rows())
+
+    def history(self, limit: int = 0, table: str = "") -> DataFrame:
+        return history(self.rows(), limit, table)
+
+    def summary(self) -> DataFrame:
+        return history_summary(self.rows())
+
+    def drift(self, scripts: DataFrame) -> DataFrame:
+        return checksum_drift(self.rows(), scripts)
 
     def _append(self, table: str, schema: str, row: tuple) -> None:
         self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.base}/{table}")
@@ -272,7 +303,7 @@ class Ledger:
 
         A failure keeps the record.  The ledger gets a compensating row; no row is removed.
         """
-        names = [r["name"] for r in rollback_candidates(self.current(), steps).select("name").collect()]
+        names = [r["name"] for r in rollback_candidates(self.rows(), steps).select("name").collect()]
         done = []
         for name in names:
             began = time.monotonic()

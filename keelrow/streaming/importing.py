@@ -21,6 +21,8 @@ from keelrow.session import cut_lineage
 from keelrow.sources.csv_files import CORRUPT, OPTIONS, check_columns, csv_schema
 
 BATCH = "batch"
+# keys of an object that are no column of the stream
+UNKNOWN = "_unknown_keys"
 
 
 def arriving_csv(spark: SparkSession, folder: str, contract: TableContract, columns: Sequence[str],
@@ -37,14 +39,16 @@ def arriving_csv(spark: SparkSession, folder: str, contract: TableContract, colu
 
 def arriving_json(spark: SparkSession, folder: str, contract: TableContract, columns: Sequence[str],
                   files_per_batch: int = 1000) -> DataFrame:
-    """Stream of JSON Lines as text rows."""
+    """Stream of JSON Lines as text rows; objects with other keys than ``columns`` are marked and will be rejected."""
     check_columns(columns, contract)
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder).filter(F.trim("value") != "")
     parsed = lines.select("value", F.from_json("value", "map<string,string>").alias("m"),
                           F.col("_metadata.file_name").alias("source_file"))
+    foreign = F.coalesce(
+        F.array_sort(F.array_except(F.map_keys("m"), F.array(*map(F.lit, columns)))), F.array().cast("array<string>"))
     return parsed.select(
         *[F.try_element_at("m", F.lit(c)).alias(c) for c in columns],
-        F.when(F.col("m").isNull(), F.col("value")).alias(CORRUPT), "source_file",
+        F.when(F.col("m").isNull() | (F.size(foreign) > 0), F.col("value")).alias(CORRUPT), foreign.alias(UNKNOWN), "source_file",
     )
 
 
@@ -53,7 +57,7 @@ def import_batch(rows: DataFrame, number: int, target_path: str, reject_path: st
     """Validate one micro-batch against what is there and write both outcomes and the list of files."""
     spark = rows.sparkSession
     fixed = cut_lineage(rows)
-    columns = [c for c in fixed.columns if c not in (CORRUPT, "source_file")]
+    columns = [c for c in fixed.columns if c not in (CORRUPT, UNKNOWN, "source_file")]
     # rows written by an earlier try of this batch do not count as there
     target = _rows_before(spark, target_path, contract, number)
     known = parents() if parents else {}
@@ -61,9 +65,13 @@ def import_batch(rows: DataFrame, number: int, target_path: str, reject_path: st
     next_ids = {c.name: changes.next_id(target, c.name)
                 for c in contract.columns if c.serial and c.name not in columns}
     done = changes.insert(target, good.select(*columns), contract, known, "quarantine", next_ids)
+    reasons = F.array(F.lit("malformed"))
+    if UNKNOWN in fixed.columns:
+        named = F.transform(UNKNOWN, lambda k: F.concat(F.lit("unknown_key:"), k))
+        reasons = F.when(F.size(UNKNOWN) > 0, named).otherwise(reasons)
     malformed = fixed.filter(F.col(CORRUPT).isNotNull()).select(
         *[F.lit(None).cast(f.dataType).alias(f.name) for f in done.rejected.schema.fields if f.name != "violations"],
-        F.array(F.lit("malformed")).alias("violations"), F.col(CORRUPT).alias("record"),
+        reasons.alias("violations"), F.col(CORRUPT).alias("record"),
     )
     rejected = done.rejected.withColumn("record", F.lit(None).cast("string")).unionByName(malformed)
     done.accepted.write.mode("overwrite").parquet(f"{target_path}/{BATCH}={number}")

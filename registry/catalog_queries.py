@@ -40,7 +40,7 @@ def _raw(spark, sf_dir) -> dict[str, DataFrame]:
         F.when(F.col("o_orderstatus") == "F", F.lit("NO")).otherwise(F.lit("YES")).alias("is_nullable"),
         F.when(F.col("o_orderstatus") == "P", pick(DEFAULT_TEXTS, F.col("o_custkey"))).alias("column_default"),
     )
-    # one key per table, one unique constraint per table, and references
+    # a key, a unique constraint and composite references of each table; all tables use the same names
     kind = (
         F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("PRIMARY KEY"))
         .when(F.col("o_orderpriority") == "2-HIGH", F.lit("UNIQUE"))
@@ -48,9 +48,8 @@ def _raw(spark, sf_dir) -> dict[str, DataFrame]:
     )
     constrained = orders.withColumn("kind", kind).filter("kind IS NOT NULL").withColumn(
         "constraint_name",
-        F.when(F.col("kind") == "FOREIGN KEY", F.concat(F.lit("fk_"), F.col("o_orderkey").cast("string")))
-        .otherwise(F.concat(F.when(F.col("kind") == "UNIQUE", F.lit("uq_")).otherwise(F.lit("pk_")),
-                            F.col("o_custkey").cast("string"))),
+        F.when(F.col("kind") == "FOREIGN KEY", F.concat(F.lit("fk_"), F.col("o_orderstatus")))
+        .otherwise(F.when(F.col("kind") == "UNIQUE", F.lit("uq")).otherwise(F.lit("pk"))),
     ).select("constraint_name", t_name.alias("table_name"), c_name.alias("column_name"), "kind",
              F.col("o_orderkey").alias("ordinal_position"), "o_orderkey", "o_orderstatus")
     # every key column is also unique by a constraint of its own
@@ -58,25 +57,26 @@ def _raw(spark, sf_dir) -> dict[str, DataFrame]:
         "constraint_name", F.concat(F.lit("also_"), F.col("constraint_name"))
     )
     usage = constrained.unionByName(doubled)
+    # few tables with wide indexes of the same names
+    indexed = events.withColumns({
+        "index_name": F.concat(F.lit("ix_"), F.col("event_type")),
+        "table_name": F.concat(F.lit("t_"), (F.col("user_id") % 7).cast("string"))})
     return {
         "tables": raw_tables, "columns": raw_columns,
         "constraints": usage.select("constraint_name", "table_name", F.col("kind").alias("constraint_type")).distinct(),
         "key_usage": usage.select("constraint_name", "table_name", "column_name", "ordinal_position"),
-        "column_usage": usage.filter("kind = 'FOREIGN KEY'").select(
-            "constraint_name", F.lit("t_0").alias("table_name"),
-            F.concat(F.lit("c_"), F.length("column_name").cast("string")).alias("column_name")),
+        "referenced": usage.filter("kind = 'FOREIGN KEY'").select(
+            "constraint_name", "table_name", "ordinal_position", F.lit("t_0").alias("ref_table"),
+            F.concat(F.lit("r_"), "column_name").alias("ref_column")),
         "rules": usage.filter("kind = 'FOREIGN KEY' AND o_orderstatus <> 'P'").select(
-            "constraint_name", F.lit("CASCADE").alias("delete_rule"), F.lit("NO ACTION").alias("update_rule")),
-        "index_list": events.select(
-            F.concat(F.lit("ix_"), F.col("user_id").cast("string"), F.lit("_"), "event_type").alias("index_name"),
-            F.concat(F.lit("t_"), F.col("user_id").cast("string")).alias("table_name")).distinct(),
-        "index_members": events.filter("event_type <> 'error'").select(
-            F.concat(F.lit("ix_"), F.col("user_id").cast("string"), F.lit("_"), "event_type").alias("index_name"),
-            F.concat(F.lit("c_"), F.col("event_id").cast("string")).alias("column_name"),
+            "constraint_name", "table_name", F.lit("CASCADE").alias("delete_rule"),
+            F.lit("NO ACTION").alias("update_rule")).distinct(),
+        "index_list": indexed.select("index_name", "table_name").distinct(),
+        "index_members": indexed.filter("event_type <> 'error'").select(
+            "index_name", "table_name", F.concat(F.lit("c_"), F.col("event_id").cast("string")).alias("column_name"),
             F.col("event_id").alias("member_pos")),
-        "index_details": events.filter("event_type = 'purchase'").select(
-            F.concat(F.lit("ix_"), F.col("user_id").cast("string"), F.lit("_purchase")).alias("index_name"),
-            F.lit(True).alias("is_unique"), F.lit("hash").alias("method")).distinct(),
+        "index_details": indexed.filter("event_type = 'purchase'").select(
+            "index_name", "table_name", F.lit(True).alias("is_unique"), F.lit("hash").alias("method")).distinct(),
     }
 
 
@@ -103,7 +103,7 @@ def catalog_columns(spark, sf_dir):
 
 def catalog_fks(spark, sf_dir):
     raw = _raw(spark, sf_dir)
-    return catalog.catalog_foreign_keys(raw["constraints"], raw["key_usage"], raw["column_usage"], raw["rules"])
+    return catalog.catalog_foreign_keys(raw["constraints"], raw["key_usage"], raw["referenced"], raw["rules"])
 
 
 def catalog_indexes(spark, sf_dir):
@@ -111,6 +111,11 @@ def catalog_indexes(spark, sf_dir):
     return catalog.catalog_indexes(raw["index_list"], raw["index_members"], raw["index_details"])
 
 
+def index_members(spark, sf_dir):
+    raw = _raw(spark, sf_dir)
+    return catalog.index_members(raw["index_list"], raw["index_members"])
+
+
 def primary_key_columns(spark, sf_dir):
     raw = _raw(spark, sf_dir)
     return catalog.primary_key_columns(raw["constraints"], raw["key_usage"])
@@ -460,7 +465,7 @@ FROM ops
 
 QUERIES = {
     f.__name__: f for f in (
-        catalog_tables, catalog_columns, catalog_fks, catalog_indexes, primary_key_columns, audit_catalog,
+        catalog_tables, catalog_columns, catalog_fks, catalog_indexes, index_members, primary_key_columns, audit_catalog,
         audit_catalog_offline, diff_catalog, diff_catalog_parity, diff_summary, diff_lines, operation_counts,
         rename_suggestions,
     )
@@ -478,17 +483,20 @@ ORACLES = {
                coalesce(k.kind IN ('PRIMARY KEY', 'UNIQUE'), false) AS is_unique
         FROM raw_columns c LEFT JOIN keyed k ON c.table_name = k.table_name AND c.column_name = k.column_name""",
     "catalog_fks": _RAW_SQL + """
-        SELECT 'fk_' || o_orderkey AS constraint_name, table_name, column_name, 't_0' AS ref_table,
-               'c_' || length(column_name) AS ref_column, CASE WHEN o_orderstatus <> 'P' THEN 'CASCADE' END AS on_delete,
+        SELECT 'fk_' || o_orderstatus AS constraint_name, table_name, column_name, o_orderkey AS column_pos, 't_0' AS ref_table,
+               'r_' || column_name AS ref_column, CASE WHEN o_orderstatus <> 'P' THEN 'CASCADE' END AS on_delete,
                CASE WHEN o_orderstatus <> 'P' THEN 'NO ACTION' END AS on_update FROM keyed WHERE kind = 'FOREIGN KEY'""",
     "catalog_indexes": """
-        WITH e AS (SELECT *, 'ix_' || user_id || '_' || event_type AS index_name FROM events)
-        SELECT index_name, 't_' || user_id AS table_name, count(*) FILTER (WHERE event_type <> 'error') AS n_columns,
-               CASE WHEN count(*) FILTER (WHERE event_type <> 'error') <= 32
-                    THEN coalesce(string_agg('c_' || event_id, ',' ORDER BY event_id) FILTER (WHERE event_type <> 'error'), '') ELSE '' END AS column_names,
+        SELECT 'ix_' || event_type AS index_name, 't_' || (user_id % 7) AS table_name,
+               count(*) FILTER (WHERE event_type <> 'error') AS n_columns,
+               coalesce(string_agg('c_' || event_id, ',' ORDER BY event_id) FILTER (WHERE event_type <> 'error'), '') AS column_names,
                bool_or(event_type = 'purchase') AS is_unique,
                CASE WHEN bool_or(event_type = 'purchase') THEN 'hash' ELSE 'btree' END AS method
-        FROM e GROUP BY index_name, user_id""",
+        FROM events GROUP BY event_type, user_id % 7""",
+    "index_members": """
+        SELECT 'ix_' || event_type AS index_name, 't_' || (user_id % 7) AS table_name, 'c_' || event_id AS column_name,
+               row_number() OVER (PARTITION BY event_type, user_id % 7 ORDER BY event_id) AS place
+        FROM events WHERE event_type <> 'error'""",
     "primary_key_columns": _RAW_SQL + "SELECT table_name, column_name, o_orderkey AS ordinal_position FROM keyed WHERE kind = 'PRIMARY KEY'",
     "audit_catalog": _WANTED_SQL + _audit_sql(exact=False, online=True),
     "audit_catalog_offline": _WANTED_SQL + f"""

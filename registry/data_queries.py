@@ -49,7 +49,7 @@ def profile_text(spark, sf_dir):
 
 
 def key_candidates(spark, sf_dir):
-    return profile.key_candidates(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_nationkey"])
+    return profile.key_candidates(table(spark, sf_dir, "customer"))
 
 
 _STAR_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey",
@@ -57,7 +57,7 @@ _STAR_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_c
 
 
 def discover_fks(spark, sf_dir):
-    found = profile.discover_references(star_tables(spark, sf_dir), _STAR_KEYS, prune=False)
+    found = profile.discover_references(star_tables(spark, sf_dir), _STAR_KEYS, same_name=True, prune=False)
     return found
 
 
@@ -112,6 +112,12 @@ def ids_in(spark, sf_dir):
     return search.ids_in(table(spark, sf_dir, "orders"), "o_custkey", rich)
 
 
+def ids_in_long_list(spark, sf_dir):
+    """A long list of ids against a table whose key is not its first column."""
+    listed = [r[0] for r in table(spark, sf_dir, "supplier").select("s_suppkey").collect()] * 3
+    return search.ids_in(table(spark, sf_dir, "lineitem"), "l_suppkey", sorted(listed)[: len(listed) // 2] * 2)
+
+
 def not_in(spark, sf_dir):
     return search.ids_not_in(table(spark, sf_dir, "events"), "event_type", ["view", "error"])
 
@@ -184,6 +190,20 @@ def update_rows(spark, sf_dir):
     return changes.update(orders, new, ORDERS, set_columns="fields")
 
 
+def update_strict_refusals(spark, sf_dir):
+    """Why a strict update is refused: bad numbers, missing values, repeated and unknown keys."""
+    orders = table(spark, sf_dir, "orders")
+    new = orders.filter("o_orderpriority = '1-URGENT'").select(
+        F.when(F.col("o_orderstatus") == "F", -F.col("o_orderkey") - 1).otherwise(F.col("o_orderkey")).alias("o_orderkey"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("o_orderstatus"),
+        F.col("o_orderpriority").alias("o_totalprice"))
+    try:
+        changes.update(orders, new.unionByName(new.filter("o_orderstatus = 'O'")), ORDERS)
+    except changes.Refused as refused:
+        return spark.createDataFrame(sorted(refused.details.items()), "rule string, n_rows long")
+    raise AssertionError("the update was not refused")
+
+
 def check_update(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     new = orders.select(
@@ -381,8 +401,9 @@ def on_update_cascade(spark, sf_dir):
 
 
 def on_update_set_null(spark, sf_dir):
+    optional = ORDERS.with_column(replace(ORDERS.column("o_custkey"), not_null=False))
     return actions.update_keys(
-        table(spark, sf_dir, "orders"), ORDERS, "o_custkey", _key_map(spark, sf_dir), "SET NULL"
+        table(spark, sf_dir, "orders"), optional, "o_custkey", _key_map(spark, sf_dir), "SET NULL"
     )
 
 
@@ -403,7 +424,7 @@ QUERIES = {
     f.__name__: f for f in (
         profile_columns, profile_text, key_candidates, discover_fks, scan_schema_order, search_any_text,
         search_literal, search_count, row_counts, key_lookup, ids_in, not_in, page_orders, page_deep, page_deep_by_key, next_page,
-        diff_rows, diff_row_counts, diff_lines_without_key, update_rows, check_update, rows_affected, delete_rows,
+        diff_rows, diff_row_counts, diff_lines_without_key, update_rows, update_strict_refusals, ids_in_long_list, check_update, rows_affected, delete_rows,
         insert_validated, insert_rejects, import_counts, apply_defaults, cascade_delete, cascade_counts,
         restrict_delete, no_action_delete, restricting_rows, set_null, set_default, on_update_cascade,
         on_update_set_null, self_ref_cascade,
@@ -424,10 +445,12 @@ ORACLES = {
         UNION ALL SELECT 'p_name', 'text', 'text', count(*), 0, count(DISTINCT p_name), max(length(p_name)) FROM part
         UNION ALL SELECT 'price', 'text', 'double precision', count(*), 0, count(DISTINCT p_retailprice),
                max(length(CAST(p_retailprice AS VARCHAR))) FROM part""",
-    "key_candidates": """
-        SELECT 'c_custkey' AS "column", 'bigint' AS held_type, count(*) AS n_rows, 0::BIGINT AS n_nulls,
-               count(*) - count(DISTINCT c_custkey) AS n_duplicate_values, true AS unique_candidate, true AS key_candidate FROM customer
-        UNION ALL SELECT 'c_name', 'text', count(*), 0, count(*) - count(DISTINCT c_name), true, true FROM customer""",
+    "key_candidates": " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{t}' AS held_type, sum(n)::BIGINT AS n_rows, 0::BIGINT AS n_nulls,
+               count(*) FILTER (n > 1) AS n_duplicate_values, max(n) = 1 AS unique_candidate, max(n) = 1 AS key_candidate
+        FROM (SELECT count(*) AS n FROM customer GROUP BY {c})"""
+        for c, t in (("c_custkey", "bigint"), ("c_name", "text"), ("c_nationkey", "integer"),
+                     ("c_acctbal", "double precision"), ("c_mktsegment", "text"))),
     "discover_fks": _discover_sql(),
     "scan_schema_order": "SELECT * FROM orders",
     "search_any_text": "SELECT * FROM documents WHERE text ILIKE '%the on%' OR lang ILIKE '%the on%' OR source ILIKE '%the on%'",
@@ -436,6 +459,18 @@ ORACLES = {
     "row_counts": " UNION ALL ".join(f"SELECT count(*) AS total, '{c.name}' AS \"table\" FROM {c.name}" for c in STAR),
     "key_lookup": "SELECT * FROM lineitem WHERE l_orderkey = 42",
     "ids_in": "SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)",
+    "ids_in_long_list": """
+        SELECT * FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM (
+            SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey, k) AS r FROM supplier, (SELECT unnest(range(3)) AS k))
+            WHERE r <= (SELECT count(*) * 3 // 2 FROM supplier))""",
+    "update_strict_refusals": """
+        WITH n AS (SELECT CASE WHEN o_orderstatus = 'F' THEN -o_orderkey - 1 ELSE o_orderkey END AS k, o_orderstatus AS s
+                   FROM orders WHERE o_orderpriority = '1-URGENT'), b AS (SELECT * FROM n UNION ALL SELECT * FROM n WHERE s = 'O'),
+        f AS (SELECT 'not_null:o_orderstatus' AS rule, count(*) FILTER (s = 'P') AS n_rows FROM b
+              UNION ALL SELECT 'type:o_totalprice', count(*) FROM b
+              UNION ALL SELECT 'repeated_key:o_orderkey', count(*) FILTER (s = 'O') // 2 FROM b
+              UNION ALL SELECT 'not_found:o_orderkey', count(*) FILTER (s = 'F') FROM b)
+        SELECT * FROM f WHERE n_rows > 0""",
     "not_in": "SELECT * FROM events WHERE event_type NOT IN ('view', 'error')",
     "page_orders": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 50",
     "page_deep": "SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_partkey LIMIT 100 OFFSET 14900",

@@ -326,6 +326,56 @@ def stream_import(spark, sf_dir):
     return spark.read.parquet(f"{base}/orders").select(*ORDERS.names)
 
 
+def stream_import_json(spark, sf_dir):
+    """Orders arrive as JSON Lines; objects with a key that is no column are set aside."""
+    return spark.read.parquet(f"{_json_stream(spark, sf_dir)}/orders").select(*ORDERS.names)
+
+
+def stream_import_rejects(spark, sf_dir):
+    """What that stream set aside, by reason."""
+    rejected = spark.read.parquet(f"{_json_stream(spark, sf_dir)}/orders_rejects")
+    return rejected.select(F.explode("violations").alias("rule"), F.length("record").alias("length")).groupBy("rule").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("length").alias("shortest"))
+
+
+def _json_stream(spark, sf_dir) -> str:
+    folder, base = scratch_path(spark, "arriving"), scratch_path(spark, "imported")
+    orders = table(spark, sf_dir, "orders")
+    fields = F.struct(*ORDERS.names, F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).alias("o_extra"))
+    lines = F.when(F.col("o_orderpriority") == "5-LOW", F.concat(F.lit("broken "), F.to_json(fields))).otherwise(F.to_json(fields))
+    orders.select(lines.alias("value")).write.text(folder)
+    rows = importing.arriving_json(spark, folder, ORDERS, ORDERS.names)
+    known = table(spark, sf_dir, "customer")
+    importing.stream_import(rows, base, ORDERS, lambda: {"customer": known}).awaitTermination()
+    return base
+
+
+def _user_ledger(spark, sf_dir):
+    """events as a ledger with many rows for each name: what a user did last is the state."""
+    kind = F.col("event_type")
+    state = (
+        F.when(kind == "error", "failed").when(kind == "click", "rolled_back").when(kind == "view", "resolved").otherwise("success"))
+    return ledger_of_events(spark, sf_dir).join(
+        table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), state.alias("now")), "id"
+    ).withColumns({"name": F.col("executed_by"), "status": F.col("now")}).drop("now")
+
+
+def _customer_scripts(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("user_"), F.col("c_custkey").cast("string")).alias("name"))
+
+
+def ledger_status_now(spark, sf_dir):
+    return led.status(_user_ledger(spark, sf_dir), _customer_scripts(spark, sf_dir))
+
+
+def ledger_summary_now(spark, sf_dir):
+    return led.history_summary(_user_ledger(spark, sf_dir)).withColumn("seconds", F.round("seconds", 2))
+
+
+def ledger_rollback_now(spark, sf_dir):
+    return led.rollback_candidates(_user_ledger(spark, sf_dir), 50).select("name", "id")
+
+
 QUERIES = {
     f.__name__: f for f in (
         evolve_add, evolve_drop, evolve_restore, evolve_modify, evolve_rename, evolve_plan, evolve_rollback,
@@ -333,6 +383,7 @@ QUERIES = {
         history_filtered, history_numbered, history_summary, log_recent, rollback_candidates, latest_runs,
         checksum_drift, drift_report, render_insert, render_insert_typed, csv_round_trip, csv_typed_round_trip,
         json_round_trip, sql_round_trip, clustered_layout, stream_import, ledger_current_table, ledger_rows,
+        stream_import_json, stream_import_rejects, ledger_status_now, ledger_summary_now, ledger_rollback_now,
     )
 }
 
@@ -340,7 +391,39 @@ _LITERAL = """CASE WHEN regexp_matches({0}, '[\\n\\r]') THEN
  'E''' || replace(replace(replace(replace({0}, '''', ''''''), '\\', '\\x5C'), chr(10), '\\n'), chr(13), '\\r') || ''''
  ELSE '''' || replace({0}, '''', '''''') || '''' END"""
 
+_USER_LEDGER_SQL = """
+WITH l AS (SELECT 'user_' || user_id AS name, arg_max(event_id, (ts, event_id)) AS id, max(ts) AS applied_at,
+  arg_max(CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'rolled_back' WHEN 'view' THEN 'resolved' ELSE 'success' END,
+          (ts, event_id)) AS status,
+  arg_max({'s': CASE WHEN event_type <> 'view' THEN value END}, (ts, event_id)).s AS seconds,
+  arg_max({'m': CASE WHEN event_type = 'error' THEN props END}, (ts, event_id)).m AS error_message
+  FROM events GROUP BY user_id)
+"""
+_NO_EXTRA = "o_orderpriority <> '5-LOW' AND o_orderstatus <> 'P'"
+
 ORACLES = {
+    "stream_import_json": f"SELECT * FROM orders WHERE {_NO_EXTRA} AND o_custkey IN (SELECT c_custkey FROM customer)",
+    "stream_import_rejects": """
+        SELECT rule, count(*) AS n_rows, min(n)::INTEGER AS shortest FROM (
+            SELECT CASE WHEN o_orderpriority = '5-LOW' THEN 'malformed' ELSE 'unknown_key:o_extra' END AS rule,
+                length('{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus
+                    || '","o_totalprice":,"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000')
+                    || '","o_orderpriority":"' || o_orderpriority || '"}')
+                + length(CAST(o_totalprice AS VARCHAR))
+                + CASE WHEN o_orderstatus = 'P' THEN length(',"o_extra":""') + length(o_orderpriority) ELSE 0 END
+                + CASE WHEN o_orderpriority = '5-LOW' THEN 7 ELSE 0 END AS n
+            FROM orders WHERE o_orderpriority = '5-LOW' OR o_orderstatus = 'P') GROUP BY rule""",
+    "ledger_status_now": _USER_LEDGER_SQL + """
+        SELECT 'applied' AS state, name, CAST(NULL AS VARCHAR) AS error_message FROM l WHERE status = 'success'
+        UNION ALL SELECT 'pending', 'user_' || c_custkey, NULL FROM customer
+            WHERE 'user_' || c_custkey NOT IN (SELECT name FROM l WHERE status = 'success')
+        UNION ALL SELECT 'failed', name, error_message FROM l WHERE status = 'failed'""",
+    "ledger_summary_now": _USER_LEDGER_SQL + """
+        SELECT count(*) AS total, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status = 'failed') AS failed,
+               round(coalesce(sum(seconds) FILTER (seconds > 0), 0.0), 2) AS seconds
+        FROM l WHERE status IN ('success', 'failed')""",
+    "ledger_rollback_now": _USER_LEDGER_SQL + """
+        SELECT name, id FROM l WHERE status = 'success' ORDER BY applied_at DESC, id DESC LIMIT 50""",
     "evolve_add": """SELECT *, 'web' AS o_channel, CAST(5 AS INTEGER) AS o_rating, false AS o_gift, CAST(NULL AS VARCHAR) AS o_note FROM orders""",
     "evolve_drop": "SELECT * EXCLUDE (o_totalprice) FROM orders",
     "evolve_restore": "SELECT * FROM orders",

@@ -41,7 +41,8 @@ def sql_pick(values, key: str) -> str:
 
 
 def _camel(c):
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 100)))
+    c = F.col(c)
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2), F.length(c))))
 
 
 _NAME_SQL = """SELECT p_partkey, upper(p_type[1]) || lower(p_type[2:]) || upper(p_name[1]) || p_name[2:] || CASE WHEN p_size > 25 THEN 'ID' ELSE 'Way' END AS s FROM part"""
@@ -49,7 +50,7 @@ _NAME_SQL = """SELECT p_partkey, upper(p_type[1]) || lower(p_type[2:]) || upper(
 
 def _part_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.concat(
-        _camel("p_type"), F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 100),
+        _camel("p_type"), F.upper(F.substring("p_name", 1, 1)), F.substr("p_name", F.lit(2), F.length("p_name")),
         F.when(F.col("p_size") > 25, F.lit("ID")).otherwise(F.lit("Way")),
     ).alias("s"))
 
@@ -79,7 +80,7 @@ def valid_identifier(spark, sf_dir):
         table(spark, sf_dir, "customer").select(F.col("c_name").alias("s"))
         .unionByName(table(spark, sf_dir, "part").select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("s")))
         .unionByName(table(spark, sf_dir, "documents").select(F.col("text").alias("s")))
-        .unionByName(table(spark, sf_dir, "orders").select(F.substring("o_orderpriority", 3, 20).alias("s")))
+        .unionByName(table(spark, sf_dir, "orders").select(F.substr("o_orderpriority", F.lit(3), F.length("o_orderpriority")).alias("s")))
         .unionByName(table(spark, sf_dir, "events").select(
             F.when(F.col("event_type") == "view", F.upper("event_type"))
             .when(F.col("event_type") == "click", F.lit("")).otherwise(F.concat(F.col("user_id").cast("string"), F.lit("x")))

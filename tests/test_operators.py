@@ -132,7 +132,10 @@ def test_page_bounds_and_label(spark):
     df = spark.createDataFrame([(i, f"name {i}") for i in range(25)], "id int, name string")
     page = search.page(df, ["id"], 3, 10)
     assert (page.total, page.total_pages, page.label) == (25, 3, "Showing 21 to 25 of 25 rows (Page 3 of 3)")
-    assert search.page(df, ["id"], 0, 1000).limit == 10
+    assert search.page(df, ["id"], 0, 10).number == 1
+    for limit in (0, 101):
+        with pytest.raises(ValueError):
+            search.page(df, ["id"], 1, limit)
     assert search.page(df, ["id"], term="zzz").label == "No data found"
     assert search.page(df, ["id"], 2, 5, term="NAME 1").total == 11
 
@@ -432,10 +435,28 @@ def test_type_change_parity(spark):
     assert catalog_diff.diff_catalog(one("varchar"), one("character varying")).count() == 0
 
 
-def test_too_many_index_members(spark):
-    members = spark.createDataFrame([("i", f"c{n}", n) for n in range(33)] + [("j", "b", 2), ("j", "a", 1)],
-                                    "index_name string, column_name string, member_pos long")
-    listed = spark.createDataFrame([("i", "t"), ("j", "t"), ("k", "t")], "index_name string, table_name string")
-    details = spark.createDataFrame([("j", True, "hash")], "index_name string, is_unique boolean, method string")
+def test_all_index_members_by_table(spark):
+    members = spark.createDataFrame(
+        [("i", "t", f"c{n}", n) for n in range(40)] + [("i", "u", "x", 1), ("j", "t", "b", 2), ("j", "t", "a", 1)],
+        "index_name string, table_name string, column_name string, member_pos long")
+    listed = spark.createDataFrame([("i", "t"), ("i", "u"), ("j", "t"), ("k", "t")], "index_name string, table_name string")
+    details = spark.createDataFrame([("j", "t", True, "hash")], "index_name string, table_name string, is_unique boolean, method string")
     got = rows(catalog.catalog_indexes(listed, members, details))
-    assert got == [("i", "t", 33, "", False, "btree"), ("j", "t", 2, "a,b", True, "hash"), ("k", "t", 0, "", False, "btree")]
+    assert got == [
+        ("i", "t", 40, ",".join(f"c{n}" for n in range(40)), False, "btree"), ("i", "u", 1, "x", False, "btree"),
+        ("j", "t", 2, "a,b", True, "hash"), ("k", "t", 0, "", False, "btree")]
+    assert catalog.index_members(listed, members).count() == 43
+
+
+def test_references_of_one_name_stay_apart(spark):
+    """Two tables with a composite reference of the same name: four rows, not sixteen."""
+    both = [("fk", t, c, p) for t in ("a", "b") for p, c in enumerate(("x", "y"))]
+    usage = spark.createDataFrame(both, "constraint_name string, table_name string, column_name string, ordinal_position long")
+    constraints = spark.createDataFrame([("fk", "a", "FOREIGN KEY"), ("fk", "b", "FOREIGN KEY")],
+                                        "constraint_name string, table_name string, constraint_type string")
+    referenced = spark.createDataFrame([(n, t, p, "r", f"r_{t}_{c}") for n, t, c, p in both],
+                                       "constraint_name string, table_name string, ordinal_position long, ref_table string, ref_column string")
+    rules = spark.createDataFrame([("fk", "a", "CASCADE", "RESTRICT")],
+                                  "constraint_name string, table_name string, delete_rule string, update_rule string")
+    got = rows(catalog.catalog_foreign_keys(constraints, usage, referenced, rules).select("table_name", "column_name", "ref_column", "on_delete"))
+    assert got == [("a", "x", "r_a_x", "CASCADE"), ("a", "y", "r_a_y", "CASCADE"), ("b", "x", "r_b_x", None), ("b", "y", "r_b_y", None)]
