@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +20,10 @@ RECOMMENDED_CONF = {
 }
 
 
+# paths of the scopes that are open, the innermost last
+_scopes: list[list[str]] = []
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RECOMMENDED_CONF.items():
         spark.conf.set(key, value)
@@ -46,14 +52,33 @@ def pin_partitions(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared checkpoint folder."""
     _ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/keelrow/{name}-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/keelrow/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what was written under scratch paths inside.
+
+    Results are lazy and read those paths, so write or collect them inside the scope.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows as parquet under the shared checkpoint folder and read them back.
 
     Unlike a checkpoint the result has its true size, so Spark can decide on broadcasts, and
-    it can be read by column.  The folder is the caller's to clean, like any checkpoint folder.
+    it can be read by column.  :func:`scratch_scope` removes it; without one the folder is the
+    caller's to clean, like any checkpoint folder.
 
     Key sets that rows are joined with go through here when they come from an aggregate: Spark
     splits a skewed partition of the rows only if the other side of the join is a plain scan.

@@ -1,5 +1,6 @@
 """Dirty inputs: what is refused, kept apart or counted right."""
 
+import os
 from dataclasses import replace
 
 import pytest
@@ -149,3 +150,20 @@ def test_pages_by_several_columns(spark):
         seen += [r["b"] for r in got]
         after = (got[-1]["a"], got[-1]["b"])
     assert seen == list(range(60))
+
+
+def test_a_scope_leaves_nothing_behind(spark):
+    from keelrow.session import cut_lineage, scratch_path, scratch_scope
+
+    def files():
+        folder = scratch_path(spark, "x").rsplit("/", 1)[0].removeprefix("file:")
+        return sorted(os.listdir(folder)) if os.path.isdir(folder) else []
+
+    before = files()
+    with scratch_scope(spark):
+        assert cut_lineage(spark.range(5)).count() == 5
+        with pytest.raises(Refused), scratch_scope(spark):
+            cut_lineage(spark.range(5)).count()
+            raise Refused("inside", {})
+        assert len(files()) == len(before) + 1
+    assert files() == before
