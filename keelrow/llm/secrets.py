@@ -144,6 +144,10 @@ def _sequence_query(nodes) -> Query:
         if grown is not None:
             run = grown
             continue
+        if own is None and node[0] in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            # the copies that must be there go on with the run
+            least = _sequence_strings(list(node[1][2]) * min(node[1][0], 8))
+            run = (least and _few({a + b for a in run for b in least})) or run
         query = _both(query, _simplest(map(_trigrams, run)))
         run = own if own is not None else {""}
         if own is None:
