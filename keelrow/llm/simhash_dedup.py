@@ -14,8 +14,8 @@ Copies collapse first: only distinct fingerprints are probed.  Fingerprints that
 verified in blocks of bounded size: a group with more members is dealt over all pairs of its blocks,
 and each block reports a spanning forest of its links, never all pairs.
 
-Defined results: null and empty texts have fingerprint zero and link like any other; rows of one
-id are rows of one document; a null id counts after all others and stays null in the result.
+Defined results: null and empty texts have fingerprint zero and link like any other; rows of one id
+belong to the classes of their texts; a null id counts after all others and stays null in the result.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def simhash(text: bytes, width: int = SHINGLE) -> int:
 def _fingerprints(batches: Batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([simhash(text) for text in utf8(batch.column(1))], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["__id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], ["__id", "mark", "fp"])
 
 
 def _bits(prints: np.ndarray) -> np.ndarray:
@@ -255,8 +255,8 @@ def _edges(columns: list[np.ndarray], radius: int) -> Iterator[pa.RecordBatch]:
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``a, b``: links between the nodes of distinct fingerprints (``fp, node``) that connect all within the radius."""
-    rows = prints.count()
-    plan = plan_probes(prints, rows, radius)
+    # without rows every plan would cost nothing
+    plan = plan_probes(prints, max(prints.count(), 1), radius)
     keyed = prints.select("fp", "node", F.explode(_keys(plan)).alias("k")).select("k.part", "k.key", "fp", "node")
     sizes = cut_lineage(keyed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     partitions = shuffle_partitions(prints)
@@ -273,29 +273,40 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(_links(radius), "a long, b long").distinct()
 
 
+def _mark(text_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+    """Each row's id, text hash (``mark``), ``fp``, the fingerprint that stands for its class (``root``) and the class's least id."""
+    prints = cut_lineage(docs.select(
+        F.col(f"`{id_col}`").cast("long").alias(ID), F.col(f"`{text_col}`").cast("string").alias(TEXT), _mark(text_col).alias("mark"),
+    ).mapInArrow(_fingerprints, f"{ID} long, mark long, fp long"))
+    nodes = cut_lineage(prints.groupBy("fp").agg(F.min(F.coalesce(F.col(ID), F.lit(LAST_ID))).alias("first")))
+    linked = components(links(nodes.select("fp", F.col("fp").alias("node")), radius), "a", "b")
+    rooted = cut_lineage(nodes.join(linked, F.col("fp") == F.col("node"), "left").select(
+        "fp", "first", F.coalesce("component", "fp").alias("root")))
+    least = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    roots = cut_lineage(rooted.join(least, "root").select("fp", "root", "component_id"))
+    return prints.join(roots, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row a document: its id, ``fp`` (signed 64 bits) and ``component_id``."""
-    prints = cut_lineage(docs.select(
-        F.col(f"`{id_col}`").cast("long").alias(ID), F.col(f"`{text_col}`").cast("string").alias(TEXT),
-    ).mapInArrow(_fingerprints, f"{ID} long, fp long"))
-    nodes = cut_lineage(prints.groupBy("fp").agg(F.min(F.coalesce(F.col(ID), F.lit(LAST_ID))).alias("node")))
-    linked = components(links(nodes, radius), "a", "b")
-    roots = cut_lineage(
-        nodes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    )
-    return prints.join(roots, "fp").select(
+    return _classes(docs, id_col, text_col, radius).select(
         F.col(ID).alias(id_col), "fp", F.when(F.col("component_id") != LAST_ID, F.col("component_id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The documents with the smallest id of their group; rows that repeat such an id count as one."""
-    found = near_duplicates(docs, id_col, text_col, radius)
-    stay = cut_lineage(
-        found.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-        .groupBy(F.col(id_col).alias("__stay")).agg(F.count(F.lit(1)).alias("__rows"))
-    )
+    """One document of each group: the smallest id, of several texts under it that with the least hash."""
+    rows = _classes(docs, id_col, text_col, radius)
+    # one row a group; what repeats both id and text counts as one
+    chosen = rows.groupBy("root").agg(F.min(F.struct(F.coalesce(F.col(ID), F.lit(LAST_ID)).alias("id"), "mark")).alias("x")).select("x.id", "x.mark")
+    counted = rows.groupBy(F.coalesce(F.col(ID), F.lit(LAST_ID)).alias("id"), "mark").agg(F.count(F.lit(1)).alias("__rows"))
+    stay = cut_lineage(chosen.distinct().join(counted, ["id", "mark"]).toDF("__stay", "__mark", "__rows"))
 
     def of(condition: str) -> DataFrame:
-        return docs.join(stay.filter(condition), F.col(f"`{id_col}`").eqNullSafe(F.col("__stay")), "left_semi")
+        own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
+        return docs.join(stay.filter(condition), (own == F.col("__stay")) & (_mark(text_col) == F.col("__mark")), "left_semi")
 
-    return of("__rows = 1").union(of("__rows > 1").dropDuplicates([id_col]))
+    return of("__rows = 1").union(of("__rows > 1").dropDuplicates([id_col, text_col]))
