@@ -223,8 +223,8 @@ def evolve(tables: Mapping[str, DataFrame], contracts: Mapping[str, TableContrac
     state = dict(contracts)
     flags: dict[str, list[tuple[str, checks.RowRule]]] = {}
     reports: list[DataFrame] = []
-    # columns whose values changed type, by their names at the end
-    retyped: set[tuple[str, str]] = set()
+    # columns whose values changed type, by their names at the end, and whether different values may be equal now
+    retyped: dict[tuple[str, str], bool] = {}
 
     def flag(table: str, kind: str, column: str, text: str, violated: SparkColumn) -> None:
         name = f"__refused_{len(flags.setdefault(table, []))}"
@@ -268,14 +268,13 @@ def evolve(tables: Mapping[str, DataFrame], contracts: Mapping[str, TableContrac
                 if op.column.not_null:
                     flag(op.table, "not_null", name, f"{name} must not be null", F.col(old).isNull())
                 rows[op.table] = rows[op.table].drop(old)
-                retyped.add((op.table, name))
+                retyped[op.table, name] = retyped.get((op.table, name), False) or _may_merge(held, op.column.type)
             elif op.column.not_null:
                 flag(op.table, "not_null", name, f"{name} must not be null", F.col(name).isNull())
         elif op.kind == "RENAME_COLUMN":
             rows[op.table] = rows[op.table].withColumnRenamed(op.old_column.name, op.new_name)
             if (op.table, op.old_column.name) in retyped:
-                retyped.remove((op.table, op.old_column.name))
-                retyped.add((op.table, op.new_name))
+                retyped[op.table, op.new_name] = retyped.pop((op.table, op.old_column.name))
         elif op.kind == "ADD_FOREIGN_KEY":
             fk = op.foreign_key
             reports.append(checks.check_foreign_key(
@@ -291,13 +290,18 @@ def evolve(tables: Mapping[str, DataFrame], contracts: Mapping[str, TableContrac
     return Evolution(rows, state, reports)
 
 
+def _may_merge(held: T.DataType, pg_type: str) -> bool:
+    """Whether a cast can make different values equal; integers stay apart as text and as other integers."""
+    return not (isinstance(held, T.IntegralType) and isinstance(spark_type(pg_type), (T.StringType, T.IntegralType)))
+
+
 def _recheck(rows: Mapping[str, DataFrame], state: Mapping[str, TableContract],
-             retyped: set[tuple[str, str]]) -> list[DataFrame]:
+             retyped: Mapping[tuple[str, str], bool]) -> list[DataFrame]:
     """Keys and references, in both directions, of columns whose type changed: values that differed may be equal now."""
     reports = []
     for name, contract in state.items():
         for key in contract.unique_keys():
-            if any((name, c) in retyped for c in key.columns):
+            if any(retyped.get((name, c), False) for c in key.columns):
                 reports.append(checks.check_unique(rows[name], key.columns, name, key.kind, key.name))
         for column, fk in contract.references():
             if fk.table in rows and ((name, column) in retyped or (fk.table, fk.column) in retyped):

@@ -40,13 +40,15 @@ def read_json(spark: SparkSession, path: str, contract: TableContract, array_fil
 
     The columns are those that any object has, not only the first; a key that is missing from
     an object is NULL, a column that no object has gets its default on insert.  Objects with
-    unknown keys refuse the import; the message counts them and names the first twenty, :func:`unknown_keys` lists all.
+    unknown keys refuse the import; the message names twenty and counts the rest, :func:`unknown_keys` lists all.
     """
     objects = cut_lineage(read_objects(spark, path, array_files))
     foreign = unknown_keys(objects, contract)
     unknown = sorted(r["key"] for r in foreign.orderBy("key").limit(20).collect())
     if unknown:
-        raise ValueError(f"columns not found in table {contract.name} ({foreign.count()}): {', '.join(unknown)}")
+        rest = foreign.count() - len(unknown)
+        more = f" and {rest} more" if rest else ""
+        raise ValueError(f"columns not found in table {contract.name}: {', '.join(unknown)}{more}")
     seen = objects.agg(*[
         F.coalesce(F.bool_or(F.map_contains_key("fields", n)), F.lit(False)).alias(n) for n in contract.names
     ]).first()
