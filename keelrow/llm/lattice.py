@@ -47,7 +47,13 @@ class Pieces:
         self.keys, self.ids = keys[order], np.array([self.number[p] for p in usable])[order]
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self._cell(self.keys)] = True
-        self.characters = {p for p in usable if len(p) == 1}
+        # starts of pieces: where none fits, longer pieces need not be tried
+        starts = sorted({p[:k] for p in usable for k in range(1, len(p))})
+        self.starts = np.zeros(1 << _FILTER_BITS, bool)
+        for length in {len(p) for p in starts}:
+            own = [p for p in starts if len(p) == length]
+            points = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length)
+            self.starts[self._cell(_hashes(points))] = True
 
     @staticmethod
     def _cell(keys: np.ndarray) -> np.ndarray:
@@ -69,10 +75,13 @@ def _edges(pieces: Pieces, points: np.ndarray) -> Iterator[tuple[int, int, np.nd
     """Start, end, rows and pieces of all pieces in words of one length; lists of bytes for unknown characters."""
     n, length = points.shape
     for start in range(length):
-        code = np.zeros(n, np.uint64)
+        code, open_ = np.zeros(n, np.uint64), np.arange(n)
         for end in range(start + 1, min(start + pieces.longest, length) + 1):
-            code = _step(code, points[:, end - 1])
-            rows, ids = pieces.find(code)
+            code = _step(code, points[open_, end - 1])
+            found, ids = pieces.find(code)
+            rows = open_[found]
+            longer = pieces.starts[pieces._cell(code)]
+            code, open_ = code[longer], open_[longer]
             if end == start + 1 and len(rows) < n:
                 unknown = np.ones(n, bool)
                 unknown[rows] = False
@@ -81,6 +90,8 @@ def _edges(pieces: Pieces, points: np.ndarray) -> Iterator[tuple[int, int, np.nd
                     yield start, end, own, None, np.array(pieces.spelled(chr(point)), np.int64)
             if len(rows):
                 yield start, end, rows, ids, None
+            if not len(open_):
+                break
 
 
 def _weights(pieces: Pieces, ids, spelled) -> np.ndarray | float:

@@ -40,6 +40,7 @@ SMOOTHING = 0.1
 # weight of the vocabulary's own weights in the fit, in pieces
 PRIOR = 10_000.0
 _DISTINCT = 500_000
+_ROWS_AT_ONCE, _BYTES_AT_ONCE = 100_000, 1 << 25
 
 
 def vocabulary(path: str) -> tuple[list[str], np.ndarray]:
@@ -77,6 +78,19 @@ def _counted(batches: Batches) -> Iterator[pa.RecordBatch]:
     yield from rows(learnt, seen)
 
 
+def _gathered(batches: Batches) -> Iterator[pa.RecordBatch]:
+    """Larger batches: the lattice works on all words of one length at once."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= _ROWS_AT_ONCE or size >= _BYTES_AT_ONCE:
+            yield pa.concat_batches(held)
+            held, rows, size = [], 0, 0
+    if rows:
+        yield pa.concat_batches(held)
+
+
 def _texts(column: pa.Array) -> list[str]:
     return [value.decode("utf-8", "replace") for value in utf8(column)]
 
@@ -85,7 +99,7 @@ def _expected(model):
     def expected(batches: Batches) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(*model.value)
         total = np.zeros(len(pieces.logs))
-        for batch in batches:
+        for batch in _gathered(batches):
             if batch.num_rows:
                 total += expected_counts(pieces, _texts(batch.column(0)), batch.column(1).to_numpy().astype(float))
         at = np.flatnonzero(total)
@@ -96,7 +110,7 @@ def _expected(model):
 def _with_logs(model):
     def scored(batches: Batches) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(*model.value)
-        for batch in batches:
+        for batch in _gathered(batches):
             logs = log_probabilities(pieces, _texts(batch.column(0))) / math.log(10)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs)], [*batch.schema.names, "lp"])
     return scored
@@ -118,6 +132,22 @@ def fit(words: DataFrame, pieces: Sequence[str], logs: np.ndarray, ends: int, ro
     return logs + math.log1p(-end), math.log10(end)
 
 
+def _commonest(words: DataFrame, most: int) -> DataFrame:
+    """The words above the lowest count that at most ``most`` words reach, without sorting them.
+
+    Counts are taken in steps of a sixteenth power of two, so that there are about a thousand at any size.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int")
+    sizes = sorted(((r["step"], r["count"]) for r in words.groupBy(step.alias("step")).count().collect()), reverse=True)
+    lowest, total = None, 0
+    for at, count in sizes:
+        total += count
+        if total > most:
+            break
+        lowest = at
+    return words.filter(F.lit(False) if lowest is None else step >= lowest)
+
+
 def _mixed(c: Column, lattice: Column, tokens: int, unseen: float) -> Column:
     """log10 of the mixture of a word's frequency and its lattice."""
     whole = F.log10((1 - unseen) * c / F.lit(float(max(tokens, 1))) + unseen * F.pow(F.lit(10.0), lattice))
@@ -179,8 +209,8 @@ def score(
     base = F.log10((F.col("c") + SMOOTHING) / F.lit(whole))
     table = cut_lineage(words.mapInArrow(_with_logs(model), "word binary, c long, n long, lp double")
                         .withColumns({"base": base, "mixed": _mixed(F.col("c"), F.col("lp"), tokens, unseen)}))
-    # a bounded table: the commonest words, of any corpus
-    common = table.orderBy(F.col("n").desc(), "word").limit(HEAD).select("word", "c", "base", "mixed", "lp").toArrow()
+    # a bounded table, of any corpus
+    common = _commonest(table, HEAD).select("word", "c", "base", "mixed", "lp").toArrow()
     head = context.broadcast({word: values for word, *values in zip(*(common.column(i).to_pylist() for i in range(5)))})
     row_type = rows.schema[ROW].dataType.simpleString()
     dealt = cut_lineage(
