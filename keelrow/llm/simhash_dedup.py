@@ -301,12 +301,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One document of each group: the smallest id, of several texts under it that with the least hash."""
     rows = _classes(docs, id_col, text_col, radius)
     # one row a group; what repeats both id and text counts as one
-    chosen = rows.groupBy("root").agg(F.min(F.struct(F.coalesce(F.col(ID), F.lit(LAST_ID)).alias("id"), "mark")).alias("x")).select("x.id", "x.mark")
+    chosen = rows.groupBy("root").agg(F.min(F.struct(F.coalesce(F.col(ID), F.lit(LAST_ID)).alias("id"), "mark")).alias("x")).select(
+        "x.id", "x.mark", F.lit(True).alias("chosen")).distinct()
     counted = rows.groupBy(F.coalesce(F.col(ID), F.lit(LAST_ID)).alias("id"), "mark").agg(F.count(F.lit(1)).alias("__rows"))
-    stay = cut_lineage(chosen.distinct().join(counted, ["id", "mark"]).toDF("__stay", "__mark", "__rows"))
-
-    def of(condition: str) -> DataFrame:
-        own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
-        return docs.join(stay.filter(condition), (own == F.col("__stay")) & (_mark(text_col) == F.col("__mark")), "left_semi")
-
-    return of("__rows = 1").union(of("__rows > 1").dropDuplicates([id_col, text_col]))
+    # most documents stay, so the shorter list is that of those that do not, or not as they are
+    listed = cut_lineage(
+        counted.join(chosen, ["id", "mark"], "left").filter("chosen IS NULL OR __rows > 1")
+        .select(F.col("id").alias("__listed"), F.col("mark").alias("__mark"), F.col("chosen").isNotNull().alias("__once")))
+    own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
+    same = (own == F.col("__listed")) & (_mark(text_col) == F.col("__mark"))
+    repeated = docs.join(listed.filter("__once"), same, "left_semi").dropDuplicates([id_col, text_col])
+    return docs.join(listed, same, "left_anti").union(repeated)
