@@ -4,7 +4,7 @@ The templates below are indexed by word and place, without the commonest functio
 read once: the places of all template words in it are written, a few bytes a document.  Then
 
 1. the words get inverse document frequencies over all documents;
-2. each document looks up its ``LOOKUPS`` rarest template words in the postings; places minus template
+2. each document looks up all its template words in the postings; places minus template
    places give relative positions, and templates that at least two words (or all, if
    the template has fewer) agree on are candidates at that position;
 3. at a candidate's position all template words count: the coverage is the share of the template's
@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelrow.llm.common import ID, ROW, TEXT, carried
 from keelrow.llm.quality_rules import bound
 from keelrow.session import cut_lineage
 
+# of the SQL below alone, which looks up only so many words a document and so finds fewer templates in files of several notices
 LOOKUPS = 16
 COVERAGE = 0.6
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -128,11 +129,8 @@ def _templates_found(read: DataFrame) -> DataFrame:
         "idf", F.coalesce("idf", F.log(F.lit(2.0 * (total + 1))))).drop("w")
     whole = cut_lineage(weighted.groupBy("template", "label").agg(
         F.sum("idf").alias("weight"), F.sum(F.col("key").cast("int")).alias("n_key"), F.count(F.lit(1)).alias("n_places")))
-    # not more rows a document than the templates have words
-    rank = F.row_number().over(Window.partitionBy("__rid").orderBy(F.col("idf").desc(), "w"))
-    lookups = seen.join(F.broadcast(idf), "w").withColumn("rank", rank).filter(F.col("rank") <= LOOKUPS).select("__rid", "w")
     at = (F.col("i") - F.col("place")).alias("at")
-    aligned = hits.join(lookups, ["__rid", "w"]).join(index, F.col("w") == F.col("word")).groupBy("__rid", "template", at).agg(
+    aligned = hits.join(index, F.col("w") == F.col("word")).groupBy("__rid", "template", at).agg(
         F.count_distinct("place").alias("agree"))
     candidates = aligned.join(F.broadcast(whole), "template").filter(
         F.col("agree") >= F.least(F.lit(2), "n_places")).select("__rid", "template", "at")
@@ -170,7 +168,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def duckdb_sql() -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL, with the ``LOOKUPS`` rarest words of each document alone."""
     def text(value: str) -> str:
         return "'" + re.sub("'", "''", value) + "'"
 

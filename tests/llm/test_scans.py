@@ -102,3 +102,12 @@ def test_license_plan_has_no_python(spark, sf_dir):
     import __spark_entry__ as entry
     plan = entry.queries()["op4_license_scan"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_all_licences_of_a_file_with_all_notices(spark):
+    notices = [template for _, template, _ in licenses.TEMPLATES]
+    rows = [(10 * i + k, f"own words {t} and more") for i, t in enumerate(notices) for k in range(10)]
+    rows.append((1000, " some words between ".join(notices)))
+    got = {r["__id"]: r for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1000]["labels"] == ",".join(sorted({label for label, _, _ in licenses.TEMPLATES}))
+    assert got[1000]["score"] == pytest.approx(1.0)
