@@ -10,6 +10,10 @@ distributed sum of as many numbers as there are domains.  A rate is a function o
 and of the residuals so far, so nothing but those few numbers a step is kept, and a lost
 executor costs only its part of one sum.
 
+If the descent is not at the targets after ``_ITERATIONS`` steps (a rare domain makes it slow), Newton steps find
+the rates nearest to those so far that are: max(0, rate + z p), with one number a domain in z.  Targets that
+no rates reach get the nearest shares, and a warning that gives the distance left.
+
 Defined results: null and empty texts have no tokens, the posterior of no evidence, and a rate like
 any other; labels without a document, and null labels, are left out; without labels all domains
 are equally likely; repeated rows are separate documents; an empty table stays empty.  Targets are scaled
@@ -18,6 +22,7 @@ to sum up to 1; a domain that the targets do not name is not a domain.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
@@ -36,6 +41,8 @@ MAX_LABELLED = 8_000
 FEATURES = 1 << 15
 _EPOCHS, _BATCH, _RATE = 12, 128, 0.05
 _ITERATIONS, _TOLERANCE = 60, 1e-5
+# Newton steps and halvings of one, and the weight that keeps the rates bounded where the targets cannot be met
+_STEPS, _HALVINGS, _RIDGE = 60, 30, 1e-9
 
 
 def domain() -> Column:
@@ -139,6 +146,7 @@ class Mixture:
 
     step: float
     residuals: np.ndarray
+    shift: np.ndarray | None = None
 
     def start(self, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rates after the steps so far, and the point where the next gradient is taken."""
@@ -148,6 +156,10 @@ class Mixture:
             rate, ahead = new, new + k / (k + 3) * (new - rate)
         return rate, ahead
 
+    def rates(self, posterior: np.ndarray) -> np.ndarray:
+        rate = self.start(posterior)[0]
+        return rate if self.shift is None else np.maximum(0.0, rate + posterior @ self.shift)
+
 
 def _memberships(model) -> object:
     def member(batches: Batches) -> Iterator[pa.RecordBatch]:
@@ -186,6 +198,57 @@ def _summed(memberships: DataFrame, mixture: Mixture | None, classes: int, secon
     return out
 
 
+def _potential(mixture: Mixture, classes: int):
+    """Of one task: the sums of t r r / 2, of t r p and of t p p' where r > 0, as cells."""
+    def summed(batches: Batches) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + classes + classes * classes)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens = batch.column(0).to_numpy().astype(np.float64)
+            posterior = batch.column(1).values.to_numpy().reshape(-1, classes)
+            rate = mixture.rates(posterior)
+            total[0] += (tokens * rate) @ rate / 2
+            total[1:1 + classes] += (tokens * rate) @ posterior
+            total[1 + classes:] += ((posterior * (tokens * (rate > 0))[:, None]).T @ posterior).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["cell", "x"])
+    return summed
+
+
+def _corrected(memberships: DataFrame, mixture: Mixture, shares: np.ndarray, tokens: float) -> Mixture:
+    """The mixture with the shift that meets the shares: the least point of a convex function, by damped Newton steps."""
+    classes = len(shares)
+
+    def at(shift: np.ndarray):
+        cells = memberships.select("n_tokens", "posterior").mapInArrow(
+            _potential(Mixture(mixture.step, mixture.residuals, shift), classes), "cell long, x double")
+        x = np.zeros(1 + classes + classes * classes)
+        for row in cells.groupBy("cell").agg(F.sum("x").alias("x")).collect():  # a few rows a domain
+            x[row["cell"]] = row["x"] / tokens
+        reached = x[1:1 + classes]
+        return (x[0] - shares @ shift + _RIDGE / 2 * shift @ shift, reached - shares + _RIDGE * shift,
+                x[1 + classes:].reshape(classes, classes) + _RIDGE * np.eye(classes), reached - shares)
+
+    shift = np.zeros(classes)
+    value, slope, bend, residual = at(shift)
+    for _ in range(_STEPS):
+        if np.abs(residual).max() <= _TOLERANCE or np.abs(slope).max() <= _TOLERANCE / 10:
+            break
+        move, size = -np.linalg.solve(bend, slope), 1.0
+        for _ in range(_HALVINGS):
+            new = at(shift + size * move)
+            if new[0] <= value + 1e-4 * size * (slope @ move):
+                break
+            size /= 2
+        else:
+            break
+        shift = shift + size * move
+        value, slope, bend, residual = new
+    if np.abs(residual).max() > _TOLERANCE:
+        warnings.warn(f"the shares of the domains miss their targets by {residual.tolist()}", stacklevel=2)
+    return Mixture(mixture.step, mixture.residuals, shift)
+
+
 def solve(memberships: DataFrame, shares: np.ndarray) -> Mixture:
     """The mixture for rows of ``n_tokens, posterior``."""
     classes = len(shares)
@@ -199,6 +262,8 @@ def solve(memberships: DataFrame, shares: np.ndarray) -> Mixture:
         if np.abs(residual).max() <= _TOLERANCE:
             break
         mixture = Mixture(mixture.step, np.vstack([mixture.residuals, residual]))
+    else:
+        mixture = _corrected(memberships, mixture, shares, tokens)
     return mixture
 
 
@@ -206,7 +271,7 @@ def _rated(mixture: Mixture, classes: int):
     def rated(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             posterior = batch.column("posterior").values.to_numpy().reshape(-1, classes)
-            rate = mixture.start(posterior)[0] if batch.num_rows else np.zeros(0)
+            rate = mixture.rates(posterior) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*batch.schema.names, "rate"])
     return rated
 

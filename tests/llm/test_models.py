@@ -147,6 +147,25 @@ def test_mixing_meets_its_targets(spark):
     assert r == pytest.approx(mixing.Mixture(step, np.array(residuals).reshape(-1, 3)).start(p)[0], abs=1e-6)
 
 
+@pytest.mark.parametrize("share", [0.003, 0.0005])
+def test_mixing_meets_its_targets_with_a_rare_domain(spark, share):
+    draw = np.random.default_rng(7)
+    n = 20_000
+    of = np.where(np.arange(n) < share * n, 2, draw.integers(0, 10, n) == 0).astype(int)
+    p = mixing.softmax(np.eye(3)[of] * 6 + draw.normal(size=(n, 3)))
+    t, shares = draw.integers(1, 500, n), np.array([0.9, 0.07, 0.03])
+    df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p)], "n_tokens long, posterior array<double>")
+    r = mixing.solve(df, shares).rates(p)
+    assert (r >= 0).all() and (t * r) @ p / t.sum() == pytest.approx(shares, abs=2e-5)
+
+
+def test_mixing_warns_of_targets_out_of_reach(spark):
+    df = spark.createDataFrame([(10, [0.5, 0.5])] * 4, "n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="miss their targets"):
+        mixture = mixing.solve(df, np.array([0.9, 0.1]))
+    assert mixture.rates(np.array([[0.5, 0.5]])) == pytest.approx([1.0], abs=1e-3)
+
+
 def test_mixing_without_rows_or_labels(spark):
     none = spark.createDataFrame([], LABELS)
     assert mixing.mix(spark.createDataFrame([], SCHEMA), none).collect() == []
