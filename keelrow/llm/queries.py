@@ -6,7 +6,10 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelrow.llm import decontamination, licenses, line_dedup, lm_scoring, mixing, quality_rules, secrets, simhash_dedup, substring_dedup, toxicity
+from keelrow.llm import (
+    decontamination, licenses, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, secrets, simhash_dedup,
+    substring_dedup, toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +98,15 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    # a null id is never held out
+    scored = quality_classifier.score(
+        docs, _table(spark, sf_dir, "labels"), usable=F.coalesce(_remainder("__id", 4), F.lit(0)) != 2)
+    return scored.select(
+        "doc_id", (F.coalesce(_remainder("doc_id", 4), F.lit(0)) == 2).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_lm_scoring": op2_lm_scoring,
@@ -106,6 +118,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op13_quality_classifier": op13_quality_classifier,
     "pipeline": corpus_pipeline.run,
 }
 
