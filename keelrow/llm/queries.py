@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelrow.llm import (
-    decontamination, licenses, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, secrets, simhash_dedup,
-    substring_dedup, toxicity,
+    conversation_trie, decontamination, hard_negatives, licenses, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, secrets,
+    simhash_dedup, substring_dedup, toxicity,
 )
 
 
@@ -98,6 +98,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0, label=moved)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = conversation_trie.encode(
+        _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return conversation_trie.nodes(*conversation_trie.rebuilt(turns, convs, 20, _remainder("conv", 4), 3))
+
+
 def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     # a null id is never held out
@@ -118,6 +130,8 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_quality_classifier": op13_quality_classifier,
     "pipeline": corpus_pipeline.run,
 }
@@ -229,4 +243,61 @@ ORACLES = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    # every anchor against every row
+    "op11_hard_negatives": r"""
+        WITH known AS (
+            SELECT DISTINCT vec_id, if(vec_id % 7 = 0, (label + 1) % 10, label) AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, list_dot_product(a.v, b.v)::BIGINT AS score
+            FROM known a JOIN known b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+        ), positives AS (
+            SELECT anchor_id, id, score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+        )
+        SELECT p.anchor_id, p.id AS positive_id,
+            row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INTEGER AS rank,
+            n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+            AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+        QUALIFY rank <= 3""",
+    # every prefix as a list of turns; crc32 bit by bit
+    "op12_conversation_trie": r"""
+        WITH ordered AS (
+            SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, ''))
+                ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS t
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), headed AS (
+            SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)),
+                    lambda x, i: if(x & 1 = 1, xor(x >> 1, 3988292384::BIGINT), x >> 1))), 4294967295::BIGINT) % 4 AS h
+            FROM ordered
+        ), seqs AS (
+            SELECT c.conv_id, list_concat(coalesce(list_slice(b.t, 1, c.h), []), list_slice(c.t, c.h + 1, len(c.t))) AS seq
+            FROM headed c LEFT JOIN headed b ON b.conv_id = c.conv_id - c.conv_id % 20
+        ), prefixes AS (
+            SELECT conv_id, d, len(seq) = d AS ends, list_slice(seq, 1, d) AS prefix,
+                if(d = 0, 0, len(list_filter(string_split_regex(seq[d].text, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS words
+            FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM seqs)
+        ), member AS (
+            SELECT conv_id, d, ends, words, min(conv_id) OVER (PARTITION BY prefix) AS node FROM prefixes
+        ), node AS (
+            SELECT node AS conv_id, d AS depth, count(*) AS n_convs, max(words) AS words,
+                sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+            FROM member GROUP BY node, d
+        ), linked AS (
+            SELECT n.*, m.node AS parent_conv_id FROM node n LEFT JOIN member m ON m.conv_id = n.conv_id AND m.d = n.depth - 1
+        ), counted AS (
+            SELECT l.*, coalesce(k.n, 0) AS n_children FROM linked l LEFT JOIN (
+                SELECT parent_conv_id, depth - 1 AS depth, count(*) AS n FROM linked WHERE depth > 0 GROUP BY ALL
+            ) k ON k.parent_conv_id = l.conv_id AND k.depth = l.depth
+        ), below AS (
+            SELECT m.node, m.d, sum((c.n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum((c.n_convs - 1) * c.words)::BIGINT AS saved_tokens
+            FROM counted c JOIN member m ON m.conv_id = c.conv_id AND m.d <= c.depth GROUP BY ALL
+        )
+        SELECT c.conv_id, c.depth, c.parent_conv_id, c.n_convs, c.n_children, b.n_leaves, b.saved_tokens, c.ends_sha256
+        FROM counted c JOIN below b ON b.node = c.conv_id AND b.d = c.depth""",
 }
