@@ -12,6 +12,7 @@ from keelrow.contract import TableContract, spark_type
 from keelrow.functions.defaults import default_value
 from keelrow.operators import checks
 from keelrow.operators.changes import Refused, union_all
+from keelrow.operators.reach import hanging_on
 from keelrow.session import cut_lineage
 
 
@@ -29,6 +30,7 @@ class Deletion:
     tables: dict[str, DataFrame] = field(default_factory=dict)    # rows after the deletion
     victims: dict[str, DataFrame] = field(default_factory=dict)   # deleted keys of tables others refer to
     blocked: list[DataFrame] = field(default_factory=list)        # report rows of RESTRICT / NO ACTION
+    rounds: int = 0                                               # joins of tables with themselves, for cycles
 
     def blockers(self) -> DataFrame | None:
         return union_all(self.blocked) if self.blocked else None
@@ -74,6 +76,33 @@ def _cascade_order(start: str, cascades: Sequence[Edge]) -> list[str] | None:
     return order
 
 
+def _rings(start: str, cascades: Sequence[Edge]) -> list[list[str]]:
+    """Tables a cascade reaches, in groups that reach each other, parents first."""
+    reach: dict[str, set[str]] = {}
+    todo = [start]
+    while todo:
+        table = todo.pop()
+        if table in reach:
+            continue
+        seen, open_ = set(), [table]
+        while open_:
+            for e in cascades:
+                if e.parent == open_[-1] and e.child not in seen:
+                    seen.add(e.child)
+                    open_.insert(0, e.child)
+            open_.pop()
+        reach[table] = seen
+        todo += seen
+    rings, placed = [], set()
+    while len(placed) < len(reach):
+        ring = next(
+            sorted({t} | {o for o in reach[t] if t in reach[o]}) for t in sorted(set(reach) - placed)
+            if all(o in placed or o in reach[t] or t not in reach[o] for o in reach))
+        rings.append(ring)
+        placed.update(ring)
+    return rings
+
+
 def _needed(table: str, contract: TableContract, all_edges: Sequence[Edge]) -> list[str]:
     """Columns that tell which rows go: the key, and whatever children refer to."""
     wanted = set(contract.key) | {e.parent_column for e in all_edges if e.parent == table}
@@ -111,9 +140,11 @@ def delete_with_actions(tables: Mapping[str, DataFrame], contracts: Sequence[Tab
     """Delete rows by key and carry out every reference's delete action.
 
     Cascades without a cycle are worked through parents first: one semi join per reference for
-    the deleted keys, one anti join per reference for the rows that stay.  Cycles, and tables
-    that refer to themselves, are followed wave by wave until a wave is empty; each wave is
-    written out so the plan does not grow.  Deleted keys are kept, never whole rows.
+    the deleted keys, one anti join per reference for the rows that stay.  Where tables refer to
+    themselves or to each other in a ring, each row having one parent in it, pointers are doubled:
+    the number of joins is the logarithm of the depth.  Rows with several parents in a ring are
+    followed wave by wave.  Every step is written out, so no plan grows.  Deleted keys are kept,
+    never whole rows.
     """
     by_name = {c.name: c for c in contracts}
     _require_tables(tables, edges(contracts), table)
@@ -137,29 +168,34 @@ def delete_with_actions(tables: Mapping[str, DataFrame], contracts: Sequence[Tab
                 for e in cascades if e.child == name and e.parent in victims
             ]
             victims[name] = keep(parts[0] if len(parts) == 1 else union_all(parts).distinct())
-    else:
-        victims = _follow_waves(tables, by_name, cascades, table, first, columns_of)
-
     result = Deletion()
+    if order is None:
+        for ring in _rings(table, cascades):
+            inner = [e for e in cascades if e.child in ring and e.parent in ring]
+            seeds = {}
+            for name in ring:
+                parts = [first] if name == table else []
+                parts += [
+                    _hits(tables[name], e, victims[e.parent]).select(*columns_of(name))
+                    for e in cascades if e.child == name and e.parent in victims and e.parent not in ring]
+                if parts:
+                    seeds[name] = cut_lineage(parts[0] if len(parts) == 1 else union_all(parts).distinct())
+            if not inner:
+                victims.update(seeds)
+            elif _one_parent(inner, by_name):
+                found, rounds = _follow_pointers(tables, inner, seeds, columns_of)
+                victims.update(found)
+                result.rounds += rounds
+            else:
+                victims.update(_follow_waves(tables, by_name, inner, seeds, columns_of))
     result.victims = victims
     for name, df in tables.items():
-        rows = df
-        if name == table:
-            rows = rows.join(keys, keys.columns, "left_anti").select(*df.columns)
-        for e in cascades:
-            if e.child == name and e.parent in victims:
-                rows = _spared(rows, e, result.victims[e.parent])
+        held = rows_after(df, name, contracts, victims, keys if name == table else None, set_values=False)
         for e in all_edges:
-            gone = result.victims.get(e.parent)
-            if e.child != name or gone is None:
-                continue
-            if e.action == "RESTRICT":
-                result.blocked.append(_blocked_rows(df, e, gone))
-            elif e.action == "NO ACTION":
-                result.blocked.append(_blocked_rows(rows, e, gone))
-            elif e.action in ("SET NULL", "SET DEFAULT"):
-                rows = replace_reference(rows, by_name[name], e.column, gone, e.parent_column, e.action)
-        result.tables[name] = rows
+            gone = victims.get(e.parent)
+            if e.child == name and gone is not None and e.action in ("RESTRICT", "NO ACTION"):
+                result.blocked.append(_blocked_rows(df if e.action == "RESTRICT" else held, e, gone))
+        result.tables[name] = _with_values_set(held, by_name[name], all_edges, victims)
     for e in all_edges:
         gone = result.victims.get(e.parent)
         if gone is not None and e.action == "SET DEFAULT":
@@ -170,6 +206,25 @@ def delete_with_actions(tables: Mapping[str, DataFrame], contracts: Sequence[Tab
     return result
 
 
+def rows_after(df: DataFrame, name: str, contracts: Sequence[TableContract], victims: Mapping[str, DataFrame],
+               keys: DataFrame | None, set_values: bool = True) -> DataFrame:
+    """The rows of a table that stay, given the deleted keys of the tables it refers to; ``keys`` are its own."""
+    rows = df if keys is None else df.join(keys, keys.columns, "left_anti").select(*df.columns)
+    links = [e for e in edges(contracts) if e.parent in victims]
+    for e in links:
+        if e.child == name and e.action == "CASCADE":
+            rows = _spared(rows, e, victims[e.parent])
+    contract = next(c for c in contracts if c.name == name)
+    return _with_values_set(rows, contract, links, victims) if set_values else rows
+
+
+def _with_values_set(rows: DataFrame, contract: TableContract, links: Sequence[Edge], victims: Mapping[str, DataFrame]) -> DataFrame:
+    for e in links:
+        if e.child == contract.name and e.parent in victims and e.action in ("SET NULL", "SET DEFAULT"):
+            rows = replace_reference(rows, contract, e.column, victims[e.parent], e.parent_column, e.action)
+    return rows
+
+
 def _require_tables(tables: Mapping[str, DataFrame], links, table: str) -> None:
     """Every table that the deletion can reach must be there, else its rows would not be asked."""
     reached, open_ = {table}, [table]
@@ -184,10 +239,46 @@ def _require_tables(tables: Mapping[str, DataFrame], links, table: str) -> None:
         raise ValueError(f"tables that the deletion reaches are not given: {', '.join(missing)}")
 
 
-def _follow_waves(tables, by_name, cascades, start, first, columns_of) -> dict[str, DataFrame]:
-    """Deleted keys of a cyclic cascade.  The number of waves is the depth of the references."""
-    seen = {start: cut_lineage(first)}
-    wave = dict(seen)
+def _one_parent(inner: Sequence[Edge], by_name: Mapping[str, TableContract]) -> bool:
+    """Every row of the ring points to at most one row of it: one reference a table, to one unique column."""
+    if len({e.child for e in inner}) < len(inner):
+        return False
+    if len({(e.parent, e.parent_column) for e in inner}) > len({e.parent for e in inner}):
+        return False
+    return all((e.parent_column,) in [k.columns for k in by_name[e.parent].unique_keys()] for e in inner)
+
+
+def _follow_pointers(tables, inner, seeds, columns_of) -> tuple[dict[str, DataFrame], int]:
+    """Deleted keys of a ring in which every row has one parent."""
+    identity = {e.parent: e.parent_column for e in inner}
+    parts = []
+    for e in inner:
+        own, up = identity[e.child], tables[e.parent].schema[e.parent_column].dataType
+        rows = tables[e.child].filter(F.col(own).isNotNull()).select(
+            F.col(own).alias("id"), F.col(e.column).cast(up).alias("up"))
+        if e.child in seeds:
+            marks = seeds[e.child].select(F.col(own).alias("id")).distinct().withColumn("gone", F.lit(True))
+            rows = rows.join(marks, "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+        else:
+            rows = rows.withColumn("gone", F.lit(False))
+        if len(inner) > 1:
+            # ids of several tables side by side
+            rows = rows.withColumns({c: F.col(c).cast("string") for c in ("id", "up")})
+        parts.append(rows.select(F.lit(e.child).alias("table"), "id", F.lit(e.parent).alias("up_table"), "up", "gone"))
+    gone, rounds = hanging_on(union_all(parts), ["table", "id"], ["up_table", "up"])
+    found = {}
+    for e in inner:
+        dead = gone.filter(F.col("table") == e.parent).select(
+            F.col("id").cast(tables[e.parent].schema[e.parent_column].dataType).alias(e.parent_column))
+        hit = _hits(tables[e.child], e, dead).select(*columns_of(e.child))
+        found[e.child] = cut_lineage(hit.unionByName(seeds[e.child]).distinct() if e.child in seeds else hit)
+    return found, rounds
+
+
+def _follow_waves(tables, by_name, cascades, seeds, columns_of) -> dict[str, DataFrame]:
+    """Deleted keys of a ring in which rows have several parents.  The number of waves is the depth of the references."""
+    seen = dict(seeds)
+    wave = dict(seeds)
     while wave:
         found: dict[str, list[DataFrame]] = {}
         for e in cascades:
@@ -206,7 +297,8 @@ def _follow_waves(tables, by_name, cascades, start, first, columns_of) -> dict[s
             if fresh.isEmpty():
                 continue
             wave[name] = fresh
-            seen[name] = seen[name].unionByName(fresh) if name in seen else fresh
+            # one file set, not a union that grows with every wave
+            seen[name] = cut_lineage(seen[name].unionByName(fresh)) if name in seen else fresh
     return seen
 
 

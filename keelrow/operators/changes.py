@@ -19,6 +19,7 @@ from keelrow.functions.types import parse_value
 from keelrow.functions.values import Ranges
 from keelrow.operators import checks
 from keelrow.operators.numbering import dense_numbers
+from keelrow.operators.reach import hanging_on
 from keelrow.session import cut_lineage
 
 VIOLATIONS = "__violations"
@@ -98,15 +99,34 @@ def _lost_keys(rows: DataFrame, column: str, parent: DataFrame, parent_column: s
     return checks.orphan_keys(rows, [column], parent, [parent_column]).select(column, rule)
 
 
-def _flag_own_references(tagged: DataFrame, column: str, key: str, target: DataFrame | None) -> DataFrame:
-    """Rows may refer to rows of the same batch, but only to good ones.  A rejected row takes the
-    rows that refer to it along, wave by wave, until no good row points nowhere."""
+def _lost_below(good: DataFrame, column: str, key: str, target: DataFrame | None, lost: DataFrame) -> DataFrame:
+    """The lost keys, and those of the rows that go with them as far as good rows refer to them."""
+    kind = good.schema[key].dataType
+    held = good.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(column).cast(kind).alias("up"))
+    if target is not None:
+        # who refers to the target is safe and points no further
+        held = held.join(target.select(F.col(key).cast(kind).alias("up")).distinct(), "up", "left_anti")
+    marks = lost.select(F.col(column).cast(kind).alias("up"), F.lit(True).alias("gone"))
+    nodes = held.join(marks, "up", "left").select("id", "up", F.coalesce("gone", F.lit(False)).alias("gone"))
+    gone, _ = hanging_on(nodes, ["id"], ["up"])
+    below = good.select(column).distinct().join(
+        gone.select(F.col("id").cast(good.schema[column].dataType).alias(column)), column, "left_semi")
+    rule = F.array(F.lit(f"foreign_key:{column}")).alias("__rules")
+    return cut_lineage(lost.unionByName(below.select(column, rule)).distinct())
+
+
+def _flag_own_references(tagged: DataFrame, column: str, key: str, target: DataFrame | None, unique: bool) -> DataFrame:
+    """Rows may refer to rows of the same batch, but only to good ones.  A rejected row takes the rows that refer to
+    it along, whatever the depth: pointers are doubled if no two good rows share the key (``unique``), else it goes
+    wave by wave until no good row points nowhere."""
     while True:
         good = tagged.filter(F.size(VIOLATIONS) == 0)
         parent = good.select(key) if target is None else target.select(key).unionByName(good.select(key))
         lost = cut_lineage(_lost_keys(good, column, parent, key))
         if lost.isEmpty():
             return tagged
+        if unique:
+            return cut_lineage(_flag_keys(tagged, [column], _lost_below(good, column, key, target, lost)))
         tagged = cut_lineage(_flag_keys(tagged, [column], lost))
 
 
@@ -152,7 +172,8 @@ def tag_batch(batch: DataFrame, contract: TableContract, target: DataFrame | Non
         tagged = _flag_keys(tagged, columns, cut_lineage(bad) if materialize else bad)
     for column, fk in contract.references():
         if fk.table == contract.name:
-            tagged = _flag_own_references(tagged, column, fk.column, target)
+            unique = (fk.column,) in [k.columns for k in contract.unique_keys()]
+            tagged = _flag_own_references(tagged, column, fk.column, target, unique)
     return tagged.select(RAW, *contract.names, VIOLATIONS)
 
 
@@ -281,11 +302,11 @@ def update(target: DataFrame, changes: DataFrame, contract: TableContract,
     refused = {f"{r['type']}:{r['column']}": r["n_rows"] for r in broken if mode == "strict" or r["type"] != "not_found"}
     if refused:
         raise Refused(f"update of {contract.name} refused", refused)
-    return _updated(target, kept, contract, key, set_columns)
+    return updated(target, kept, contract, key, set_columns)
 
 
-def _updated(target: DataFrame, changes: DataFrame, contract: TableContract,
-             key: Sequence[str] | None = None, set_columns: str | None = None) -> DataFrame:
+def updated(target: DataFrame, changes: DataFrame, contract: TableContract,
+            key: Sequence[str] | None = None, set_columns: str | None = None) -> DataFrame:
     """The rows after changes that were checked: a repeated key would repeat rows."""
     key = list(key or contract.key)
     names = _changed_columns(changes, contract, key, set_columns)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from keelrow.contract import pg_type
 from keelrow.functions.types import parse_value
+from keelrow.operators import inclusion
 from keelrow.operators.checks import duplicate_keys, key_counts
 
 # Types that text columns are tried against, narrowest first.
@@ -97,73 +98,13 @@ def key_candidates(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     ).withColumn("key_candidate", F.col("unique_candidate") & (F.col("n_nulls") == 0))
 
 
-def _family(dtype: T.DataType) -> str:
-    return "integral" if isinstance(dtype, T.IntegralType) else dtype.typeName()
+def discover_references(tables: Mapping[str, DataFrame], keys: Mapping[str, str], same_name: bool = False) -> DataFrame:
+    """Inclusion of every comparable column in each key: distinct values, values without a parent, verdict.
 
-
-def reference_candidates(tables: Mapping[str, DataFrame], keys: Mapping[str, str],
-                         same_name: bool = False) -> list[tuple[str, str, str, str]]:
-    """Column pairs of comparable types; with ``same_name`` only those of the same name after the prefix."""
-    pairs = []
-    for parent, key in keys.items():
-        key_type = tables[parent].schema[key].dataType
-        for child, df in tables.items():
-            for field in df.schema.fields:
-                if (child, field.name) == (parent, key) or _family(field.dataType) != _family(key_type):
-                    continue
-                if same_name and field.name.split("_", 1)[-1] != key.split("_", 1)[-1]:
-                    continue
-                pairs.append((child, field.name, parent, key))
-    return pairs
-
-
-def discover_references(tables: Mapping[str, DataFrame], keys: Mapping[str, str],
-                        same_name: bool = False, prune: bool = True) -> DataFrame:
-    """Inclusion test of each candidate pair: child values, values without a parent, verdict.
-
-    With ``prune`` a first aggregate per table reads the value ranges; a child whose range
-    leaves the parent's range cannot be included and is not joined.
+    With ``same_name`` only columns of the key's name after the prefix.  See :mod:`keelrow.operators.inclusion`: the
+    values of all tables meet in one shuffle, whatever the number of pairs.
     """
-    pairs = reference_candidates(tables, keys, same_name)
-    if not pairs:
-        raise ValueError("no pair of columns is comparable")
-    spark = next(iter(tables.values())).sparkSession
-    outside: set[tuple[str, str, str, str]] = set()
-    if prune:
-        wanted: dict[str, set[str]] = {}
-        for child, column, parent, key in pairs:
-            wanted.setdefault(child, set()).add(column)
-            wanted.setdefault(parent, set()).add(key)
-        ranges = {}
-        for name, columns in wanted.items():
-            ordered = sorted(columns)
-            low_high = tables[name].agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ordered for f in (F.min, F.max)]).first()
-            for c in ordered:
-                ranges[name, c] = (low_high[f"min_{c}"], low_high[f"max_{c}"])
-        for pair in pairs:
-            (low, high), (key_low, key_high) = ranges[pair[0], pair[1]], ranges[pair[2], pair[3]]
-            if low is not None and (key_low is None or low < key_low or high > key_high):
-                outside.add(pair)
-
-    shape = "child_table string, child_column string, parent_table string, parent_column string"
-    parts = []
-    if outside:
-        parts.append(
-            spark.createDataFrame(sorted(outside), shape)
-            .withColumn("n_values", F.lit(None).cast("long")).withColumn("n_missing", F.lit(None).cast("long"))
-            .withColumn("included", F.lit(False))
-        )
-    for pair in pairs:
-        if pair in outside:
-            continue
-        child, column, parent, key = pair
-        values = tables[child].select(F.col(column).cast(tables[parent].schema[key].dataType).alias("v")).distinct()
-        known = tables[parent].select(F.col(key).alias("v"), F.lit(1).alias("known")).distinct()
-        tested = values.filter("v IS NOT NULL").join(known, "v", "left").agg(
-            F.count(F.lit(1)).alias("n_values"), F.count_if(F.col("known").isNull()).alias("n_missing")
-        )
-        parts.append(tested.select(
-            *[F.lit(p).alias(n) for p, n in zip(pair, ("child_table", "child_column", "parent_table", "parent_column"))],
-            "n_values", "n_missing", ((F.col("n_missing") == 0) & (F.col("n_values") > 0)).alias("included"),
-        ))
-    return reduce(DataFrame.unionByName, parts)
+    pairs = inclusion.unary_pairs(tables, {table: [(key,)] for table, key in keys.items()})
+    if same_name:
+        pairs = [(c, p) for c, p in pairs if c.columns[0].split("_", 1)[-1] == p.columns[0].split("_", 1)[-1]]
+    return inclusion.discover_inclusions(tables, pairs=pairs)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from keelrow import Column, ForeignKey, TableContract
 from keelrow.operators import actions, changes, profile, row_diff, search
-from registry.star import ORDERS, ORDERS_V2_SQL, PART, STAR, order_versions, star_tables, table
+from registry.star import ORDERS, ORDERS_V2_SQL, PART, STAR, STAR_KEYS, order_versions, star_tables, table
 
 # ------------------------------------------------------------------ profile
 
@@ -52,19 +52,15 @@ def key_candidates(spark, sf_dir):
     return profile.key_candidates(table(spark, sf_dir, "customer"))
 
 
-_STAR_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey",
-              "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
-
-
 def discover_fks(spark, sf_dir):
-    found = profile.discover_references(star_tables(spark, sf_dir), _STAR_KEYS, same_name=True, prune=False)
+    found = profile.discover_references(star_tables(spark, sf_dir), STAR_KEYS, same_name=True)
     return found
 
 
 def _discover_sql() -> str:
     columns = {c.name: c.names for c in STAR}
     parts = []
-    for parent, key in _STAR_KEYS.items():
+    for parent, key in STAR_KEYS.items():
         for child, names in columns.items():
             for c in names:
                 if c != key and c.split("_", 1)[-1] == key.split("_", 1)[-1]:
@@ -246,13 +242,13 @@ def delete_rows(spark, sf_dir):
     return changes.delete(table(spark, sf_dir, "lineitem"), gone)
 
 
-_ORDERS_IN = replace(ORDERS, columns=tuple(
+ORDERS_IN = replace(ORDERS, columns=tuple(
     replace(c, foreign_key=ForeignKey("customer", "c_custkey")) if c.name == "o_custkey" else c
     for c in ORDERS.columns
 ))
 
 
-def _order_batch(spark, sf_dir):
+def order_batch(spark, sf_dir):
     """New orders as text: some keys taken, some repeated, some customers unknown, some prices missing."""
     orders = table(spark, sf_dir, "orders")
     key = (
@@ -271,7 +267,7 @@ def _order_batch(spark, sf_dir):
 
 def insert_validated(spark, sf_dir):
     done = changes.insert(
-        table(spark, sf_dir, "orders"), _order_batch(spark, sf_dir), _ORDERS_IN,
+        table(spark, sf_dir, "orders"), order_batch(spark, sf_dir), ORDERS_IN,
         {"customer": table(spark, sf_dir, "customer")}, mode="quarantine",
     )
     return done.rows
@@ -279,7 +275,7 @@ def insert_validated(spark, sf_dir):
 
 def insert_rejects(spark, sf_dir):
     done = changes.insert(
-        table(spark, sf_dir, "orders"), _order_batch(spark, sf_dir), _ORDERS_IN,
+        table(spark, sf_dir, "orders"), order_batch(spark, sf_dir), ORDERS_IN,
         {"customer": table(spark, sf_dir, "customer")}, mode="quarantine",
     )
     return changes.violation_counts(done.rejected)
@@ -302,7 +298,7 @@ t AS (SELECT b.*, count(*) OVER (PARTITION BY o_orderkey) > 1 AS repeated,
 
 def import_counts(spark, sf_dir):
     tagged = changes.tag_batch(
-        _order_batch(spark, sf_dir), _ORDERS_IN, table(spark, sf_dir, "orders"),
+        order_batch(spark, sf_dir), ORDERS_IN, table(spark, sf_dir, "orders"),
         {"customer": table(spark, sf_dir, "customer")},
     )
     return changes.import_counts(tagged)

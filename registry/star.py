@@ -64,6 +64,9 @@ LINEITEM = TableContract("lineitem", (
     Column("l_shipdate", "timestamp", not_null=True),
 ))
 STAR = (REGION, NATION, CUSTOMER, SUPPLIER, PART, ORDERS, LINEITEM)
+STAR_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey",
+             "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
+EVENTS_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

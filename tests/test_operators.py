@@ -88,17 +88,6 @@ def test_empty_table_profile(spark):
     assert got == [("a", 0, False), ("b", 0, False)]
 
 
-def test_references_with_and_without_pruning(spark, sf_dir):
-    tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("customer", "orders", "nation", "region")}
-    keys = {"customer": "c_custkey", "nation": "n_nationkey", "region": "r_regionkey", "orders": "o_orderkey"}
-    plain = profile.discover_references(tables, keys, same_name=False, prune=False)
-    pruned = profile.discover_references(tables, keys, same_name=False)
-    pick = ("child_table", "child_column", "parent_table", "included")
-    assert rows(plain, *pick) == rows(pruned, *pick)
-    assert ("orders", "o_custkey", "customer", True) in rows(pruned, *pick)
-    assert ("customer", "c_nationkey", "region", False) in rows(pruned, *pick)
-
-
 # ------------------------------------------------------------------ numbering and pages
 
 def test_dense_numbers_follow_the_order(spark):

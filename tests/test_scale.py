@@ -70,7 +70,7 @@ JOINS = {
     "delete": lambda s, hot, few: changes.delete(hot, few.filter("k > 100").select("k")),
     "update_keys": lambda s, hot, few: actions.update_keys(
         hot, ROW, "k", few.select(F.col("k").alias("old"), (F.col("k") + 1_000_000).alias("new"))),
-    "update": lambda s, hot, few: changes._updated(
+    "update": lambda s, hot, few: changes.updated(
         hot, few.select("k", F.lit("new").alias("text")), ROW, key=["k"]),
     "insert": lambda s, hot, few: changes.tag_batch(hot, ROW, None, {"parent": few.filter("k > 100")}),
 }
