@@ -12,15 +12,16 @@ from keelrow.session import pin_partitions
 _TIE, _PART, _OFFSET = "__tie", "__part", "__offset"
 
 
-def range_sorted(df: DataFrame, order: Sequence[str], descending: bool = False) -> DataFrame:
-    """Rows in global order: range partitions, each sorted.
+def range_sorted(df: DataFrame, order: Sequence[str], descending: bool = False, partitions: int | None = None) -> DataFrame:
+    """Rows in global order: range partitions (as many as asked for, or as Spark finds fit), each sorted.
 
     A running number breaks ties, so rows that share their order key (or are exact copies)
     may be spread over many partitions.
     """
     tied = df.withColumn(_TIE, F.monotonically_increasing_id())
     keys = [F.col(c).desc() if descending else F.col(c).asc() for c in order] + [F.col(_TIE).asc()]
-    return tied.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(_TIE)
+    dealt = tied.repartitionByRange(partitions, *keys) if partitions else tied.repartitionByRange(*keys)
+    return dealt.sortWithinPartitions(*keys).drop(_TIE)
 
 
 def numbered_partitions(df: DataFrame) -> tuple[DataFrame, DataFrame]:
