@@ -242,3 +242,24 @@ def rename_suggestions(operations: DataFrame) -> DataFrame:
     return per_table.filter("added = 1 AND dropped = 1").filter(
         is_compatible_type(F.col("o.old_type"), F.col("n.new_type"))
     ).select("table_name", F.col("o.column_name").alias("old_column"), F.col("n.column_name").alias("new_column"))
+
+
+def index_drift(wanted: DataFrame, existing: DataFrame) -> DataFrame:
+    """Indexes that are missing, extra or made otherwise: ``kind, table_name, index_name, details``.
+
+    Both sides are as :func:`keelrow.operators.catalog.catalog_indexes` returns them.
+    """
+    name, parts = ["table_name", "index_name"], ("column_names", "is_unique", "method")
+
+    def side(df: DataFrame, prefix: str) -> DataFrame:
+        return df.select(*name, *[F.col(p).alias(f"{prefix}_{p}") for p in parts], F.lit(True).alias(prefix))
+
+    both = side(wanted, "wanted").join(side(existing, "existing"), name, "full_outer")
+    differs = [
+        F.when(~F.col(f"wanted_{p}").eqNullSafe(F.col(f"existing_{p}")), F.concat_ws(
+            "", F.lit(f"{p}: "), F.col(f"existing_{p}").cast("string"), F.lit(" → "), F.col(f"wanted_{p}").cast("string")))
+        for p in parts]
+    details = F.array_join(F.array_compact(F.array(*differs)), "; ")
+    kind = F.when(F.col("existing").isNull(), "missing_index").when(F.col("wanted").isNull(), "extra_index").otherwise("index_mismatch")
+    found = both.withColumn("kind", kind).withColumn("details", F.when(F.col("kind") == "index_mismatch", details).otherwise(""))
+    return found.filter("kind <> 'index_mismatch' OR details <> ''").select("kind", *name, "details")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from itertools import count
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
@@ -180,6 +181,36 @@ def preview(contracts: Mapping[str, TableContract], ops: Iterable[Operation]) ->
 
 # ---------------------------------------------------------------- data
 
+@dataclass
+class _Check:
+    """A rule that the rows must meet as long as its columns, its table and the rule itself are there at the end."""
+
+    table: str
+    columns: list[str]
+    report: DataFrame
+    index: str = ""
+    reference: bool = False
+
+
+def _still_asked(pending: list[_Check], op: Operation) -> list[_Check]:
+    """What an operation leaves of the rules that earlier steps of its plan brought; names follow a rename."""
+    out = []
+    for check in pending:
+        if check.table == op.table:
+            if op.kind == "RENAME_COLUMN":
+                check.columns = [op.new_name if c == op.old_column.name else c for c in check.columns]
+            gone = (
+                op.kind == "DROP_TABLE"
+                or (op.kind == "DROP_COLUMN" and op.old_column.name in check.columns)
+                or (op.kind == "DROP_FOREIGN_KEY" and check.reference and op.column.name in check.columns)
+                or (op.kind == "DROP_INDEX" and check.index == op.index.name)
+            )
+            if gone:
+                continue
+        out.append(check)
+    return out
+
+
 @dataclass
 class Evolution:
     tables: dict[str, DataFrame]
@@ -218,21 +249,27 @@ def cast_value(value: SparkColumn, held: T.DataType, pg_type: str) -> SparkColum
 
 def evolve(tables: Mapping[str, DataFrame], contracts: Mapping[str, TableContract],
            ops: Sequence[Operation]) -> Evolution:
-    """Apply operations in order.  Check the report (``require_allowed``) before publishing."""
+    """Apply operations in order.  Check the report (``require_allowed``) before publishing.
+
+    A rule that one step brings and a later one takes back, with its column or alone, is not asked of the rows.
+    """
     rows = dict(tables)
     state = dict(contracts)
-    flags: dict[str, list[tuple[str, checks.RowRule]]] = {}
-    reports: list[DataFrame] = []
+    # flag columns with their rules and the columns they are about, by their names now
+    flags: dict[str, list[tuple[str, checks.RowRule, str]]] = {}
+    numbers = count()
+    pending: list[_Check] = []
     # columns whose values changed type, by their names at the end, and whether different values may be equal now
     retyped: dict[tuple[str, str], bool] = {}
 
     def flag(table: str, kind: str, column: str, text: str, violated: SparkColumn) -> None:
-        name = f"__refused_{len(flags.setdefault(table, []))}"
+        name = f"__refused_{next(numbers)}"
         rows[table] = rows[table].withColumn(name, violated)
-        flags[table].append((name, checks.RowRule(kind, column, text, F.col(name))))
+        flags.setdefault(table, []).append((name, checks.RowRule(kind, column, text, F.col(name)), column))
 
     for op in ops:
         after = preview(state, [op])
+        pending = _still_asked(pending, op)
         if op.kind == "CREATE_TABLE":
             spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
             rows[op.table] = spark.createDataFrame([], op.contract.struct())
@@ -249,13 +286,16 @@ def evolve(tables: Mapping[str, DataFrame], contracts: Mapping[str, TableContrac
             if c.required and not c.serial:
                 flag(op.table, "not_null", c.name, f"{c.name} must not be null", F.col(c.name).isNull())
             if c.unique or c.primary:
-                reports.append(checks.check_unique(rows[op.table], [c.name], op.table))
+                pending.append(_Check(op.table, [c.name], checks.check_unique(rows[op.table], [c.name], op.table)))
             if c.foreign_key is not None:
                 fk = c.foreign_key
-                reports.append(checks.check_foreign_key(
-                    rows[op.table], [c.name], rows[fk.table], [fk.column], op.table, fk.table))
+                pending.append(_Check(op.table, [c.name], checks.check_foreign_key(
+                    rows[op.table], [c.name], rows[fk.table], [fk.column], op.table, fk.table), reference=True))
         elif op.kind == "DROP_COLUMN":
-            rows[op.table] = rows[op.table].drop(op.old_column.name)
+            name = op.old_column.name
+            rows[op.table] = rows[op.table].drop(name, *[f for f, _, c in flags.get(op.table, []) if c == name])
+            flags[op.table] = [flag for flag in flags.get(op.table, []) if flag[2] != name]
+            retyped.pop((op.table, name), None)
         elif op.kind == "MODIFY_COLUMN":
             name = op.column.name
             held = rows[op.table].schema[name].dataType
@@ -273,19 +313,24 @@ def evolve(tables: Mapping[str, DataFrame], contracts: Mapping[str, TableContrac
                 flag(op.table, "not_null", name, f"{name} must not be null", F.col(name).isNull())
         elif op.kind == "RENAME_COLUMN":
             rows[op.table] = rows[op.table].withColumnRenamed(op.old_column.name, op.new_name)
+            flags[op.table] = [
+                (f, r, op.new_name if c == op.old_column.name else c) for f, r, c in flags.get(op.table, [])]
             if (op.table, op.old_column.name) in retyped:
                 retyped[op.table, op.new_name] = retyped.pop((op.table, op.old_column.name))
         elif op.kind == "ADD_FOREIGN_KEY":
             fk = op.foreign_key
-            reports.append(checks.check_foreign_key(
-                rows[op.table], [op.column.name], rows[fk.table], [fk.column], op.table, fk.table))
+            pending.append(_Check(op.table, [op.column.name], checks.check_foreign_key(
+                rows[op.table], [op.column.name], rows[fk.table], [fk.column], op.table, fk.table), reference=True))
         elif op.kind == "CREATE_INDEX" and op.index.unique:
-            reports.append(checks.check_unique(
-                rows[op.table], op.index.columns, op.table, "unique_index", op.index.name))
+            pending.append(_Check(op.table, list(op.index.columns), checks.check_unique(
+                rows[op.table], op.index.columns, op.table, "unique_index", op.index.name), op.index.name))
         state = after
+    reports = [check.report for check in pending]
     for table, rules in flags.items():
-        reports.append(checks.rule_rows(rows[table], table, [rule for _, rule in rules]))
-        rows[table] = rows[table].drop(*[name for name, _ in rules])
+        if not rules:
+            continue
+        reports.append(checks.rule_rows(rows[table], table, [rule for _, rule, _ in rules]))
+        rows[table] = rows[table].drop(*[name for name, _, _ in rules])
     reports += _recheck(rows, state, retyped)
     return Evolution(rows, state, reports)
 

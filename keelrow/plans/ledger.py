@@ -127,8 +127,13 @@ def checksum_drift(ledger: DataFrame, scripts: DataFrame) -> DataFrame:
     return ran.join(now, "name").filter("applied_checksum <> current_checksum")
 
 
-def drift_report(operations: DataFrame, report: DataFrame, ledger: DataFrame, scripts: DataFrame) -> DataFrame:
-    """Everything that is not as it should be: catalog differences, broken rules, open scripts."""
+def drift_report(operations: DataFrame, report: DataFrame, ledger: DataFrame, scripts: DataFrame,
+                 indexes: DataFrame | None = None) -> DataFrame:
+    """Everything that is not as it should be: catalog differences, broken rules, open scripts.
+
+    ``indexes`` (of :func:`keelrow.operators.catalog_diff.index_drift`) tells extra and changed indexes as well; it then stands
+    for what the operations say about indexes.
+    """
     shape = ("kind", "table", "name", "n_rows")
     # What a catalog operation says about drift.
     labels = F.create_map(*[F.lit(v) for v in (
@@ -139,7 +144,11 @@ def drift_report(operations: DataFrame, report: DataFrame, ledger: DataFrame, sc
     catalog_part = operations.select(
         F.try_element_at(labels, F.col("kind")).alias("kind"), F.col("table_name").alias("table"),
         F.coalesce("column_name", "index_name").alias("name"),
-    ).groupBy("kind", "table", "name").agg(F.count(F.lit(1)).alias("n_rows"))
+    )
+    if indexes is not None:
+        catalog_part = catalog_part.filter("kind <> 'missing_index' OR kind IS NULL").unionByName(
+            indexes.select("kind", F.col("table_name").alias("table"), F.col("index_name").alias("name")))
+    catalog_part = catalog_part.groupBy("kind", "table", "name").agg(F.count(F.lit(1)).alias("n_rows"))
     rule_part = checks.findings(report).select(
         F.concat(F.lit("broken_"), "type").alias("kind"), "table", F.col("column").alias("name"), "n_rows"
     )

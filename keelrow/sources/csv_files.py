@@ -13,6 +13,7 @@ from keelrow.contract import TableContract
 from keelrow.operators import changes
 from keelrow.operators.numbering import range_sorted
 from keelrow.session import cut_lineage
+from keelrow.sources.split_records import csv_records
 
 CORRUPT = "_corrupt_record"
 # The CSV form that is read and written.
@@ -39,16 +40,18 @@ def csv_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
 
 
-def read_csv(spark: SparkSession, path: str, contract: TableContract, multi_line: bool = True) -> Batch:
+def read_csv(spark: SparkSession, path: str, contract: TableContract, multi_line: bool = True, split: bool = False) -> Batch:
     """Text rows of CSV files that share one header.
 
     Empty fields are NULL, blank lines are skipped, records with a wrong number of fields are
     set aside.  ``multi_line`` reads line breaks inside quotes; such files are read whole by
-    one task each, so turn it off for large files that have none, or write many files.
+    one task each, unless ``split`` finds the records first, for files of any size.
     """
     reader = spark.read.options(**OPTIONS).option("header", True).option("multiLine", multi_line)
     names = reader.option("inferSchema", False).csv(path).columns
     check_columns(names, contract)
+    if split and multi_line:
+        return _read_split(spark, path, names)
     raw = (
         reader.schema(csv_schema(names)).option("enforceSchema", False).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT).csv(path)
@@ -59,11 +62,25 @@ def read_csv(spark: SparkSession, path: str, contract: TableContract, multi_line
                  parsed.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("record")))
 
 
+def _read_split(spark: SparkSession, path: str, names: Sequence[str]) -> Batch:
+    records = csv_records(spark, path)
+    schema = ", ".join(f"`{n}` string" for n in [*names, CORRUPT])
+    options = {**OPTIONS, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    header = F.array(*map(F.lit, names))
+    parsed = cut_lineage(records.select("first", F.from_csv("record", schema, options).alias("r")))
+    other = parsed.filter("first").filter(~F.array(*[F.col(f"r.`{n}`") for n in names]).eqNullSafe(header))
+    if not other.isEmpty():
+        raise ValueError("the files do not share one header")
+    rows = parsed.filter("NOT first").select("r.*")
+    return Batch(rows.filter(F.col(CORRUPT).isNull()).select(*names),
+                 rows.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("record")))
+
+
 def import_csv(spark: SparkSession, path: str, target: DataFrame, contract: TableContract,
                parents: Mapping[str, DataFrame] | None = None, mode: str = "strict",
-               multi_line: bool = True) -> changes.Insert:
+               multi_line: bool = True, split: bool = False) -> changes.Insert:
     """Validate CSV files and append their rows.  ``strict`` refuses all for one bad record."""
-    batch = read_csv(spark, path, contract, multi_line)
+    batch = read_csv(spark, path, contract, multi_line, split)
     return insert_batch(batch, target, contract, parents, mode)
 
 

@@ -12,17 +12,17 @@ from keelrow.operators import changes
 from keelrow.operators.numbering import range_sorted
 from keelrow.session import cut_lineage
 from keelrow.sources.csv_files import Batch, insert_batch
+from keelrow.sources.split_records import json_records
 
 
 def read_objects(spark: SparkSession, path: str, array_files: bool = False) -> DataFrame:
     """One row per object: ``fields`` (NULL if it is not an object) and its ``record`` text.
 
-    JSON Lines split into many tasks; files that are one array are read whole, one task each.
+    JSON Lines split into many tasks; so do files that are one array, of any size (see :func:`json_records`).
     """
     if array_files:
-        texts = spark.read.text(path, wholetext=True)
-        objects = texts.select(F.explode_outer(F.from_json("value", "array<map<string,string>>")).alias("fields"))
-        return objects.withColumn("record", F.to_json("fields"))
+        records = json_records(spark, path)
+        return records.select(F.from_json("record", "map<string,string>").alias("fields"), "record")
     lines = spark.read.text(path).filter(F.trim("value") != "")
     return lines.select(F.from_json("value", "map<string,string>").alias("fields"), F.col("value").alias("record"))
 

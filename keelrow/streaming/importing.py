@@ -1,8 +1,11 @@
 """Importing files as they arrive.
 
 Each micro-batch is a batch import in quarantine mode: accepted rows and rejected rows go to
-folders named by the batch number, which are replaced as a whole.  A batch that is replayed
-after a failure therefore writes the same folders again instead of adding rows twice.
+folders named by the stream and its batch number, which are replaced as a whole.  A batch that is
+replayed after a failure therefore writes the same folders again instead of adding rows twice.
+
+A file is imported once, by its name: what an earlier batch has read is left out, also by a stream that
+starts anew after its checkpoint was lost.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from keelrow.sources.csv_files import CORRUPT, OPTIONS, check_columns, csv_schem
 BATCH = "batch"
 # keys of an object that are no column of the stream
 UNKNOWN = "_unknown_keys"
+_FILE_ROWS = T.StructType([T.StructField("source_file", T.StringType()), T.StructField("n_rows", T.LongType())])
 
 
 def arriving_csv(spark: SparkSession, folder: str, contract: TableContract, columns: Sequence[str],
@@ -52,11 +56,12 @@ def arriving_json(spark: SparkSession, folder: str, contract: TableContract, col
     )
 
 
-def import_batch(rows: DataFrame, number: int, target_path: str, reject_path: str, file_path: str,
+def import_batch(rows: DataFrame, number: int | str, target_path: str, reject_path: str, file_path: str,
                  contract: TableContract, parents: Callable[[], Mapping[str, DataFrame]] | None = None) -> None:
     """Validate one micro-batch against what is there and write both outcomes and the list of files."""
     spark = rows.sparkSession
-    fixed = cut_lineage(rows)
+    seen = _rows_of_others(spark, file_path, _FILE_ROWS, number).select("source_file").distinct()
+    fixed = cut_lineage(rows.join(seen, "source_file", "left_anti").select(*rows.columns))
     columns = [c for c in fixed.columns if c not in (CORRUPT, UNKNOWN, "source_file")]
     # rows written by an earlier try of this batch do not count as there
     target = _rows_before(spark, target_path, contract, number)
@@ -80,16 +85,25 @@ def import_batch(rows: DataFrame, number: int, target_path: str, reject_path: st
         f"{file_path}/{BATCH}={number}")
 
 
-def _rows_before(spark: SparkSession, path: str, contract: TableContract, number: int) -> DataFrame:
+def _rows_before(spark: SparkSession, path: str, contract: TableContract, number: int | str) -> DataFrame:
     """Imported rows of all other batches; none before the first."""
-    fields = [T.StructField(f.name, f.dataType) for f in contract.struct().fields]
+    return _rows_of_others(spark, path, T.StructType([T.StructField(f.name, f.dataType) for f in contract.struct().fields]), number)
+
+
+def _rows_of_others(spark: SparkSession, path: str, schema: T.StructType, number: int | str) -> DataFrame:
     try:
-        rows = spark.read.schema(T.StructType([*fields, T.StructField(BATCH, T.LongType())])).parquet(path)
+        rows = spark.read.schema(T.StructType([*schema.fields, T.StructField(BATCH, T.StringType())])).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], contract.struct())
-    return rows.filter(F.col(BATCH) != number).drop(BATCH)
+        return spark.createDataFrame([], schema)
+    return rows.filter(F.col(BATCH) != str(number)).drop(BATCH)
+
+
+def batch_name(batch: DataFrame, number: int) -> str:
+    """The stream and the number: a stream that starts anew counts from 0 again, but has another name."""
+    stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"{stream}-{number}" if stream else str(number)
 
 
 def stream_import(rows: DataFrame, base: str, contract: TableContract,
@@ -101,7 +115,7 @@ def stream_import(rows: DataFrame, base: str, contract: TableContract,
     base = base.rstrip("/")
 
     def each(batch: DataFrame, number: int) -> None:
-        import_batch(batch, number, f"{base}/{contract.name}", f"{base}/{contract.name}_rejects",
+        import_batch(batch, batch_name(batch, number), f"{base}/{contract.name}", f"{base}/{contract.name}_rejects",
                      f"{base}/{contract.name}_files", contract, parents)
 
     return rows.writeStream.foreachBatch(each).option(
