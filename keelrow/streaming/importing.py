@@ -57,11 +57,17 @@ def arriving_json(spark: SparkSession, folder: str, contract: TableContract, col
 
 
 def import_batch(rows: DataFrame, number: int | str, target_path: str, reject_path: str, file_path: str,
-                 contract: TableContract, parents: Callable[[], Mapping[str, DataFrame]] | None = None) -> None:
-    """Validate one micro-batch against what is there and write both outcomes and the list of files."""
+                 contract: TableContract, parents: Callable[[], Mapping[str, DataFrame]] | None = None, once: bool = True) -> None:
+    """Validate one micro-batch against what is there and write both outcomes and the list of files.
+
+    ``once``: rows of files that another batch has listed are left out; not where the rows of a file come in parts.
+    """
     spark = rows.sparkSession
-    seen = _rows_of_others(spark, file_path, _FILE_ROWS, number).select("source_file").distinct()
-    fixed = cut_lineage(rows.join(seen, "source_file", "left_anti").select(*rows.columns))
+    new = rows
+    if once:
+        seen = _rows_of_others(spark, file_path, _FILE_ROWS, number).select("source_file").distinct()
+        new = rows.join(seen, "source_file", "left_anti").select(*rows.columns)
+    fixed = cut_lineage(new)
     columns = [c for c in fixed.columns if c not in (CORRUPT, UNKNOWN, "source_file")]
     # rows written by an earlier try of this batch do not count as there
     target = _rows_before(spark, target_path, contract, number)

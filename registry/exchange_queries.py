@@ -14,7 +14,7 @@ from keelrow.plans import evolve as ev
 from keelrow.plans import ledger as led
 from keelrow.session import scratch_path
 from keelrow.sources import csv_files, json_files, layout
-from keelrow.streaming import follow
+from keelrow.streaming import follow, importing, late_parents
 from registry.run_queries import _DOCUMENTS, _no_rows
 from registry.star import ORDERS, ORDERS_V2_SQL, STAR, order_versions, table
 
@@ -173,6 +173,34 @@ def followed_log(spark, sf_dir):
     return spark.read.schema(led.LOG_SCHEMA).parquet(sink)
 
 
+def _late_import(spark, sf_dir) -> str:
+    """Orders arrive at once, customers in three steps and a quarter of them never; each step is a run of its own."""
+    base = scratch_path(spark, "late")
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey")
+    csv_files.export_csv(orders, f"{base}/in/orders")
+    for i, wanted in enumerate(("c_custkey % 2 = 0", "c_custkey % 4 = 1", "c_custkey = -1")):
+        rows = customers.filter(wanted)
+        # the last step brings a stranger a day later: time has passed
+        at = "2024-01-01 00:00:00" if i < 2 else "2024-01-02 00:00:00"
+        rows = rows if i < 2 else customers.limit(1).select((-F.col("c_custkey") - 7).alias("c_custkey"))
+        rows.withColumn("arrived", F.lit(at).cast("timestamp")).write.mode("append").parquet(f"{base}/in/customers")
+        children = importing.arriving_csv(spark, f"{base}/in/orders", ORDERS, ORDERS.names, multi_line=False).withColumn(
+            "arrived", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+        parents = spark.readStream.schema("c_custkey long, arrived timestamp").parquet(f"{base}/in/customers")
+        late_parents.stream_import_late_parents(children, parents, f"{base}/out", ORDERS, "o_custkey", "c_custkey").awaitTermination()
+    return f"{base}/out"
+
+
+def stream_import_late_parents(spark, sf_dir):
+    return spark.read.parquet(f"{_late_import(spark, sf_dir)}/orders").select(*ORDERS.names)
+
+
+def stream_late_parents_rejects(spark, sf_dir):
+    """Orders whose customer never came."""
+    rejected = spark.read.parquet(f"{_late_import(spark, sf_dir)}/orders_rejects")
+    return rejected.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.array_join("violations", ",").alias("violations"))
+
+
 _PLAN_NOTE = Column("o_note", "text", unique=True, default="'same'")
 
 
@@ -189,6 +217,7 @@ QUERIES = {
     f.__name__: f for f in (
         csv_multiline_split, json_array_round_trip, json_array_rejects, rename_by_data, index_drift, drift_report_indexes,
         default_functions, create_and_fill, drop_and_recreate, hash_layout_join, followed_log, evolve_taken_back,
+        stream_import_late_parents, stream_late_parents_rejects,
     )
 }
 
@@ -229,5 +258,8 @@ ORACLES = {
     "followed_log": """
         SELECT event_id AS id, ts AS logged_at, event_type AS level, props AS message, 'user_' || user_id AS user_name,
                CAST(NULL AS VARCHAR) AS details, 'run' AS run_name FROM events WHERE event_type IN ('error', 'purchase')""",
+    "stream_import_late_parents": "SELECT * FROM orders WHERE o_custkey % 4 <> 3",
+    "stream_late_parents_rejects": """
+        SELECT o_orderkey, 'foreign_key:o_custkey' AS violations FROM orders WHERE o_custkey % 4 = 3""",
     "evolve_taken_back": "SELECT *, 5 AS o_rating FROM orders",
 }
