@@ -1,44 +1,41 @@
 """Language-model scores from the subword lattice of an existing vocabulary.
 
-The vocabulary of a public tokenizer gives the pieces, and its ranks the first weights (Zipf's law). Its
-weights are then fitted to the training documents by expectation maximisation: the distinct words
-and their counts, gathered over all of them, are segmented in all ways by forward and backward
-recursions in log space, and the expected counts of the pieces are the next weights.  A text's
-``lattice_score`` is the log10 of its marginal probability: each word's sum over all segmentations, and an
-end.  For ``score`` a word of the training documents has one more way through its lattice, the whole word
-with its relative frequency; the two are mixed by the mass of unseen words as Good and Turing estimate it
-(the share of words seen once).  Beside them stands the smoothed unigram score over whole words (base).
+The vocabulary of a public tokenizer gives the pieces and their scores.  A text's ``score`` is the log10 of its
+marginal probability: each word's sum over all segmentations into pieces, by forward recursion in log space, and
+the vocabulary's end piece.  The vocabulary files at hand hold ranks instead of probabilities; a rank r is read
+as a weight of 1 / (r + 10), scaled to sum up to 1 (Zipf's law).  Nothing of the lattice is fitted to the corpus.  Beside it
+stands the smoothed unigram score over whole words (base), from counts over all training documents.
 
 Every distinct word is segmented once, wherever it occurs.  The commonest words of the corpus
 (``HEAD``, a bounded table) are broadcast; documents add these up on the spot and pass on only their other words,
 each once, to be joined with the word table.
 
 Defined results: null and empty texts are just the end; bytes that are no UTF-8 are replaced before they
-are segmented; a null id counts as the text '' when documents are dealt; rows of one id are scored
-by themselves; without training documents all weights are those of the vocabulary.
+are segmented; a row with a null id is learnt from; rows of one id, and repeated rows, are scored
+by themselves; very long texts are read whole; without training documents the base has no counts and the lattice is the same;
+an empty table stays empty; own columns stay in ``__row``, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keelrow.llm.common import ID, ROW, TEXT, Batches, carried, in_pieces, utf8
-from keelrow.llm.lattice import Pieces, expected_counts, log_probabilities
+from keelrow.llm.lattice import Pieces, log_probabilities
 from keelrow.session import cut_lineage
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-ROUNDS = 2
+END = "</s>"
 HEAD = 100_000
 SMOOTHING = 0.1
-# weight of the vocabulary's own weights in the fit, in pieces
-PRIOR = 10_000.0
 _DISTINCT = 500_000
 _ROWS_AT_ONCE, _BYTES_AT_ONCE = 100_000, 1 << 25
 
@@ -95,18 +92,6 @@ def _texts(column: pa.Array) -> list[str]:
     return [value.decode("utf-8", "replace") for value in utf8(column)]
 
 
-def _expected(model):
-    def expected(batches: Batches) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(*model.value)
-        total = np.zeros(len(pieces.logs))
-        for batch in _gathered(batches):
-            if batch.num_rows:
-                total += expected_counts(pieces, _texts(batch.column(0)), batch.column(1).to_numpy().astype(float))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "x"])
-    return expected
-
-
 def _with_logs(model):
     def scored(batches: Batches) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(*model.value)
@@ -116,22 +101,6 @@ def _with_logs(model):
     return scored
 
 
-def fit(words: DataFrame, pieces: Sequence[str], logs: np.ndarray, ends: int, rounds: int) -> tuple[np.ndarray, float]:
-    """Log probabilities of the pieces and of the end, from the training counts of all distinct words."""
-    prior, total = np.exp(logs), PRIOR
-    learnt = words.filter("c > 0").select("word", "c")
-    for _ in range(rounds):
-        model = words.sparkSession.sparkContext.broadcast((list(pieces), logs))
-        sums = learnt.mapInArrow(_expected(model), "piece long, x double").groupBy("piece").agg(F.sum("x").alias("x")).toArrow()
-        counts = np.zeros(len(pieces))
-        # at most one row a piece of the vocabulary
-        counts[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
-        total = counts.sum() + PRIOR
-        logs = np.log((counts + PRIOR * prior) / total)
-    end = (ends + 1) / (total + ends + 1)
-    return logs + math.log1p(-end), math.log10(end)
-
-
 def _commonest(words: DataFrame, most: int) -> DataFrame:
     """The words above the lowest count that at most ``most`` words reach, without sorting them.
 
@@ -148,20 +117,14 @@ def _commonest(words: DataFrame, most: int) -> DataFrame:
     return words.filter(F.lit(False) if lowest is None else step >= lowest)
 
 
-def _mixed(c: Column, lattice: Column, tokens: int, unseen: float) -> Column:
-    """log10 of the mixture of a word's frequency and its lattice."""
-    whole = F.log10((1 - unseen) * c / F.lit(float(max(tokens, 1))) + unseen * F.pow(F.lit(10.0), lattice))
-    return F.when(c > 0, whole).otherwise(math.log10(unseen) + lattice)
-
-
-def _dealt(head, ends: tuple[bool, float, float, float]):
+def _dealt(head, ends: tuple[bool, float, float]):
     def dealt(batches: Batches) -> Iterator[pa.RecordBatch]:
         table = head.value
         for batch in batches:
-            columns = {name: [] for name in ("n_tokens", "n_known", "base", "score", "lattice", "words", "times")}
+            columns = {name: [] for name in ("n_tokens", "n_known", "base", "score", "words", "times")}
             for text in utf8(batch.column("__text")):
                 words = _words(text)
-                known, base, score, lattice = int(ends[0]), [ends[1]], [ends[2]], [ends[3]]
+                known, base, score = int(ends[0]), [ends[1]], [ends[2]]
                 rare, times = [], []
                 for word, n in Counter(words).items():
                     got = table.get(word)
@@ -172,11 +135,10 @@ def _dealt(head, ends: tuple[bool, float, float, float]):
                         known += n * (got[0] > 0)
                         base.append(n * got[1])
                         score.append(n * got[2])
-                        lattice.append(n * got[3])
-                row = (len(words) + 1, known, math.fsum(base), math.fsum(score), math.fsum(lattice), rare, times)
+                row = (len(words) + 1, known, math.fsum(base), math.fsum(score), rare, times)
                 for name, value in zip(columns, row):
                     columns[name].append(value)
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
             own = [c for c in batch.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in own), *(pa.array(v, t) for v, t in zip(columns.values(), types))], [*own, *columns])
@@ -184,10 +146,9 @@ def _dealt(head, ends: tuple[bool, float, float, float]):
 
 
 def score(
-    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, rounds: int = ROUNDS,
+    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY,
 ) -> DataFrame:
-    """``__id``, ``__row``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` and
-    ``lattice_score``.
+    """``__id``, ``__row``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     ``held_out`` (over ``__id``) marks the documents that nothing is learnt from.
     """
@@ -197,34 +158,27 @@ def score(
         rows.select(TEXT, "held_out").mapInArrow(_counted, "word binary, c long, n long")
         .groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")))
     ends = rows.filter(~F.col("held_out")).count()
-    tokens, distinct, once = words.filter("c > 0").agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1)).first()
+    tokens, distinct = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, distinct = tokens + ends, distinct + (ends > 0)
-    unseen = max(once, 1) / (tokens + 1) if tokens else 1.0
     whole = tokens + SMOOTHING * (distinct + 1)
     pieces, logs = vocabulary(path)
-    logs, end_lattice = fit(words, pieces, logs, ends, rounds)
-    end_score = math.log10((1 - unseen) * ends / max(tokens, 1) + unseen * 10 ** end_lattice)
     model = context.broadcast((pieces, logs))
     base = F.log10((F.col("c") + SMOOTHING) / F.lit(whole))
-    table = cut_lineage(words.mapInArrow(_with_logs(model), "word binary, c long, n long, lp double")
-                        .withColumns({"base": base, "mixed": _mixed(F.col("c"), F.col("lp"), tokens, unseen)}))
+    table = cut_lineage(words.mapInArrow(_with_logs(model), "word binary, c long, n long, lp double").withColumn("base", base))
     # a bounded table, of any corpus
-    common = _commonest(table, HEAD).select("word", "c", "base", "mixed", "lp").toArrow()
-    head = context.broadcast({word: values for word, *values in zip(*(common.column(i).to_pylist() for i in range(5)))})
-    row_type = rows.schema[ROW].dataType.simpleString()
+    common = _commonest(table, HEAD).select("word", "c", "base", "lp").toArrow()
+    head = context.broadcast({word: values for word, *values in zip(*(common.column(i).to_pylist() for i in range(4)))})
+    kinds = T.StructType([rows.schema[ID], rows.schema[ROW], *T.StructType.fromDDL(
+        "held_out boolean, n_tokens long, n_known long, base double, score double, words array<binary>, times array<long>").fields])
+    end = (ends > 0, math.log10((ends + SMOOTHING) / whole), float(logs[pieces.index(END)]) / math.log(10))
     dealt = cut_lineage(
-        rows.select(ID, ROW, "held_out", TEXT)
-        .mapInArrow(
-            _dealt(head, (ends > 0, math.log10((ends + SMOOTHING) / whole), end_score, end_lattice)),
-            f"{ID} long, {ROW} {row_type}, held_out boolean, n_tokens long, n_known long, base double, score double,"
-            " lattice double, words array<binary>, times array<long>")
+        rows.select(ID, ROW, "held_out", TEXT).mapInArrow(_dealt(head, end), kinds)
         .withColumn("__rid", F.monotonically_increasing_id()))
     rare = dealt.select("__rid", F.explode(F.arrays_zip("words", "times")).alias("x")).select(
         "__rid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    more = rare.join(table.select("word", "c", F.col("base").alias("one"), "mixed", "lp"), "word").groupBy("__rid").agg(
+    more = rare.join(table.select("word", "c", F.col("base").alias("one"), "lp"), "word").groupBy("__rid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(F.lit(0))).alias("more_known"),
-        *(F.sum(F.col("times") * F.col(c)).alias(f"more_{c}") for c in ("one", "mixed", "lp")))
+        *(F.sum(F.col("times") * F.col(c)).alias(f"more_{c}") for c in ("one", "lp")))
 
     def total(own: str, other: str) -> Column:
         return F.col(own) + F.coalesce(other, F.lit(0))
@@ -232,4 +186,4 @@ def score(
     return dealt.join(more, "__rid", "left").select(
         ID, ROW, "held_out", "n_tokens", total("n_known", "more_known").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"), total("base", "more_one").alias("base_score"),
-        total("score", "more_mixed").alias("score"), total("lattice", "more_lp").alias("lattice_score"))
+        total("score", "more_lp").alias("score"))

@@ -3,26 +3,25 @@
 A linear softmax over hashed words, fitted on a bounded sample of the labelled table, gives each document
 posterior probabilities p over the domains.  Then nonnegative rates r (how often a document is to be
 used) minimise the squared distance of the expected domain shares, the sum of t r p / T over all
-documents, from the targets; t are a document's tokens and T all tokens.  The minimum is
-found by accelerated projected gradient descent in variables scaled by the root of t, so that a step
-changes a rate by p times the residual: rates do not depend on the length.  One iteration is one
-distributed sum of as many numbers as there are domains.  A rate is a function of the posterior
-and of the residuals so far, so nothing but those few numbers a step is kept, and a lost
-executor costs only its part of one sum.
+documents, from the targets; t are a document's tokens and T all tokens.  The minimum is found by projected
+gradient descent.  The gradient is taken in the metric of the second moments of p over the documents whose rate is
+positive (one small matrix), which makes rare domains as quick as common ones, and the step is the best of a fixed
+list.  One iteration is one distributed sum of a few numbers for each step size.  A rate is a function of the
+posterior and of the steps so far, so nothing but those few numbers a step is kept, and a lost executor costs
+only its part of one sum.
 
-If the descent is not at the targets after ``_ITERATIONS`` steps (a rare domain makes it slow), Newton steps find
-the rates nearest to those so far that are: max(0, rate + z p), with one number a domain in z.  Targets that
-no rates reach get the nearest shares, and a warning that gives the distance left.
+The descent ends at the targets (``_TOLERANCE``) or where no step size comes nearer; what is left then is in the column
+``target_miss``, the largest distance of a share from its target.
 
 Defined results: null and empty texts have no tokens, the posterior of no evidence, and a rate like
 any other; labels without a document, and null labels, are left out; without labels all domains
-are equally likely; repeated rows are separate documents; an empty table stays empty.  Targets are scaled
-to sum up to 1; a domain that the targets do not name is not a domain.
+are equally likely; repeated rows are separate documents (of a labelled id that repeats the classifier learns from one);
+an empty table stays empty; a very long text is classified whole, like any other.  Targets are scaled to sum up to 1; a domain
+that the targets do not name is not a domain.
 """
 
 from __future__ import annotations
 
-import warnings
 import zlib
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
@@ -40,9 +39,10 @@ TARGETS = {"good": 0.9, "poor": 0.07, "toxic": 0.03}
 MAX_LABELLED = 8_000
 FEATURES = 1 << 15
 _EPOCHS, _BATCH, _RATE = 12, 128, 0.05
-_ITERATIONS, _TOLERANCE = 60, 1e-5
-# Newton steps and halvings of one, and the weight that keeps the rates bounded where the targets cannot be met
-_STEPS, _HALVINGS, _RIDGE = 60, 30, 1e-9
+_TOLERANCE = 1e-5
+# step sizes that compete, and what keeps the metric regular where domains go together
+_SIZES = np.array([1.0, 0.5, 0.25, 0.125, 1 / 16, 1 / 64, 1 / 256, 1 / 1024])
+_RIDGE = 1e-9
 
 
 def domain() -> Column:
@@ -129,8 +129,10 @@ def train(
         .groupBy("__labelled").agg(F.min("domain").alias("domain"))
         .orderBy(F.xxhash64("__labelled"), "__labelled").limit(max_labelled)
     )
-    texts = docs.join(F.broadcast(chosen), F.col(f"`{id_col}`") == F.col("__labelled")).select(
-        "domain", F.col(f"`{text_col}`").cast("string").alias(TEXT))
+    texts = docs.join(F.broadcast(chosen), F.col(f"`{id_col}`").cast("long") == F.col("__labelled")).select(
+        "__labelled", "domain", F.col(f"`{text_col}`").cast("string").alias(TEXT))
+    # one row a label, however often its id repeats
+    texts = texts.groupBy("__labelled").agg(F.max("domain").alias("domain"), F.max(TEXT).alias(TEXT)).select("domain", TEXT)
     rows = texts.mapInArrow(_hashed, "domain string, cells array<int>, values array<float>").toArrow()
     number = {name: i for i, name in enumerate(domains)}
     found = sorted(  # of at most max_labelled documents; in an order that does not depend on the partitions
@@ -142,23 +144,16 @@ def train(
 
 @dataclass(frozen=True)
 class Mixture:
-    """Rates as a function of the posterior: the residuals of all steps, replayed."""
+    """Rates as a function of the posterior: all steps of the descent, replayed."""
 
-    step: float
-    residuals: np.ndarray
-    shift: np.ndarray | None = None
-
-    def start(self, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rates after the steps so far, and the point where the next gradient is taken."""
-        rate = ahead = np.ones(len(posterior))
-        for k, residual in enumerate(self.residuals):
-            new = np.maximum(0.0, ahead - self.step * (posterior @ residual))
-            rate, ahead = new, new + k / (k + 3) * (new - rate)
-        return rate, ahead
+    steps: np.ndarray
+    miss: float = 0.0
 
     def rates(self, posterior: np.ndarray) -> np.ndarray:
-        rate = self.start(posterior)[0]
-        return rate if self.shift is None else np.maximum(0.0, rate + posterior @ self.shift)
+        rate = np.ones(len(posterior))
+        for step in self.steps:
+            rate = np.maximum(0.0, rate - posterior @ step)
+        return rate
 
 
 def _memberships(model) -> object:
@@ -173,98 +168,57 @@ def _memberships(model) -> object:
     return member
 
 
-def _sums(mixture: Mixture | None, classes: int, second: bool):
-    """Of one task: the sum of t r p, or of t p p' (``second``), as cells."""
-    def summed(batches: Batches) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(classes * classes if second else classes)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            tokens = batch.column(0).to_numpy().astype(np.float64)
-            posterior = batch.column(1).values.to_numpy().reshape(-1, classes)
-            if second:
-                total += ((posterior * tokens[:, None]).T @ posterior).ravel()
-            else:
-                total += (tokens * mixture.start(posterior)[1]) @ posterior
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["cell", "x"])
-    return summed
-
-
-def _summed(memberships: DataFrame, mixture: Mixture | None, classes: int, second: bool = False) -> np.ndarray:
-    cells = memberships.select("n_tokens", "posterior").mapInArrow(_sums(mixture, classes, second), "cell long, x double")
-    out = np.zeros(classes * classes if second else classes)
-    for row in cells.groupBy("cell").agg(F.sum("x").alias("x")).collect():  # one row a domain, or pair of domains
-        out[row["cell"]] = row["x"]
-    return out
-
-
-def _potential(mixture: Mixture, classes: int):
-    """Of one task: the sums of t r r / 2, of t r p and of t p p' where r > 0, as cells."""
+def _sums(mixture: Mixture, moves: np.ndarray):
+    """Of one task, for each move from the rates so far: the sum of t r p, and of t p p' where r > 0, as cells."""
     def summed(batches: Batches) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 + classes + classes * classes)
+        classes = moves.shape[1]
+        total = np.zeros((len(moves), classes + classes * classes))
         for batch in batches:
             if not batch.num_rows:
                 continue
             tokens = batch.column(0).to_numpy().astype(np.float64)
             posterior = batch.column(1).values.to_numpy().reshape(-1, classes)
             rate = mixture.rates(posterior)
-            total[0] += (tokens * rate) @ rate / 2
-            total[1:1 + classes] += (tokens * rate) @ posterior
-            total[1 + classes:] += ((posterior * (tokens * (rate > 0))[:, None]).T @ posterior).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["cell", "x"])
+            for row, move in zip(total, moves):
+                moved = np.maximum(0.0, rate - posterior @ move)
+                row[:classes] += (tokens * moved) @ posterior
+                row[classes:] += ((posterior * (tokens * (moved > 0))[:, None]).T @ posterior).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["cell", "x"])
     return summed
 
 
-def _corrected(memberships: DataFrame, mixture: Mixture, shares: np.ndarray, tokens: float) -> Mixture:
-    """The mixture with the shift that meets the shares: the least point of a convex function, by damped Newton steps."""
-    classes = len(shares)
-
-    def at(shift: np.ndarray):
-        cells = memberships.select("n_tokens", "posterior").mapInArrow(
-            _potential(Mixture(mixture.step, mixture.residuals, shift), classes), "cell long, x double")
-        x = np.zeros(1 + classes + classes * classes)
-        for row in cells.groupBy("cell").agg(F.sum("x").alias("x")).collect():  # a few rows a domain
-            x[row["cell"]] = row["x"] / tokens
-        reached = x[1:1 + classes]
-        return (x[0] - shares @ shift + _RIDGE / 2 * shift @ shift, reached - shares + _RIDGE * shift,
-                x[1 + classes:].reshape(classes, classes) + _RIDGE * np.eye(classes), reached - shares)
-
-    shift = np.zeros(classes)
-    value, slope, bend, residual = at(shift)
-    for _ in range(_STEPS):
-        if np.abs(residual).max() <= _TOLERANCE or np.abs(slope).max() <= _TOLERANCE / 10:
-            break
-        move, size = -np.linalg.solve(bend, slope), 1.0
-        for _ in range(_HALVINGS):
-            new = at(shift + size * move)
-            if new[0] <= value + 1e-4 * size * (slope @ move):
-                break
-            size /= 2
-        else:
-            break
-        shift = shift + size * move
-        value, slope, bend, residual = new
-    if np.abs(residual).max() > _TOLERANCE:
-        warnings.warn(f"the shares of the domains miss their targets by {residual.tolist()}", stacklevel=2)
-    return Mixture(mixture.step, mixture.residuals, shift)
+def _tried(memberships: DataFrame, mixture: Mixture, moves: np.ndarray, tokens: float) -> tuple[np.ndarray, np.ndarray]:
+    """The shares that each move would reach, and the second moments over the documents that would keep a rate."""
+    classes = moves.shape[1]
+    cells = memberships.select("n_tokens", "posterior").mapInArrow(_sums(mixture, moves), "cell long, x double")
+    out = np.zeros(len(moves) * (classes + classes * classes))
+    for row in cells.groupBy("cell").agg(F.sum("x").alias("x")).collect():  # a few numbers for each move
+        out[row["cell"]] = row["x"] / tokens
+    out = out.reshape(len(moves), -1)
+    return out[:, :classes], out[:, classes:].reshape(-1, classes, classes)
 
 
 def solve(memberships: DataFrame, shares: np.ndarray) -> Mixture:
     """The mixture for rows of ``n_tokens, posterior``."""
     classes = len(shares)
     tokens = float(memberships.agg(F.sum("n_tokens")).first()[0] or 0)
+    mixture = Mixture(np.zeros((0, classes)))
     if not tokens:
-        return Mixture(0.0, np.zeros((0, classes)))
-    second = _summed(memberships, None, classes, second=True).reshape(classes, classes) / tokens
-    mixture = Mixture(1.0 / max(np.linalg.eigvalsh(second)[-1], 1e-12), np.zeros((0, classes)))
-    for _ in range(_ITERATIONS):
-        residual = _summed(memberships, mixture, classes) / tokens - shares
-        if np.abs(residual).max() <= _TOLERANCE:
+        return mixture
+    reached, moments = _tried(memberships, mixture, np.zeros((1, classes)), tokens)
+    residual, second = reached[0] - shares, moments[0]
+    while np.abs(residual).max() > _TOLERANCE:
+        step = np.linalg.solve(second + _RIDGE * max(np.trace(second), 1e-12) * np.eye(classes), residual)
+        moves = _SIZES[:, None] * step
+        reached, moments = _tried(memberships, mixture, moves, tokens)
+        distances = ((reached - shares) ** 2).sum(axis=1)
+        best = int(distances.argmin())
+        # every step comes nearer by a share of the distance, so their number is bounded
+        if not distances[best] < (1 - 1e-4) * (residual @ residual):
             break
-        mixture = Mixture(mixture.step, np.vstack([mixture.residuals, residual]))
-    else:
-        mixture = _corrected(memberships, mixture, shares, tokens)
-    return mixture
+        mixture = Mixture(np.vstack([mixture.steps, moves[best]]))
+        residual, second = reached[best] - shares, moments[best]
+    return Mixture(mixture.steps, float(np.abs(residual).max()))
 
 
 def _rated(mixture: Mixture, classes: int):
@@ -280,7 +234,7 @@ def mix(
     docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, id_col: str = "doc_id",
     text_col: str = "text", label: Column | None = None, max_labelled: int = MAX_LABELLED, with_text: bool = True,
 ) -> DataFrame:
-    """The documents with ``n_tokens``, ``posterior`` (by sorted domain), ``rate`` and ``copies``.
+    """The documents with ``n_tokens``, ``posterior`` (by sorted domain), ``rate``, ``copies`` and ``target_miss``.
 
     ``copies`` is the rate rounded up or down by a hash of the row, so that its mean is the rate.
     Every document is classified once; its text is written along with that only ``with_text``
@@ -304,4 +258,5 @@ def mix(
     chance = F.pmod("mark", F.lit(1_000_003)) / 1_000_003
     copies = (whole + (chance < F.col("rate") - whole).cast("long")).cast("long")
     return uncarried(rated, docs, text_col, F.col("text"), {
-        "n_tokens": F.col("n_tokens"), "posterior": F.col("posterior"), "rate": F.col("rate"), "copies": copies})
+        "n_tokens": F.col("n_tokens"), "posterior": F.col("posterior"), "rate": F.col("rate"), "copies": copies,
+        "target_miss": F.lit(mixture.miss)})

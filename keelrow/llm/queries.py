@@ -38,8 +38,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return lm_scoring.score(docs, _remainder("__id", 10) == 0).select(
-        F.col("__id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score",
-        "lattice_score")
+        F.col("__id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +88,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     mixed = mixing.mix(docs, _table(spark, sf_dir, "labels"), with_text=False)
     posterior = [F.get("posterior", F.lit(i)).alias(f"p_{name}") for i, name in enumerate(sorted(mixing.TARGETS))]
-    return mixed.select("doc_id", "n_tokens", *posterior, "rate", "copies")
+    return mixed.select("doc_id", "n_tokens", *posterior, "rate", "copies", "target_miss")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
