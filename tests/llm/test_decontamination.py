@@ -68,3 +68,21 @@ def test_plan_has_no_python(spark, sf_dir):
     import __spark_entry__ as entry
     plan = entry.queries()["op3_decontamination"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("shared", [80, 100])
+def test_items_of_one_form_are_all_found(spark, shared):
+    """300 items share a form and end in a word of their own; a document that repeats one with its last word changed is
+    alike to every item of the form, and all those pairs are found."""
+    form = words(30, shared + 4)
+    items = [(i, " ".join([*form, f"own{i}"])) for i in range(300)]
+    docs = [(i, " ".join([*words(1000 + i, 20), *form, f"other{i}", *words(2000 + i, 20)])) for i in range(20)]
+    got = d.leaking_items(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    import math
+    common, own = shared * math.log(2), math.log(301)
+    expected = common / (common + 2 * own)
+    if expected >= 0.8:
+        assert len({(r["doc_id"], r["item_id"]) for r in got}) == 20 * 300
+        assert all(r["similarity"] == pytest.approx(expected, abs=1e-6) for r in got)
+    else:
+        assert got == []
