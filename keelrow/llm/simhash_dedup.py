@@ -7,15 +7,22 @@ The bits are grouped into partitions, correlated bits together.  If two fingerpr
 most r bits and the thresholds of m partitions sum up to r - m + 1, they agree in at least one
 partition within its threshold.  Dynamic programming deals that sum out unequally (-1 leaves a
 partition out) so that probes and estimated candidates cost least; the estimate is the distribution
-of distances within each partition over pairs drawn from all fingerprints.  Layouts of 2 to 4
-partitions compete, so more documents lead to more probes instead of larger candidate groups.
+of distances within each partition over pairs drawn from all fingerprints.  Layouts of 2 to 8
+partitions compete (of 4 at most at radius 3), so more documents lead to more probes instead of larger candidate groups.
 
 Copies collapse first: only distinct fingerprints are probed.  Fingerprints that meet under a key are
 verified in blocks of bounded size: a group with more members is dealt over all pairs of its blocks,
 and each block reports a spanning forest of its links, never all pairs.
 
+:func:`drop_near_duplicates` can verify: then texts, not fingerprints, are linked, over the words' shingles of any width,
+and a link counts only if the Jaccard similarity of their shingles reaches the threshold.  Verified are the links
+that the blocks report: all in small groups, a spanning forest in larger ones.
+
 Defined results: null and empty texts have fingerprint zero and link like any other; rows of one id
-belong to the classes of their texts; a null id counts after all others and stays null in the result.
+belong to the classes of their texts; a null id counts after all others and stays null in the result; very long texts
+are hashed whole, in pieces; an empty table has no rows; equal distances need no order; in :func:`near_duplicates` other
+columns play no role, in :func:`drop_near_duplicates` they stay, and where rows repeat id and text the row with the
+smallest hash of all columns stays.
 """
 
 from __future__ import annotations
@@ -37,7 +44,7 @@ RADIUS = 3
 BITS = 64
 SHINGLE = 3
 SEED = 42
-_LAYOUTS = (2, 3, 4)
+_LAYOUTS = (2, 3, 4, 5, 6, 7, 8)
 # members of a block: least and most
 _BLOCK = (256, 4096)
 # groups up to this size report all verified pairs, larger ones a spanning forest
@@ -63,10 +70,12 @@ def simhash(text: bytes, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * sums > total).tobytes(), "big")
 
 
-def _fingerprints(batches: Batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = np.array([simhash(text) for text in utf8(batch.column(1))], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], ["__id", "mark", "fp"])
+def _fingerprints(width: int):
+    def printed(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([simhash(text, width) for text in utf8(batch.column(1))], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], ["__id", "mark", "fp"])
+    return printed
 
 
 def _bits(prints: np.ndarray) -> np.ndarray:
@@ -277,18 +286,61 @@ def _mark(text_col: str) -> Column:
     return F.xxhash64(F.col(f"`{text_col}`").cast("string"))
 
 
+def _prints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    return cut_lineage(docs.select(
+        F.col(f"`{id_col}`").cast("long").alias(ID), F.col(f"`{text_col}`").cast("string").alias(TEXT), _mark(text_col).alias("mark"),
+    ).mapInArrow(_fingerprints(width), f"{ID} long, mark long, fp long"))
+
+
+def _rooted(nodes: DataFrame, linked: DataFrame, node: str) -> DataFrame:
+    """``node``, the node that stands for its class (``root``) and the class's least id."""
+    rooted = cut_lineage(nodes.join(linked.withColumnRenamed("node", "__node"), F.col(node) == F.col("__node"), "left").select(
+        node, "first", F.coalesce("component", node).alias("root")))
+    least = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    return cut_lineage(rooted.join(least, "root").select(node, "root", "component_id"))
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
     """Each row's id, text hash (``mark``), ``fp``, the fingerprint that stands for its class (``root``) and the class's least id."""
-    prints = cut_lineage(docs.select(
-        F.col(f"`{id_col}`").cast("long").alias(ID), F.col(f"`{text_col}`").cast("string").alias(TEXT), _mark(text_col).alias("mark"),
-    ).mapInArrow(_fingerprints, f"{ID} long, mark long, fp long"))
+    prints = _prints(docs, id_col, text_col, SHINGLE)
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min(F.coalesce(F.col(ID), F.lit(LAST_ID))).alias("first")))
     linked = components(links(nodes.select("fp", F.col("fp").alias("node")), radius), "a", "b")
-    rooted = cut_lineage(nodes.join(linked, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("root")))
-    least = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    roots = cut_lineage(rooted.join(least, "root").select("fp", "root", "component_id"))
-    return prints.join(roots, "fp")
+    return prints.join(_rooted(nodes, linked, "fp"), "fp")
+
+
+def _shingle_set(text: bytes, width: int) -> set[bytes]:
+    words = text.lower().split()
+    if len(words) <= width:
+        return {b" ".join(words)}
+    return set(map(b" ".join, zip(*(words[i:] for i in range(width)))))
+
+
+def _alike(width: int, similarity: float):
+    def alike(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(utf8(batch.column(2)), utf8(batch.column(3))):
+                own, other = _shingle_set(x, width), _shingle_set(y, width)
+                shared = len(own & other)
+                keep.append(shared >= similarity * (len(own) + len(other) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
+    return alike
+
+
+def _verified_classes(docs: DataFrame, id_col: str, text_col: str, radius: int, width: int, similarity: float) -> DataFrame:
+    """As :func:`_classes`, but the nodes are distinct texts (``mark``), and their links are verified."""
+    prints = _prints(docs, id_col, text_col, width)
+    nodes = cut_lineage(prints.groupBy("mark").agg(
+        F.min("fp").alias("fp"), F.min(F.coalesce(F.col(ID), F.lit(LAST_ID))).alias("first")))
+    near = cut_lineage(links(nodes.select("fp", F.col("mark").alias("node")), radius))
+    ends = cut_lineage(near.select(F.col("a").alias("mark")).union(near.select(F.col("b").alias("mark"))).distinct())
+    # each distinct text that has a link, once
+    texts = cut_lineage(docs.select(_mark(text_col).alias("mark"), F.col(f"`{text_col}`").cast("string").alias("text")).join(
+        ends, "mark", "left_semi").groupBy("mark").agg(F.max("text").alias("text")))
+    pairs = near.join(texts.select(F.col("mark").alias("a"), F.col("text").alias("x")), "a").join(
+        texts.select(F.col("mark").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    linked = components(pairs.mapInArrow(_alike(width, similarity), "a long, b long"), "a", "b")
+    return prints.join(_rooted(nodes, linked, "mark"), "mark")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -297,9 +349,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col(ID).alias(id_col), "fp", F.when(F.col("component_id") != LAST_ID, F.col("component_id")).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One document of each group: the smallest id, of several texts under it that with the least hash."""
-    rows = _classes(docs, id_col, text_col, radius)
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE,
+    similarity: float | None = None,
+) -> DataFrame:
+    """One document of each group: the smallest id, of several texts under it that with the least hash.
+
+    With a ``similarity`` links are verified, over shingles of ``width`` words; without one width is that of the fingerprints.
+    """
+    if similarity is None:
+        rows = _classes(docs, id_col, text_col, radius)
+    else:
+        rows = _verified_classes(docs, id_col, text_col, radius, width, similarity)
     # one row a group; what repeats both id and text counts as one
     chosen = rows.groupBy("root").agg(F.min(F.struct(F.coalesce(F.col(ID), F.lit(LAST_ID)).alias("id"), "mark")).alias("x")).select(
         "x.id", "x.mark", F.lit(True).alias("chosen")).distinct()
@@ -310,5 +371,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         .select(F.col("id").alias("__listed"), F.col("mark").alias("__mark"), F.col("chosen").isNotNull().alias("__once")))
     own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
     same = (own == F.col("__listed")) & (_mark(text_col) == F.col("__mark"))
-    repeated = docs.join(listed.filter("__once"), same, "left_semi").dropDuplicates([id_col, text_col])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    repeated = docs.join(listed.filter("__once"), same, "left_semi").groupBy(own.alias("__own"), _mark(text_col).alias("__text")).agg(
+        F.min_by(F.struct(*columns), F.struct(F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns))).alias("__row")).select("__row.*")
     return docs.join(listed, same, "left_anti").union(repeated)

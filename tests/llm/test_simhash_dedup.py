@@ -15,9 +15,13 @@ from keelrow.llm.common import LAST_ID
 SCHEMA = "doc_id long, text string"
 
 
-def fingerprint(text):
+def shingles_of(text, width=3):
     words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
-    shingles = [b" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    return [b" ".join(words[i:i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+
+
+def fingerprint(text, width=3):
+    shingles = shingles_of(text, width)
     hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -43,6 +47,27 @@ def grouped(prints, radius=3):
     return [None if least[find(i)] == LAST_ID else least[find(i)] for i in range(len(ids))]
 
 
+def first_of_groups(texts, radius=12, width=5, similarity=0.8):
+    """The smallest id of each group of texts whose fingerprints are near and whose shingles are alike; texts by id."""
+    ids = sorted(texts)
+    prints = {i: fingerprint(texts[i], width) for i in ids}
+    sets = {i: set(shingles_of(texts[i], width)) or {b""} for i in ids}
+    least = {i: i for i in ids}
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for i, j in itertools.combinations(ids, 2):
+        if (prints[i] ^ prints[j]).bit_count() <= radius:
+            shared = len(sets[i] & sets[j])
+            if shared >= similarity * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = sorted((find(i), find(j)))
+                least[b] = a
+    return {i for i in ids if find(i) == i}
+
+
 def check(spark, rows):
     got = simhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5))
     got = sorted(((r[0], r[1] & (1 << 64) - 1, r[2]) for r in got.collect()), key=repr)
@@ -60,6 +85,45 @@ def test_texts(spark):
     check(spark, rows)
 
 
+def edited(words, n, seed):
+    draw, out = random.Random(seed), list(words)
+    for at in draw.sample(range(len(out)), n):
+        out[at] = f"edit{seed}x{at}"
+    return " ".join(out)
+
+
+def test_verified_near_duplicates(spark):
+    draw, texts = random.Random(11), {}
+    for g in range(60):
+        words = [f"w{draw.randrange(4000)}" for _ in range(200)]
+        for k, edits in enumerate((0, 0, 1, 2, 4, 12, 40)):
+            texts[100 * g + k] = edited(words, edits, 100 * g + k) if k else " ".join(words)
+    # half of a text in another: near in words, not alike
+    texts[9000] = texts[0] + " " + " ".join(f"z{i}" for i in range(200))
+    texts.update({9001: "", 9002: " \n", 9003: "one", 9004: "One"})
+    df = spark.createDataFrame(list(texts.items()), SCHEMA).repartition(4)
+    got = {r["doc_id"] for r in simhash_dedup.drop_near_duplicates(df, radius=12, width=5, similarity=0.8).collect()}
+    assert got == first_of_groups(texts)
+    # against the similarity alone: what the fingerprints lose
+    alike = first_of_groups(texts, radius=64)
+    dropped = set(texts) - alike
+    assert len(dropped) > 200 and len(dropped - got) >= 0.93 * len(dropped) and not alike - got
+
+
+def test_verified_rows_that_repeat(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "b"), (1, text, "a"), (1, text, "a"), (1, text + " more", "c"), (None, text, "d"), (2, "other", None), (None, None, "e")]
+    df = spark.createDataFrame(rows, SCHEMA + ", root string")
+    for options in ({"similarity": 0.8, "width": 5, "radius": 10}, {}):
+        got = simhash_dedup.drop_near_duplicates(df, **options)
+        assert got.columns == df.columns
+        kept = sorted(((r["doc_id"], r["text"], r["root"]) for r in got.collect()), key=repr)
+        # of the rows of one id and text one stays, whichever columns differ, the same one at every run
+        assert kept == sorted(((r["doc_id"], r["text"], r["root"]) for r in simhash_dedup.drop_near_duplicates(
+            df.repartition(3), **options).collect()), key=repr)
+        assert len(kept) == 3 and {k[0] for k in kept} == {1, 2, None}
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash_dedup.near_duplicates(empty).collect() == []
