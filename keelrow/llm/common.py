@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ID, TEXT, ROW = "__id", "__text", "__row"
 # stands for a missing id wherever ids are compared: it comes after all others
@@ -38,6 +39,11 @@ def uncarried(df: DataFrame, docs: DataFrame, text_col: str, text: Column, added
     return df.select(*own, *(value.alias(name) for name, value in added.items()))
 
 
+def with_row(rows: DataFrame, more: str) -> StructType:
+    """The struct of a table's own columns, whatever their names, and further columns."""
+    return StructType([rows.schema[ROW], *StructType.fromDDL(more).fields])
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null is empty."""
     return [value or b"" for value in column.cast(pa.large_binary()).to_pylist()]

@@ -8,7 +8,9 @@ lines to drop come back.  A shard that is asked very often - a line that a third
 hold - is copied to as many groups as its probes fill, so no group grows with a hot line.
 
 Defined results: null text is one empty line; a null id is one document after all others; repeated
-rows of an id are one holder and all lose the same lines; an empty table gives an empty result.
+rows of an id are one holder and all lose the same lines; a very long text is one row of line hashes, its lines are
+kept in order; own columns named ``n_lines`` or ``n_dropped`` are replaced, all other names stay; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from keelrow.llm.perfect_hash import build, slots
 from keelrow.llm.common import (
-    ID, LAST_ID, ROW, TEXT, Batches, carried, in_pieces, longs, shuffle_partitions, uncarried, utf8,
+    ID, LAST_ID, ROW, TEXT, Batches, carried, in_pieces, longs, shuffle_partitions, uncarried, utf8, with_row,
 )
 from keelrow.session import cut_lineage
 
@@ -156,6 +158,5 @@ def drop_repeated_lines(
     )
     rows = carried(docs, id_col, text_col)
     kept = rows.join(drops, F.coalesce(F.col(ID), F.lit(LAST_ID)) == F.col("__drop_id"), "left").select(ROW, TEXT, "drops")
-    row_type = rows.schema[ROW].dataType.simpleString()
-    done = kept.mapInArrow(_kept_lines(min_chars), f"{ROW} {row_type}, {TEXT} string, n_lines long, n_dropped long")
+    done = kept.mapInArrow(_kept_lines(min_chars), with_row(rows, f"{TEXT} string, n_lines long, n_dropped long"))
     return uncarried(done, docs, text_col, F.col(TEXT), {"n_lines": F.col("n_lines"), "n_dropped": F.col("n_dropped")})

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelrow.llm.common import ID, ROW, TEXT, Batches, carried, uncarried, utf8
+from keelrow.llm.common import ID, ROW, TEXT, Batches, carried, uncarried, utf8, with_row
 from keelrow.session import cut_lineage
 
 TARGETS = {"good": 0.9, "poor": 0.07, "toxic": 0.03}
@@ -247,13 +247,13 @@ def mix(
     fitted = train(docs, labels, domains, id_col, text_col, label, max_labelled)
     model = docs.sparkSession.sparkContext.broadcast((fitted.domains, fitted.weights, fitted.bias))
     rows = carried(docs, id_col, text_col)
-    row_type = rows.schema[ROW].dataType.simpleString()
-    kept = f"{ROW} {row_type}, text string, mark long, n_tokens long, posterior array<double>"
+    kept = with_row(rows, "text string, mark long, n_tokens long, posterior array<double>")
     read = rows.select(
         TEXT, ROW, (F.col(TEXT) if with_text else F.lit(None).cast("string")).alias("text"), F.xxhash64(ID, TEXT).alias("mark"))
     known = cut_lineage(read.mapInArrow(_memberships(model), kept))
     mixture = solve(known, shares)
-    rated = known.mapInArrow(_rated(mixture, classes), f"{kept}, rate double")
+    rated = known.mapInArrow(
+        _rated(mixture, classes), with_row(rows, "text string, mark long, n_tokens long, posterior array<double>, rate double"))
     whole = F.floor("rate")
     chance = F.pmod("mark", F.lit(1_000_003)) / 1_000_003
     copies = (whole + (chance < F.col("rate") - whole).cast("long")).cast("long")

@@ -93,8 +93,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = toxicity.score(docs, _table(spark, sf_dir, "labels"), usable=_remainder("__id", 3) != 1)
-    return scored.select("doc_id", (_remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    # a null id is never held out
+    scored = toxicity.score(docs, _table(spark, sf_dir, "labels"), usable=F.coalesce(_remainder("__id", 3), F.lit(0)) != 1)
+    return scored.select(
+        "doc_id", (F.coalesce(_remainder("doc_id", 3), F.lit(0)) == 1).alias("held_out"), "score", "predicted")
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

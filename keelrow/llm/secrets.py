@@ -10,8 +10,9 @@ a lost task repeats its own rows alone.
 Letters are folded in the index, so candidates of case-sensitive rules are a superset too.  Spans are
 in code points of the whole text, end exclusive.
 
-Defined results: null and empty texts have no spans; each row, repeated or not, has its own; rows and
-columns are otherwise unchanged; an empty table stays empty.
+Defined results: null and empty texts have no spans; each row, repeated or not, has its own; the text column goes, one
+named ``spans`` is replaced, all others stay, whatever their names; null ids are kept; very long texts are scanned whole; spans
+that start together go by the order of the rules; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelrow.llm.common import ROW, TEXT, Batches, carried, uncarried, utf8
+from keelrow.llm.common import ROW, TEXT, Batches, carried, uncarried, utf8, with_row
 
 # strings that a run of a regex may stand for before it is cut, and alternatives of a query
 _MOST = 64
@@ -220,7 +221,6 @@ def _scan(rules: Sequence[Rule]):
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """All columns but the text, and ``spans`` by start, then by the order of the rules."""
     rows = carried(docs, id_col, text_col)
-    row_type = rows.schema[ROW].dataType.simpleString()
     found = rows.select(ROW, TEXT).mapInArrow(
-        _scan(rules), f"{ROW} {row_type}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+        _scan(rules), with_row(rows, "spans array<struct<kind:string,start:bigint,end:bigint>>"))
     return uncarried(found, docs.drop(text_col), text_col, F.lit(None), {"spans": F.col("spans")})

@@ -13,7 +13,9 @@ text in the tasks; a passage needs one number for each n-gram cell, the product
 
 Defined results: null and empty texts get the score of no evidence, below the threshold; unlabelled and
 null-labelled rows are scored like others; without labels of both classes every score is 0.5 or less;
-repeated rows get equal scores; an empty table stays empty.
+repeated rows and equal texts get equal scores; a null id is scored, never learnt from; where labels of an id differ the
+larger counts; very long texts are scored in pieces; own columns named ``score`` or ``predicted`` are replaced, all other
+names stay; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelrow.llm.common import ID, ROW, TEXT, Batches, carried, uncarried, utf8
+from keelrow.llm.common import ID, ROW, TEXT, Batches, carried, uncarried, utf8, with_row
 from keelrow.session import cut_lineage
 
 THRESHOLD = 0.7
@@ -80,7 +82,7 @@ def passages(text: bytes) -> list[np.ndarray]:
     cells, places = [], []
     for found, within in _grams(data):
         at = np.flatnonzero(within)
-        cells.append(found[at])
+        cells.append(found[at].astype(np.int32))
         places.append(at)
     place = np.concatenate(places)
     order = np.argsort(place, kind="stable")
@@ -213,7 +215,6 @@ def score(
     fitted = train(docs, labels, id_col, text_col, label_col, F.lit(True) if usable is None else usable)
     model = docs.sparkSession.sparkContext.broadcast((fitted.cells, fitted.bias))
     rows = carried(docs, id_col, text_col)
-    row_type = rows.schema[ROW].dataType.simpleString()
-    found = rows.select(ROW, TEXT).mapInArrow(_scores(model), f"{ROW} {row_type}, score double")
+    found = rows.select(ROW, TEXT).mapInArrow(_scores(model), with_row(rows, "score double"))
     return uncarried(found, docs.drop(text_col), text_col, F.lit(None), {
         "score": F.col("score"), "predicted": (F.col("score") >= THRESHOLD).cast("int")})
