@@ -27,8 +27,6 @@ from keelrow.llm.common import ID, ROW, TEXT, carried
 from keelrow.llm.quality_rules import bound
 from keelrow.session import cut_lineage
 
-# of the SQL below alone, which looks up only so many words a document and so finds fewer templates in files of several notices
-LOOKUPS = 16
 COVERAGE = 0.6
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -168,7 +166,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def duckdb_sql() -> str:
-    """The same in DuckDB's SQL, with the ``LOOKUPS`` rarest words of each document alone."""
+    """The same in DuckDB's SQL: all template words of a document are looked up."""
     def text(value: str) -> str:
         return "'" + re.sub("'", "''", value) + "'"
 
@@ -194,11 +192,8 @@ def duckdb_sql() -> str:
         SELECT p.*, coalesce(idf, ln(2.0 * ((SELECT count(*) FROM split) + 1))) AS idf FROM postings p LEFT JOIN idf USING (word)
     ), whole AS (
         SELECT template, sum(idf) AS weight, sum(key::INT) AS n_key, count(*) AS n_places FROM weighted GROUP BY template
-    ), lookups AS (
-        SELECT doc_id, word FROM (SELECT DISTINCT doc_id, word FROM hits) JOIN idf USING (word)
-        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, word) <= {LOOKUPS}
     ), candidates AS (
-        SELECT doc_id, template, i - place AS rel FROM hits JOIN lookups USING (doc_id, word) JOIN postings USING (word)
+        SELECT doc_id, template, i - place AS rel FROM hits JOIN postings USING (word)
         JOIN whole USING (template) GROUP BY ALL HAVING count(DISTINCT place) >= any_value(least(2, n_places))
     ), found AS (
         SELECT doc_id, label, least(1.0, sum(w.idf) / any_value(weight)) AS coverage
