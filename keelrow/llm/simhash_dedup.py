@@ -52,6 +52,8 @@ _SMALL_GROUP = 16
 # partners that each fingerprint is compared with to estimate distances
 _PARTNERS = 8
 _CHUNK = 1 << 16
+# prints that are compared with a whole block at once
+_ROWS = 256
 
 
 def simhash(text: bytes, width: int = SHINGLE) -> int:
@@ -199,9 +201,18 @@ def _keys(plan: list[tuple[list[int], int]]) -> Column:
     return F.array(*parts)
 
 
+def _with_partners(prints: np.ndarray, radius: int) -> np.ndarray:
+    """Places of the prints that another one is near to; most have none."""
+    near = np.zeros(len(prints), np.int64)
+    for start in range(0, len(prints), _ROWS):
+        apart = np.bitwise_count(prints[start:start + _ROWS, None] ^ prints[None])
+        near[start:start + _ROWS] = (apart <= radius).sum(axis=1)
+    return np.flatnonzero(near > 1)
+
+
 def _forest(prints: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
     """Edges of a spanning forest of the links within one block."""
-    left = np.arange(len(prints))
+    left = _with_partners(prints, radius)
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):

@@ -47,7 +47,7 @@ def grouped(prints, radius=3):
     return [None if least[find(i)] == LAST_ID else least[find(i)] for i in range(len(ids))]
 
 
-def first_of_groups(texts, radius=12, width=5, similarity=0.8):
+def first_of_groups(texts, radius=8, width=5, similarity=0.8):
     """The smallest id of each group of texts whose fingerprints are near and whose shingles are alike; texts by id."""
     ids = sorted(texts)
     prints = {i: fingerprint(texts[i], width) for i in ids}
@@ -102,19 +102,19 @@ def test_verified_near_duplicates(spark):
     texts[9000] = texts[0] + " " + " ".join(f"z{i}" for i in range(200))
     texts.update({9001: "", 9002: " \n", 9003: "one", 9004: "One"})
     df = spark.createDataFrame(list(texts.items()), SCHEMA).repartition(4)
-    got = {r["doc_id"] for r in simhash_dedup.drop_near_duplicates(df, radius=12, width=5, similarity=0.8).collect()}
+    got = {r["doc_id"] for r in simhash_dedup.drop_near_duplicates(df, radius=8, width=5, similarity=0.8).collect()}
     assert got == first_of_groups(texts)
     # against the similarity alone: what the fingerprints lose
     alike = first_of_groups(texts, radius=64)
     dropped = set(texts) - alike
-    assert len(dropped) > 200 and len(dropped - got) >= 0.93 * len(dropped) and not alike - got
+    assert len(dropped) > 200 and len(dropped - got) >= 0.75 * len(dropped) and not alike - got
 
 
 def test_verified_rows_that_repeat(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(1, text, "b"), (1, text, "a"), (1, text, "a"), (1, text + " more", "c"), (None, text, "d"), (2, "other", None), (None, None, "e")]
     df = spark.createDataFrame(rows, SCHEMA + ", root string")
-    for options in ({"similarity": 0.8, "width": 5, "radius": 10}, {}):
+    for options in ({"similarity": 0.8, "width": 5, "radius": 8}, {}):
         got = simhash_dedup.drop_near_duplicates(df, **options)
         assert got.columns == df.columns
         kept = sorted(((r["doc_id"], r["text"], r["root"]) for r in got.collect()), key=repr)
