@@ -98,12 +98,14 @@ def _weights(pieces: Pieces, ids, spelled) -> np.ndarray | float:
     return pieces.logs[ids] if spelled is None else float(pieces.logs[spelled].sum())
 
 
-def _forward(pieces: Pieces, points: np.ndarray) -> np.ndarray:
+def _forward(pieces: Pieces, points: np.ndarray, keep: list | None = None) -> np.ndarray:
     n, length = points.shape
     forward = np.full((length + 1, n), -np.inf)
     forward[0] = 0.0
     for start, end, rows, ids, spelled in _edges(pieces, points):
         forward[end, rows] = np.logaddexp(forward[end, rows], forward[start, rows] + _weights(pieces, ids, spelled))
+        if keep is not None:
+            keep.append((start, end, rows, ids, spelled))
     return forward
 
 
@@ -126,3 +128,22 @@ def log_probabilities(pieces: Pieces, words: Sequence[str]) -> np.ndarray:
     for places, points in _grouped(words):
         out[places] = _forward(pieces, points)[-1]
     return out
+
+
+def expected_counts(pieces: Pieces, words: Sequence[str], counts: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in words that occur ``counts`` times."""
+    out = np.zeros(len(pieces.logs))
+    for places, points in _grouped(words):
+        edges: list = []
+        forward = _forward(pieces, points, edges)
+        backward = np.full(forward.shape, -np.inf)
+        backward[-1] = 0.0
+        for start, end, rows, ids, spelled in reversed(edges):
+            through = _weights(pieces, ids, spelled) + backward[end, rows]
+            share = np.exp(forward[start, rows] + through - forward[-1, rows]) * counts[places[rows]]
+            backward[start, rows] = np.logaddexp(backward[start, rows], through)
+            if spelled is None:
+                out += np.bincount(ids, share, minlength=len(out))
+            else:
+                np.add.at(out, spelled, share.sum())
+    return out

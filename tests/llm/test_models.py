@@ -104,6 +104,40 @@ def test_vocabulary_reads_ranks_as_weights():
         assert logs[plain[0]] - logs[i] == pytest.approx(math.log((10 - model.get_score(i)) / (10 - model.get_score(plain[0]))))
 
 
+def test_learnt_scores_of_held_out_documents_are_near_the_base(spark, sf_dir):
+    import __spark_entry__ as entry
+    got = entry.queries()["op2_lm_scoring"](spark, sf_dir).filter("held_out").collect()
+    assert all(r["score"] is not None and np.isfinite(r["score"]) and r["score"] < 0 for r in got)
+    assert all(r["lattice_score"] is not None and np.isfinite(r["lattice_score"]) for r in got)
+    words, known = (sum(r[c] for r in got) for c in ("n_tokens", "n_known"))
+    base, score = (sum(r[c] for r in got) / words for c in ("base_score", "score"))
+    # what unseen words cost more than the base's tenth of a count, which is no share of a whole
+    assert score > base - 0.05 - 5 * (1 - known / words)
+
+
+def test_learnt_probabilities_by_hand(spark, monkeypatch):
+    """One round over words of at most two segmentations, then the mixture."""
+    pieces, weights = ["▁", "a", "b", "▁a", "ab", lm_scoring.END], np.array([0.3, 0.2, 0.1, 0.2, 0.1, 0.1])
+    monkeypatch.setattr(lm_scoring, "vocabulary", lambda path: (pieces, np.log(weights)))
+    monkeypatch.setattr(lm_scoring, "ROUNDS", 1)
+    monkeypatch.setattr(lm_scoring, "PRIOR", 10.0)
+    rows = [(1, "a a"), (1, "b"), (0, "ba a")]
+    got = lm_scoring.score(spark.createDataFrame(rows, SCHEMA), F.col("__id") == 0).collect()
+    # "▁a" by itself or from "▁" and "a", twice; "▁b" in one way
+    alone = 0.2 / (0.2 + 0.3 * 0.2)
+    counts = np.array([2 * (1 - alone) + 1, 2 * (1 - alone), 1, 2 * alone, 0, 0])
+    fitted = (counts + 10 * weights) / (counts.sum() + 10)
+    end = 3 / (counts.sum() + 10 + 3)
+    w = dict(zip(pieces, fitted * (1 - end)))
+    # five tokens with two ends, one word seen once
+    unseen = 1 / 6
+    one = (1 - unseen) * 2 / 5 + unseen * (w["▁a"] + w["▁"] * w["a"])
+    seen_once = (1 - unseen) * 1 / 5 + unseen * w["▁"] * w["b"]
+    last = (1 - unseen) * 2 / 5 + unseen * end
+    expected = sorted([one * one * last, seen_once * last, unseen * w["▁"] * w["b"] * w["a"] * one * last])
+    assert sorted(10 ** r["learnt_score"] for r in got) == pytest.approx(expected, rel=1e-9)
+
+
 def test_lm_keeps_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "some text", 2, 3.0, "x")], SCHEMA + ", score int, `a b` double, words string")
     row = lm_scoring.score(df, held_out(10)).first()
