@@ -15,8 +15,10 @@ verified in blocks of bounded size: a group with more members is dealt over all
 and each block reports a spanning forest of its links, never all pairs.
 
 :func:`drop_near_duplicates` can verify: then texts, not fingerprints, are linked, over the words' shingles of any width,
-and a link counts only if the Jaccard similarity of their shingles reaches the threshold.  Verified are the links
-that the blocks report: all in small groups, a spanning forest in larger ones.
+and a link counts only if the Jaccard similarity of their shingles reaches the threshold.  The links that the blocks
+report are verified first: all in small groups, a spanning forest in larger ones.  Then the blocks of the larger groups
+report all pairs within the radius that these have not connected, and those are verified too, so no pair that meets
+under a key is left out.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; rows of one id
 belong to the classes of their texts; a null id counts after all others and stays null in the result; very long texts
@@ -248,22 +250,27 @@ def _linked_in(columns: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.n
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
+def _whole_blocks(batches: Batches) -> Iterator[list[np.ndarray]]:
+    kept: list[np.ndarray] | None = None  # the last block may go on in the next batch
+    for batch in batches:
+        columns = [longs(c) for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        if kept is not None:
+            columns = [np.concatenate([k, c]) for k, c in zip(kept, columns)]
+        same = np.all([c == c[-1] for c in columns[:4]], axis=0)
+        last = len(same) - np.argmin(same[::-1]) if not same.all() else 0
+        kept = [c[last:] for c in columns]
+        if last:
+            yield [c[:last] for c in columns]
+    if kept is not None:
+        yield kept
+
+
 def _links(radius: int):
     def linked(batches: Batches) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None  # the last block may go on in the next batch
-        for batch in batches:
-            columns = [longs(c) for c in batch.columns]
-            if not len(columns[0]):
-                continue
-            if kept is not None:
-                columns = [np.concatenate([k, c]) for k, c in zip(kept, columns)]
-            same = np.all([c == c[-1] for c in columns[:4]], axis=0)
-            last = len(same) - np.argmin(same[::-1]) if not same.all() else 0
-            kept = [c[last:] for c in columns]
-            if last:
-                yield from _edges([c[:last] for c in columns], radius)
-        if kept is not None:
-            yield from _edges(kept, radius)
+        for columns in _whole_blocks(batches):
+            yield from _edges(columns, radius)
     return linked
 
 
@@ -273,24 +280,52 @@ def _edges(columns: list[np.ndarray], radius: int) -> Iterator[pa.RecordBatch]:
     yield from in_pieces({"a": pa.array(nodes[a]), "b": pa.array(nodes[b])})
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``a, b``: links between the nodes of distinct fingerprints (``fp, node``) that connect all within the radius."""
+def _unconnected(radius: int):
+    """All pairs within the radius whose nodes have different roots."""
+    def paired(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_blocks(batches):
+            prints, nodes, roots = columns[4].view(np.uint64), columns[5], columns[6]
+            new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in columns[:4]], axis=0), [True]])
+            bounds = np.flatnonzero(new)
+            for start, end in zip(bounds[:-1], bounds[1:]):
+                if (roots[start:end] == roots[start]).all():
+                    continue
+                for first in range(start, end, _ROWS):
+                    rows = slice(first, min(first + _ROWS, end))
+                    near = np.bitwise_count(prints[rows, None] ^ prints[None, first:end]) <= radius
+                    a, b = np.nonzero(near & (roots[rows, None] != roots[None, first:end]))
+                    a, b = a[a < b] + first, b[a < b] + first
+                    yield from in_pieces({
+                        "a": pa.array(np.minimum(nodes[a], nodes[b])), "b": pa.array(np.maximum(nodes[a], nodes[b]))})
+    return paired
+
+
+def _met(prints: DataFrame, radius: int) -> tuple[list[tuple[list[int], int]], DataFrame, int]:
+    """The plan, the groups of several prints (``part, key, size``) and the size of a block."""
     # without rows every plan would cost nothing
     plan = plan_probes(prints, max(prints.count(), 1), radius)
-    keyed = prints.select("fp", "node", F.explode(_keys(plan)).alias("k")).select("k.part", "k.key", "fp", "node")
+    keyed = prints.select(F.explode(_keys(plan)).alias("k")).select("k.part", "k.key")
     sizes = cut_lineage(keyed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    partitions = shuffle_partitions(prints)
     touched = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    block = min(max(_BLOCK[0], touched // (4 * partitions)), _BLOCK[1])
-    dealt = (
-        keyed.join(sizes, ["part", "key"])
+    return plan, sizes, min(max(_BLOCK[0], touched // (4 * shuffle_partitions(prints))), _BLOCK[1])
+
+
+def _dealt(prints: DataFrame, plan: list[tuple[list[int], int]], sizes: DataFrame, block: int) -> DataFrame:
+    """The prints (``fp, node``, further columns) under each key of ``sizes``, dealt over all pairs of a group's blocks."""
+    own = prints.columns
+    return (
+        prints.select(*own, F.explode(_keys(plan)).alias("k")).select("k.part", "k.key", *own).join(sizes, ["part", "key"])
         .withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("part", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp", "node")
-        .repartition(partitions, "part", "key", "x", "y").sortWithinPartitions("part", "key", "x", "y")
+        .select("part", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), *own)
+        .repartition(shuffle_partitions(prints), "part", "key", "x", "y").sortWithinPartitions("part", "key", "x", "y")
     )
-    return dealt.mapInArrow(_links(radius), "a long, b long").distinct()
+
+
+def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``a, b``: links between the nodes of distinct fingerprints (``fp, node``) that connect all within the radius."""
+    return _dealt(prints, *_met(prints, radius)).mapInArrow(_links(radius), "a long, b long").distinct()
 
 
 def _mark(text_col: str) -> Column:
@@ -338,19 +373,37 @@ def _alike(width: int, similarity: float):
     return alike
 
 
+def _with_texts(docs: DataFrame, text_col: str, near: DataFrame) -> DataFrame:
+    """``a, b`` with their texts ``x, y``; each distinct text that has a link is read once."""
+    ends = cut_lineage(near.select(F.col("a").alias("mark")).union(near.select(F.col("b").alias("mark"))).distinct())
+    texts = cut_lineage(docs.select(_mark(text_col).alias("mark"), F.col(f"`{text_col}`").cast("string").alias("text")).join(
+        ends, "mark", "left_semi").groupBy("mark").agg(F.max("text").alias("text")))
+    return near.join(texts.select(F.col("mark").alias("a"), F.col("text").alias("x")), "a").join(
+        texts.select(F.col("mark").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+
+
 def _verified_classes(docs: DataFrame, id_col: str, text_col: str, radius: int, width: int, similarity: float) -> DataFrame:
     """As :func:`_classes`, but the nodes are distinct texts (``mark``), and their links are verified."""
     prints = _prints(docs, id_col, text_col, width)
     nodes = cut_lineage(prints.groupBy("mark").agg(
         F.min("fp").alias("fp"), F.min(F.coalesce(F.col(ID), F.lit(LAST_ID))).alias("first")))
-    near = cut_lineage(links(nodes.select("fp", F.col("mark").alias("node")), radius))
-    ends = cut_lineage(near.select(F.col("a").alias("mark")).union(near.select(F.col("b").alias("mark"))).distinct())
-    # each distinct text that has a link, once
-    texts = cut_lineage(docs.select(_mark(text_col).alias("mark"), F.col(f"`{text_col}`").cast("string").alias("text")).join(
-        ends, "mark", "left_semi").groupBy("mark").agg(F.max("text").alias("text")))
-    pairs = near.join(texts.select(F.col("mark").alias("a"), F.col("text").alias("x")), "a").join(
-        texts.select(F.col("mark").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    linked = components(pairs.mapInArrow(_alike(width, similarity), "a long, b long"), "a", "b")
+    probed = nodes.select("fp", F.col("mark").alias("node"))
+    plan, sizes, block = _met(probed, radius)
+
+    def verified(near: DataFrame) -> DataFrame:
+        return cut_lineage(_with_texts(docs, text_col, near).mapInArrow(_alike(width, similarity), "a long, b long"))
+
+    near = cut_lineage(_dealt(probed, plan, sizes, block).mapInArrow(_links(radius), "a long, b long").distinct())
+    linked = cut_lineage(components(verified(near), "a", "b"))
+    # what a forest leaves out: its links need not be alike, and others may be
+    rooted = probed.join(linked.select("node", "component"), "node", "left").select(
+        "fp", "node", F.coalesce("component", "node").alias("root"))
+    large = sizes.filter(F.col("size") > _SMALL_GROUP)
+    rest = cut_lineage(_dealt(rooted, plan, large, block).mapInArrow(_unconnected(radius), "a long, b long").distinct().join(
+        near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    more = verified(rest)
+    if not more.isEmpty():
+        linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
     return prints.join(_rooted(nodes, linked, "mark"), "mark")
 
 

@@ -110,6 +110,22 @@ def test_verified_near_duplicates(spark):
     assert len(dropped) > 200 and len(dropped - got) >= 0.75 * len(dropped) and not alike - got
 
 
+def test_large_groups_lose_no_verified_link(spark):
+    """Families in which each text is an edit of an earlier one: many are near in bits that are not alike."""
+    draw, texts = random.Random(23), {}
+    for g in range(8):
+        family = [[f"w{draw.randrange(4000)}" for _ in range(200)]]
+        while len(family) < 60:
+            own = list(draw.choice(family))
+            for at in draw.sample(range(200), draw.randrange(1, 4)):
+                own[at] = f"edit{g}x{len(family)}x{at}"
+            family.append(own)
+        texts.update({100 * g + i: " ".join(own) for i, own in enumerate(family)})
+    df = spark.createDataFrame(list(texts.items()), SCHEMA).repartition(4)
+    got = {r["doc_id"] for r in simhash_dedup.drop_near_duplicates(df, radius=8, width=5, similarity=0.8).collect()}
+    assert got == first_of_groups(texts)
+
+
 def test_verified_rows_that_repeat(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(1, text, "b"), (1, text, "a"), (1, text, "a"), (1, text + " more", "c"), (None, text, "d"), (2, "other", None), (None, None, "e")]
