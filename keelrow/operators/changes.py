@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keelrow.contract import TableContract, spark_type
 from keelrow.functions.defaults import default_value
@@ -141,10 +142,12 @@ def tag_batch(batch: DataFrame, contract: TableContract, target: DataFrame | Non
     are marked.
     """
     held = {f.name: f.dataType for f in batch.schema.fields}
-    typed = []
+    typed, same = [], set()
     for c in contract.columns:
         target_type = spark_type(c.type)
-        if held[c.name] == target_type:
+        if held[c.name] == target_type and isinstance(target_type, T.StringType):
+            same.add(c.name)
+        elif held[c.name] == target_type:
             typed.append(F.col(c.name))
         elif held[c.name].typeName() == "string":
             typed.append(parse_value(F.col(c.name), c.type).alias(c.name))
@@ -157,6 +160,8 @@ def tag_batch(batch: DataFrame, contract: TableContract, target: DataFrame | Non
     rows = batch.select(F.struct(*batch.columns).alias(RAW), *typed, broken.alias(VIOLATIONS))
     if materialize:
         rows = cut_lineage(rows)
+    # texts that stay as they came are written once
+    rows = rows.select(RAW, *[F.col(f"{RAW}.`{n}`").alias(n) if n in same else F.col(f"`{n}`") for n in contract.names], VIOLATIONS)
 
     inside = _key_ranges(rows, contract).cut if materialize else (lambda df, column, own: df)
     flags: list[tuple[Sequence[str], DataFrame]] = []
@@ -189,9 +194,9 @@ def insert(target: DataFrame, batch: DataFrame, contract: TableContract,
     """Validate a batch and append it.
 
     ``strict``: one bad row refuses the whole batch.  ``quarantine``: bad rows are set aside.
-    The tagged batch is written once (``materialize``) because accepted rows, rejected rows and
-    the strict check all read it; see :func:`tag_batch` for what else is.  Generated columns
-    continue after the target's highest number.
+    The tagged batch is written once (``materialize``) where accepted and rejected rows both read it; a strict
+    batch is whole or refused, so its check reads the few columns it needs.  See :func:`tag_batch` for what else is
+    written.  Generated columns continue after the target's highest number.
     """
     if mode not in ("strict", "quarantine"):
         raise ValueError("mode is strict or quarantine")
@@ -199,7 +204,7 @@ def insert(target: DataFrame, batch: DataFrame, contract: TableContract,
     following = {c: next_id(target, c) for c in absent if c not in (next_ids or {})}
     complete = apply_defaults(batch, contract, {**following, **(next_ids or {})})
     tagged = tag_batch(complete, contract, target, parents, materialize)
-    if materialize:
+    if materialize and mode != "strict":
         tagged = cut_lineage(tagged)
     accepted = tagged.filter(F.size(VIOLATIONS) == 0).select(*contract.names)
     rejected = tagged.filter(F.size(VIOLATIONS) > 0).select(

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from keelrow import Column, ForeignKey, Index, TableContract
 from keelrow.operators import catalog_diff, changes, renames
 from keelrow.plans import evolve as ev
@@ -71,6 +72,24 @@ def test_split_csv_over_files_of_one_header(spark, tmp_path, small_splits):
         csv_files.read_csv(spark, str(tmp_path), NOTES, split=True)
 
 
+@pytest.mark.parametrize("split", (False, True))
+def test_empty_texts_survive_csv_where_asked_for(spark, tmp_path, split):
+    df = spark.createDataFrame([("1", "", "x"), ("2", "a\nb", None), ("3", ' ""', "")], "id string, text string, tag string")
+    path, none = str(tmp_path / "c"), spark.createDataFrame([], NOTES.struct())
+    csv_files.export_csv(df, path, empty_text=True)
+    assert rows(csv_files.read_csv(spark, path, NOTES, split=split, empty_text=True).rows) == rows(df)
+    # without, both are NULL, as in files that know no difference
+    assert rows(csv_files.read_csv(spark, path, NOTES, split=split).rows) == [("1", None, "x"), ("2", "a\nb", None), ("3", ' ""', None)]
+    assert csv_files.import_csv(spark, path, none, NOTES, split=split, empty_text=True).rows.count() == 3
+
+
+@pytest.mark.parametrize("query", ("csv_round_trip", "csv_multiline_split"))
+def test_round_trips_keep_empty_texts(spark, tmp_path, query):
+    docs = spark.createDataFrame([(1, "", "en", "", 0), (2, 'a\n"b"', None, None, 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(__spark_entry__.queries()[query](spark, str(tmp_path))) == rows(docs)
+
+
 def test_split_csv_of_a_header_alone(spark, tmp_path):
     path = tmp_path / "n.csv"
     path.write_text("id,text,tag\n")
