@@ -41,23 +41,27 @@ def _occurrences(text: Column, what: str) -> Column:
 def _gathered(flagged: DataFrame, separator: str) -> DataFrame:
     """``file, first, record, ended``: flagged pieces (``starts, ends``) as records.
 
-    ``first`` marks the first record of a file.  A record that begins in one block goes on in the next ones.
+    ``first`` marks the first record of a file.  A record that begins in one block goes on in the next ones.  Pieces are
+    put together within their block, where they lie; only the ends of blocks are moved for records that cross them.
     """
     up_to = Window.partitionBy(*_PLACE).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = cut_lineage(flagged.withColumn("seq", F.sum(F.col("starts").cast("long")).over(up_to)))
-    alone = numbered.filter("starts AND ends").select(
-        "file", ((F.col("block") == 0) & (F.col("seq") == 1)).alias("first"), F.col("value").alias("record"), F.lit(True).alias("ended"))
-    parts = numbered.filter("NOT (starts AND ends)")
+    numbered = flagged.withColumn("seq", F.sum(F.col("starts").cast("long")).over(up_to))
+    ordered = F.sort_array(F.collect_list(F.struct("n", "value")))
+    held = cut_lineage(numbered.groupBy(*_PLACE, "seq").agg(ordered.alias("t"), F.bool_or("ends").alias("ended")).select(
+        *_PLACE, "seq", F.array_join("t.value", separator).alias("value"), "ended"))
+    whole = held.filter("seq > 0 AND ended").select(
+        "file", ((F.col("block") == 0) & (F.col("seq") == 1)).alias("first"), F.col("value").alias("record"), "ended")
     # where the record began that is open at the start of a block: one row a block
     last = F.struct("block", F.col("seq"))
-    open_ = numbered.groupBy(*_PLACE).agg(F.max("seq").alias("seq")).withColumn(
+    open_ = held.groupBy(*_PLACE).agg(F.max("seq").alias("seq")).withColumn(
         "from", F.last(F.when(F.col("seq") > 0, last), ignorenulls=True).over(_before(False))).select(*_PLACE, "from")
+    parts = held.filter("NOT (seq > 0 AND ended)")
     own = parts.filter("seq > 0").select("*", F.col("block").alias("from_block"), F.col("seq").alias("from_seq"))
     carried = parts.filter("seq = 0").join(open_, [*_PLACE]).select(
         *parts.columns, F.col("from.block").alias("from_block"), F.col("from.seq").alias("from_seq"))
-    ordered = F.sort_array(F.collect_list(F.struct("block", "n", "value")))
-    joined = own.unionByName(carried).groupBy("file", "from_block", "from_seq").agg(ordered.alias("t"), F.bool_or("ends").alias("ended"))
-    return alone.unionByName(joined.select(
+    over = F.sort_array(F.collect_list(F.struct("block", "value")))
+    joined = own.unionByName(carried).groupBy("file", "from_block", "from_seq").agg(over.alias("t"), F.bool_or("ended").alias("ended"))
+    return whole.unionByName(joined.select(
         "file", ((F.col("from_block") == 0) & (F.col("from_seq") == 1)).alias("first"),
         F.array_join("t.value", separator).alias("record"), "ended"))
 

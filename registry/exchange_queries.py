@@ -24,8 +24,8 @@ from registry.star import ORDERS, ORDERS_V2_SQL, STAR, order_versions, table
 def csv_multiline_split(spark, sf_dir):
     """Texts with line breaks, commas and quotes in files that many tasks read."""
     path = scratch_path(spark, "csv")
-    csv_files.export_csv(table(spark, sf_dir, "documents"), path)
-    return csv_files.import_csv(spark, path, _no_rows(spark, _DOCUMENTS), _DOCUMENTS, split=True).rows
+    csv_files.export_csv(table(spark, sf_dir, "documents"), path, empty_text=True)
+    return csv_files.import_csv(spark, path, _no_rows(spark, _DOCUMENTS), _DOCUMENTS, split=True, empty_text=True).rows
 
 
 def _array_files(spark, sf_dir, text):
