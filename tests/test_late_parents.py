@@ -52,3 +52,15 @@ def test_many_children_of_one_parent_are_dealt_over_salts(place, monkeypatch):
     children = [(str(i), "7", "1", at(0)) for i in range(200)]
     assert place(children, [(1, at(0))])[0] == []
     assert place((), [(7, at(1)), (7, at(1))])[0] == list(range(200))
+
+
+def test_time_is_over_once_it_has_passed_and_parents_stay_known(place, monkeypatch):
+    # no value's children are a call of Python each
+    monkeypatch.setattr("pyspark.sql.GroupedData.transformWithState", None)
+    assert place([("1", "7", "1", at(0)), ("2", "8", "1", at(1)), ("2", "8", "2", at(1))], [(100, at(9))]) == ([], [])
+    assert place((), [(7, at(9)), (7, at(9))]) == ([1], [])
+    # the clock stands while nothing newer arrives; a child behind it whose parent is known goes on
+    assert place([("3", "7", "1", at(0))], [(101, at(10))]) == ([1, 3], [])
+    # both rows of the repeated key are given up at the last moment of their patience, each once
+    assert place((), [(102, at(11))]) == ([1, 3], [(2, "foreign_key:p"), (2, "foreign_key:p")])
+    assert place((), [(8, at(12))])[0] == [1, 3]
