@@ -157,6 +157,19 @@ def test_keys_of_repeated_empty_and_nested_rows(spark):
     assert [tuple(r) for r in key_search.composite_key_candidates(nulls).collect()] == [("a", 1, 1, 2, False)]
 
 
+def test_composite_keys_are_the_same_in_passes(spark, monkeypatch):
+    draw = random.Random(7)
+    rows = [(i % 40, i // 40, draw.randrange(30), draw.choice([None, 0.0, -0.0, 1.5, 2.5]), draw.choice("abcdef")) for i in range(400)]
+    names = [*"abcde"]
+    df = spark.createDataFrame(rows, "a int, b long, c int, d double, e string")
+    most, plain = [], key_search.shuffles_removed
+    for name, small in (("_SMALL", 100), ("_SHUFFLED", 150), ("_SHOWN", 50), ("_FEW", 7)):
+        monkeypatch.setattr(key_search, name, small)
+    monkeypatch.setattr(key_search, "shuffles_removed", lambda session: most.append(1) or plain(session))
+    assert {tuple(r) for r in key_search.composite_key_candidates(df, max_width=4).collect()} == keys_brute(rows, names, 4)
+    assert len(most) > 6
+
+
 # ------------------------------------------------------------------ hierarchies
 
 @pytest.mark.parametrize("depth", [1, 2, 3, 20, 70])
