@@ -64,3 +64,11 @@ def test_time_is_over_once_it_has_passed_and_parents_stay_known(place, monkeypat
     # both rows of the repeated key are given up at the last moment of their patience, each once
     assert place((), [(102, at(11))]) == ([1, 3], [(2, "foreign_key:p"), (2, "foreign_key:p")])
     assert place((), [(8, at(12))])[0] == [1, 3]
+
+
+def test_children_of_many_values_are_given_up_once(place, monkeypatch):
+    monkeypatch.setattr("pyspark.sql.GroupedData.transformWithState", None)
+    children = [(str(i), str(i), "1", at(0)) for i in range(300)]
+    lost = [(i, "foreign_key:p") for i in range(300) if i % 3]
+    assert place(children, [*((i, at(0)) for i in range(0, 300, 3)), (1000, at(30))]) == ([*range(0, 300, 3)], lost)
+    assert place((), [(1, at(31))]) == ([*range(0, 300, 3)], lost)
